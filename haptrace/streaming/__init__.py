@@ -1,0 +1,5 @@
+"""No stream operators: every input of this engine is a closed, bounded recording.
+
+New recordings are picked up by re-running a batch plan with dynamic partition
+overwrite (see ``haptrace.sources.stores``).
+"""
