@@ -1,7 +1,7 @@
 """Exact percentiles and ranks for groups of any size.
 
-Groups up to a row limit use Spark's exact ``percentile`` or a plain window.  Larger
-groups are found by a count first and take a path in which no task sees the group:
+Groups are counted first.  Up to a row limit, Spark's exact ``percentile`` or a plain
+window does the work.  If any group is larger, a path is taken in which no task sees it:
 a mergeable sketch brackets the wanted ranks and only the values inside the brackets
 are ranked one by one (percentiles), or a sample cuts the value range into
 buckets that are ranked apart and shifted by the totals of the buckets below (ranks).
@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from haptrace.operators.ordered import has_large_groups
 from haptrace.session import group_limit
 
 _SKETCH = 100_000  # accuracy of percentile_approx: rank error n / _SKETCH
@@ -28,24 +29,32 @@ def _large(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 
 def percentiles(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], limit: int | None = None
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], limit: int | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
     """One row per group; ``wanted`` maps an output name to (column, probability).
 
     Linear interpolation between the two neighbouring ranks; nulls are skipped.
     """
     limit = limit or group_limit(df)
-    given, (df, keys) = keys, _keyed(df, keys)
     columns = sorted({c for c, _ in wanted.values()})
+    if split is None:
+        split = has_large_groups(df.select(*keys) if keys else df.select(*columns), keys, limit)
+    if not split:
+        return df.groupBy(*keys).agg(*percentile_aggregates(wanted))
+    given, (df, keys) = keys, _keyed(df, keys)
     df = df.select(*keys, *columns)
     large = _large(df.select(*keys), keys, limit).select(*keys)
-    small = df.join(large, keys, "left_anti").groupBy(*keys).agg(
-        *[F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
-    )
+    small = df.join(large, keys, "left_anti").groupBy(*keys).agg(*percentile_aggregates(wanted))
     out = small.unionByName(_large_percentiles(df.join(large, keys, "left_semi"), keys, columns, wanted, limit))
     return out if given else out.drop("_all")
 
 
+def percentile_aggregates(wanted: dict[str, tuple[str, float]]) -> list[Column]:
+    """Exact percentile aggregates, for groups known to fit one task."""
+    return [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
+
+
 def _large_percentiles(df, keys, columns, wanted, limit):
     probs = sorted({p for _, p in wanted.values()})
     margin = max(1e-4, 5.0 / limit)
@@ -89,7 +98,8 @@ def _large_percentiles(df, keys, columns, wanted, limit):
 
 
 def ranked_values(
-    df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None, limit: int | None = None
+    df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None, limit: int | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
     """Distinct values of each group with their place in the order.
 
@@ -98,12 +108,19 @@ def ranked_values(
     of a value is ``before + (cnt + 1) / 2``.  Rows with a null value are left out.
     """
     limit = limit or group_limit(df)
+    if split is None:
+        split = has_large_groups(df.select(*keys) if keys else df.select(value), keys, limit)
     given, (df, keys) = keys, _keyed(df, keys)
     sums = sums or {}
     tallies = ["cnt", *sums]
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count("*").alias("cnt"), *[F.sum(c).alias(n) for n, c in sums.items()]
     )
+    if not split:
+        window = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        out = counted.withColumns({
+            ("before" if t == "cnt" else f"{t}_before"): F.coalesce(F.sum(t).over(window), F.lit(0)) for t in tallies})
+        return out if given else out.drop("_all")
     # The sample depends on the values alone, so a recomputed task draws the same one.
     cuts = (
         counted.join(_large(counted, keys, limit), keys)
@@ -135,9 +152,10 @@ def ranked_values(
     return out.drop(*drop)
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, limit: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, limit: int | None = None,
+                  split: bool | None = None) -> DataFrame:
     """``df`` with ``avg_rank``, ties sharing their mean rank."""
-    ranks = ranked_values(df, keys, value, limit=limit).select(
+    ranks = ranked_values(df, keys, value, limit=limit, split=split).select(
         *keys, value, (F.col("before") + (F.col("cnt") + 1) / 2).alias("avg_rank"), F.col("cnt").alias("ties")
     )
     return df.join(ranks, [*keys, value])

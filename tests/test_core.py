@@ -18,16 +18,17 @@ def frame(spark):
     return df, pdf
 
 
-@pytest.mark.parametrize("rows", [1, 7, 1000])
+@pytest.mark.parametrize("rows", [1, 7, 1000, None])
 def test_ordered_matches_pandas_for_any_chunk(frame, rows):
     df, pdf = frame
     got = ordered(df, ["k"], last_known={"f": F.col("v")}, next_known={"b": F.col("v")},
-                  previous={"p": F.col("v")}, running={"s": F.col("w")}, position="i",
-                  rows=rows).toPandas().sort_values("frame_idx")
+                  previous={"p": F.col("v")}, running={"s": F.col("w")}, total={"t": F.col("w")}, position="i",
+                  **({"rows": rows} if rows else {"split": False})).toPandas().sort_values("frame_idx")
     g = pdf.groupby("k")
     assert np.allclose(got.f, g.v.ffill(), equal_nan=True)
     assert np.allclose(got.b, g.v.bfill(), equal_nan=True)
     assert np.allclose(got.p, g.v.shift(), equal_nan=True)
+    assert (got.t.values == g.w.transform("sum").values).all()
     assert (got.s.values == g.w.cumsum().values).all()
     assert (got.i.values == g.cumcount().values).all()
 
@@ -35,7 +36,7 @@ def test_ordered_matches_pandas_for_any_chunk(frame, rows):
 def test_run_lengths(spark, frame):
     df, pdf = frame
     spark.conf.set("haptrace.chunk.rows", "11")
-    got = run_lengths(df, ["k"], "w").orderBy("k", "run_id").toPandas()
+    got = run_lengths(df, ["k"], "w", split=True).orderBy("k", "run_id").toPandas()
     spark.conf.unset("haptrace.chunk.rows")
     for k, g in pdf.groupby("k"):
         run = (g.w != g.w.shift()).cumsum()
