@@ -180,10 +180,13 @@ def linear_edges(df: DataFrame, column: str, n: int, low_pct: float = 0.0, high_
 
 
 def value_windows(lo: float, hi: float, n: int, overlap: float = 0.0) -> list[tuple[float, float]]:
-    """``n`` equal windows over [lo, hi]; neighbours share the ``overlap`` part (<= 0.5)."""
+    """``n`` windows of width (hi - lo) / n whose starts move by the part not shared.
+
+    The last window always ends at ``hi``.
+    """
     if not 0 <= overlap <= 0.5:
         raise ValueError(f"overlap must lie in [0, 0.5], got {overlap}")
-    width = (hi - lo) / (1 + (n - 1) * (1 - overlap))
+    width = (hi - lo) / n
     starts = [lo + i * width * (1 - overlap) for i in range(n)]
     return [(a, hi if i == n - 1 else a + width) for i, a in enumerate(starts)]
 
@@ -195,11 +198,11 @@ def histogram_edges(df: DataFrame, column: str, n: int = 20, log: bool = False)
     if row["lo"] is None:
         return _linspace(0.0, 1.0, n)
     lo, hi = float(row["lo"]), float(row["hi"])
-    if log and row["pos"] is not None and row["pos"] < hi:
-        return [math.exp(e) for e in _linspace(math.log(row["pos"]), math.log(hi), n)]
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    return _linspace(lo, hi, n)
+    if log and row["pos"] is not None:
+        first = float(row["pos"])
+        last = hi if first < hi else first * 10
+        return [math.exp(e) for e in _linspace(math.log(first), math.log(last), n)]
+    return _linspace(0.0, 1.0, n) if lo == hi else _linspace(lo, hi, n)
 
 
 def histogram_2d(df: DataFrame, keys: list[str], x: str, y: str, x_edges: list[float], y_edges: list[float],
