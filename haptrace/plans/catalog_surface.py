@@ -1 +1,390 @@
-"""Queries."""
+"""Queries on contacts and surfaces: distance joins, response maps, grids, map metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from haptrace.functions import columns as C
+from haptrace.operators import metrics as M
+from haptrace.operators import reports as R
+from haptrace.operators import surface as S
+from haptrace.plans.inputs import ctes, view
+from haptrace.plans.registry import query, r, rounded
+from haptrace.schema import KEYS
+
+K = ", ".join(KEYS)
+CUT = 5.0
+# Nearest vertex of each distinct contact point by brute force.
+NEAR = ctes("contacts", "vertices") + f""",
+pts AS (SELECT DISTINCT x, y, z FROM contacts),
+dist AS (SELECT p.x, p.y, p.z, vertex_id, (p.x - v.x) * (p.x - v.x) + (p.y - v.y) * (p.y - v.y) + (p.z - v.z) * (p.z - v.z) AS d2 FROM pts p CROSS JOIN vertices v),
+near AS (SELECT x, y, z, arg_min(vertex_id, struct_pack(d := d2, i := vertex_id)) AS vertex_id, sqrt(min(d2)) AS distance FROM dist GROUP BY 1, 2, 3),
+hits AS (SELECT c.*, vertex_id, distance FROM contacts c JOIN near USING (x, y, z) WHERE distance <= {CUT}),
+rf AS (SELECT {K}, gesture_type, vertex_id, avg(iff) AS rf_mean, max(iff) AS rf_max FROM hits GROUP BY {K}, gesture_type, vertex_id),
+"""
+SUB = "unnest(CASE WHEN gesture_type = 'tap' THEN ['all', 'tap'] ELSE ['all', 'stroke', gesture_type] END) AS subset"
+
+
+def _hits(spark, sf):
+    return S.contacts_on_surface(view(spark, sf, "contacts"), view(spark, sf, "vertices"), [], CUT)
+
+
+def _rf(spark, sf, keys=(*KEYS, "gesture_type")):
+    return S.touch_rf(_hits(spark, sf), "iff", list(keys))
+
+
+@query("nearest_vertex", NEAR + f"q AS (SELECT * FROM near) SELECT x, y, z, vertex_id, {r('distance', 'distance')} FROM q WHERE distance <= {CUT}")
+def _(spark, sf):
+    return rounded(S.nearest(view(spark, sf, "contacts"), view(spark, sf, "vertices"), [], CUT).select("x", "y", "z", "vertex_id", "distance"))
+
+
+@query("nearest_vertex_without_cutoff", NEAR + f"q AS (SELECT * FROM near) SELECT x, y, z, vertex_id, {r('distance', 'distance')} FROM q")
+def _(spark, sf):
+    return rounded(S.nearest(view(spark, sf, "contacts"), view(spark, sf, "vertices"), [], None).select("x", "y", "z", "vertex_id", "distance"))
+
+
+@query("vertex_set_mapping", ctes("vertices") + f""", n AS (SELECT DISTINCT round_even(x / 2, 0) * 2 AS x, round_even(y / 2, 0) * 2 AS y, round_even(z / 2, 0) * 2 AS z FROM vertices),
+d AS (SELECT n.*, vertex_id, (n.x - v.x) * (n.x - v.x) + (n.y - v.y) * (n.y - v.y) + (n.z - v.z) * (n.z - v.z) AS d2 FROM n, vertices v)
+SELECT x + 0.0 AS x, y + 0.0 AS y, z + 0.0 AS z, arg_min(vertex_id, struct_pack(d := d2, i := vertex_id)) AS vertex_id, {r("sqrt(min(d2))", "distance")} FROM d GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    v = view(spark, sf, "vertices")
+    new = S.unique_points(v, [], 2.0).select(*[(F.col(a) + 0.0).alias(a) for a in "xyz"])
+    out = S.map_vertices(new, v, [])
+    return out.select("x", "y", "z", "vertex_id", (F.round(F.col("distance") + 3.37e-8, 6) + 0.0).alias("distance"))
+
+
+@query("radius_max", ctes("contacts", "vertices") + """
+SELECT v.vertex_id, max(c.iff) AS iff FROM vertices v LEFT JOIN (SELECT x, y, z, max(iff) AS iff FROM contacts GROUP BY 1, 2, 3) c
+ON (c.x - v.x) * (c.x - v.x) + (c.y - v.y) * (c.y - v.y) + (c.z - v.z) * (c.z - v.z) <= 25 GROUP BY 1""")
+def _(spark, sf):
+    return S.radius_max(view(spark, sf, "vertices"), view(spark, sf, "contacts"), "iff", 5.0, [])
+
+
+@query("contact_strings_parsed_once", ctes("raw") + r""",
+b AS (SELECT DISTINCT contact_points, unnest(regexp_extract_all(contact_points, '\[([^\[\]]+)\]', 1)) AS s FROM raw),
+t AS (SELECT contact_points, string_split_regex(trim(s), '\s+') AS p FROM b),
+k AS (SELECT contact_points, TRY_CAST(p[1] AS DOUBLE) AS x, TRY_CAST(p[2] AS DOUBLE) AS y, TRY_CAST(p[3] AS DOUBLE) AS z FROM t WHERE len(p) = 3)
+SELECT session_id, x, y, z, count(*) AS n FROM raw JOIN k USING (contact_points) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def _(spark, sf):
+    return S.contact_rows(view(spark, sf, "raw")).groupBy("session_id", "x", "y", "z").agg(F.count("*").alias("n"))
+
+
+@query("touch_response_maps", NEAR + f"q AS (SELECT * FROM rf) SELECT {K}, gesture_type, vertex_id, {r('rf_mean', 'rf_mean')}, {r('rf_max', 'rf_max')} FROM q")
+def _(spark, sf):
+    return rounded(_rf(spark, sf))
+
+
+@query("population_heatmap", NEAR + f"""s AS (SELECT *, {SUB} FROM rf), h AS (SELECT *, {SUB} FROM hits),
+n AS (SELECT session_id, subset, count(DISTINCT ({K})) AS n_touches FROM s GROUP BY 1, 2),
+u AS (SELECT session_id, subset, vertex_id, count(DISTINCT ({K})) AS n_unique FROM h GROUP BY 1, 2, 3),
+a AS (SELECT session_id, subset, vertex_id, avg(rf_mean) AS value FROM s GROUP BY 1, 2, 3)
+SELECT session_id, subset, vertex_id, {r("value", "value")}, n_unique, n_touches, greatest(1, CAST(round_even(0.002 * n_touches, 0) AS BIGINT)) AS threshold,
+  {r("CASE WHEN n_unique < greatest(1, CAST(round_even(0.002 * n_touches, 0) AS BIGINT)) THEN -1.0 ELSE value END", "marked")}
+FROM a JOIN u USING (session_id, subset, vertex_id) JOIN n USING (session_id, subset)""")
+def _(spark, sf):
+    hits = _hits(spark, sf)
+    rf = S.subset_exploded(S.touch_rf(hits, "iff", [*KEYS, "gesture_type"]))
+    return rounded(S.thresholded_heatmap(rf, S.subset_exploded(hits), ["session_id", "subset"], 0.2))
+
+
+@query("vertex_modes", NEAR + f"""q AS (SELECT * FROM hits) SELECT session_id, vertex_id, {r("avg(iff)", "mean_iff")}, {r("sum(iff)", "cumulative_iff", 4)}, {r("avg(spike)", "spike_density")} FROM q GROUP BY 1, 2""")
+def _(spark, sf):
+    return rounded(S.vertex_modes(_hits(spark, sf), ["session_id"]), 6, cumulative_iff=4)
+
+
+@query("vertex_spikes", NEAR + f"""q AS (SELECT * FROM hits) SELECT session_id, vertex_id, count(*) AS spike_count, count(DISTINCT ({K})) AS unique_touch_spike_count FROM q WHERE spike = 1 GROUP BY 1, 2""")
+def _(spark, sf):
+    return S.point_spikes(_hits(spark, sf), ["session_id"], ["vertex_id"])
+
+
+@query("pooled_point_spikes", ctes("contacts") + f"SELECT x, y, z, count(*) AS spike_count, count(DISTINCT ({K})) AS unique_touch_spike_count FROM contacts WHERE spike = 1 GROUP BY 1, 2, 3")
+def _(spark, sf):
+    return S.point_spikes(view(spark, sf, "contacts"), [], ["x", "y", "z"]).orderBy(F.desc("spike_count"))
+
+
+@query("point_selectivity", ctes("contacts") + f"SELECT x, y, z, CAST(sum(spike) AS BIGINT) AS spike_count, count(*) AS total_count, {r('avg(spike)', 'selectivity')} FROM contacts GROUP BY 1, 2, 3 HAVING avg(spike) >= 0.5")
+def _(spark, sf):
+    return rounded(S.selectivity(view(spark, sf, "contacts"), [], ["x", "y", "z"], 0.5))
+
+
+@query("spike_ratio", ctes("contacts") + f""", n AS (SELECT session_id, count(DISTINCT ({K})) AS n_touches FROM contacts GROUP BY 1),
+s AS (SELECT session_id, x, y, z, count(*) AS spike_count, count(DISTINCT ({K})) AS unique_touch_spike_count FROM contacts WHERE spike = 1 GROUP BY 1, 2, 3, 4)
+SELECT s.*, n_touches, {r("unique_touch_spike_count / n_touches", "spike_ratio", 9)} FROM s JOIN n USING (session_id)""")
+def _(spark, sf):
+    return rounded(S.spike_ratio(view(spark, sf, "contacts"), ["session_id"], ["x", "y", "z"]), 9)
+
+
+@query("unique_millimetre_points", ctes("contacts") + "SELECT DISTINCT session_id, round_even(x / 4, 0) * 4 + 0.0 AS x, round_even(y / 4, 0) * 4 + 0.0 AS y, round_even(z / 4, 0) * 4 + 0.0 AS z FROM contacts")
+def _(spark, sf):
+    return S.unique_points(view(spark, sf, "contacts"), ["session_id"], 4.0).select("session_id", *[(F.col(a) + 0.0).alias(a) for a in "xyz"])
+
+
+@query("spike_cells_outside_touches", ctes("contacts") + "SELECT DISTINCT x, y, z FROM contacts WHERE spike = 1 EXCEPT SELECT x, y, z FROM contacts WHERE gesture_type = 'tap'")
+def _(spark, sf):
+    c = view(spark, sf, "contacts")
+    return S.not_contained(c.filter("spike = 1"), c.filter("gesture_type = 'tap'"), ["x", "y", "z"])
+
+
+@query("touch_key_semi_join", ctes("contacts", "touches") + f"""SELECT session_id, count(*) AS n, {r("avg(iff)", "iff_mean")} FROM contacts c
+WHERE EXISTS (SELECT 1 FROM touches t WHERE t.single_touch_id = c.single_touch_id AND depth_max > 48) GROUP BY 1""")
+def _(spark, sf):
+    t = view(spark, sf, "touches").filter("depth_max > 48").select("single_touch_id")
+    c = view(spark, sf, "contacts").join(t, "single_touch_id", "left_semi")
+    return rounded(c.groupBy("session_id").agg(F.count("*").alias("n"), F.avg("iff").alias("iff_mean")))
+
+
+@query("touches_with_response_maps", NEAR + f"t AS (SELECT DISTINCT {K} FROM rf WHERE gesture_type = 'tap') SELECT session_id, count(*) AS n FROM rf JOIN t USING ({K}) GROUP BY 1")
+def _(spark, sf):
+    rf = _rf(spark, sf)
+    touches = rf.filter("gesture_type = 'tap'").select(*KEYS).distinct()
+    return S.require_rf(touches, rf).groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("neuron_types", ctes("touches") + """SELECT t.session_id, n_name AS unit, r_name AS neuron_type, count(*) AS n FROM touches t JOIN nation ON n_nationkey = CAST(substr(t.session_id, 2) AS INT)
+JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    nation, region = view(spark, sf, "nation"), view(spark, sf, "region")
+    dim = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias(" Unit "), F.col("r_name").alias("Neuron Type"))
+    t = view(spark, sf, "touches").withColumn("n_nationkey", F.substring("session_id", 2, 9).cast("int"))
+    t = t.groupBy("session_id", "n_nationkey").agg(F.count("*").alias("n")).join(nation, "n_nationkey").select("session_id", F.col("n_name").alias("unit"), "n")
+    return S.with_neuron_type(t, dim)
+
+
+AXES = {"depth_max": (5.0, 50.0, 5.0, 12.0), "velocity_max": (10.0, 100.0, 15.0, 30.0)}
+GRID = NEAR + """d AS (SELECT CAST(i AS INT) AS i_depth_max, 5 + i * 5.0 AS cd FROM range(9) t(i)), e AS (SELECT CAST(j AS INT) AS i_velocity_max, 10 + j * 15.0 AS cv FROM range(6) t(j)),
+feat AS (SELECT {K}, max(x) + 25 AS depth_max, max(iff) AS velocity_max FROM contacts GROUP BY {K}),
+mem AS (SELECT {K}, i_depth_max, i_velocity_max FROM feat, d, e WHERE depth_max BETWEEN cd - 6 AND cd + 6 AND velocity_max BETWEEN cv - 15 AND cv + 15),
+""".replace("{K}", K)
+
+
+def _members(spark, sf):
+    c = view(spark, sf, "contacts")
+    feat = c.groupBy(*KEYS).agg((F.max("x") + 25).alias("depth_max"), F.max("iff").alias("velocity_max"))
+    return S.cell_members(feat, AXES)
+
+
+CELL = ["session_id", "i_depth_max", "i_velocity_max"]
+
+
+@query("feature_grid", """SELECT CAST(i AS INT) AS i_depth_max, 5 + i * 5.0 AS center_depth_max, CAST(j AS INT) AS i_velocity_max, 10 + j * 15.0 AS center_velocity_max, n
+FROM range(9) a(i), range(6) b(j), (SELECT count(*) AS n FROM lineitem) WHERE 5 + i * 5.0 <= (SELECT max(l_quantity) FROM lineitem)""")
+def _(spark, sf):
+    top = view(spark, sf, "lineitem").agg(F.max("l_quantity").alias("top"), F.count("*").alias("n"))
+    grid = S.feature_grid(spark, {k: v[:3] for k, v in AXES.items()})
+    return grid.join(F.broadcast(top)).filter("center_depth_max <= top").drop("top").select(  # top is one row
+        "i_depth_max", F.col("center_depth_max").cast("double"), "i_velocity_max", F.col("center_velocity_max").cast("double"), "n")
+
+
+@query("grid_membership", GRID + "q AS (SELECT * FROM mem) SELECT session_id, i_depth_max, i_velocity_max, count(*) AS n FROM q GROUP BY 1, 2, 3")
+def _(spark, sf):
+    return _members(spark, sf).groupBy(*CELL).agg(F.count("*").alias("n"))
+
+
+_CELLMAP = GRID + f"""n AS (SELECT session_id, i_depth_max, i_velocity_max, count(*) AS n_touches FROM mem GROUP BY 1, 2, 3),
+r1 AS (SELECT {K}, vertex_id, avg(iff) AS rf_mean FROM hits GROUP BY {K}, vertex_id),
+maps AS (SELECT m.session_id, i_depth_max, i_velocity_max, vertex_id, avg(rf_mean) AS value, count(DISTINCT ({", ".join("m." + k for k in KEYS)})) AS n_unique FROM mem m JOIN r1 USING ({K}) GROUP BY 1, 2, 3, 4),
+cellmap AS (SELECT maps.*, n_touches FROM maps JOIN n USING (session_id, i_depth_max, i_velocity_max) WHERE n_unique >= greatest(1, CAST(round_even(0.003 * n_touches, 0) AS BIGINT)))
+"""
+
+
+def _cellmap(spark, sf):
+    return S.grid_rf(_members(spark, sf), _rf(spark, sf, KEYS), CELL, 0.003)
+
+
+@query("grid_response_maps", _CELLMAP + f"SELECT session_id, i_depth_max, i_velocity_max, vertex_id, {r('value', 'value')}, n_unique, n_touches FROM cellmap")
+def _(spark, sf):
+    return rounded(_cellmap(spark, sf))
+
+
+_C = "session_id, i_depth_max, i_velocity_max"
+
+
+@query("cell_intensity", _CELLMAP + f"""SELECT {_C}, {r("max(value)", "max_iff")}, {r("avg(value)", "mean_iff")}, {r("stddev_pop(value)", "std_iff")}, {r("max(value) - min(value)", "iff_range")}, count(*) AS n_vertices, {r("median(value)", "median_iff")},
+{r("CASE WHEN count(*) >= 2 AND max(value) > min(value) THEN (avg(value) - min(value)) / (max(value) - min(value)) END", "hypsometric_integral")}, {r("CASE WHEN count(*) >= 2 THEN stddev_pop(value) / avg(value) END", "coefficient_of_variation")}
+FROM cellmap GROUP BY {_C}""")
+def _(spark, sf):
+    return rounded(M.intensity(_cellmap(spark, sf), CELL))
+
+
+@query("cell_distribution", _CELLMAP + f""", k AS (SELECT *, row_number() OVER (PARTITION BY {_C} ORDER BY value) AS rk, avg(value) OVER (PARTITION BY {_C}) AS mu, sum(value) OVER (PARTITION BY {_C}) AS tot FROM cellmap)
+SELECT {_C}, {r("CASE WHEN count(*) >= 2 AND max(value) > min(value) THEN avg(pow(value - mu, 3)) / pow(avg(pow(value - mu, 2)), 1.5) END", "iff_skewness")},
+{r("CASE WHEN count(*) >= 2 AND max(value) > min(value) THEN avg(pow(value - mu, 4)) / pow(avg(pow(value - mu, 2)), 2) - 3 END", "iff_kurtosis")},
+{r("CASE WHEN count(*) = 1 THEN 0 ELSE 2 * sum(rk * value) / (count(*) * min(tot)) - (count(*) + 1) / count(*) END", "gini_coefficient")}, {r("CASE WHEN count(*) = 1 THEN 0 ELSE -sum(value / tot * log2(value / tot)) END", "shannon_entropy")}
+FROM k GROUP BY {_C}""")
+def _(spark, sf):
+    return rounded(M.distribution(_cellmap(spark, sf), CELL))
+
+
+_PLACED = _CELLMAP + ", placed AS (SELECT cellmap.*, x, y, z, x AS u, y AS v FROM cellmap JOIN vertices USING (vertex_id))"
+
+
+def _placed(spark, sf):
+    v = view(spark, sf, "vertices").select("vertex_id", "x", "y", "z", F.col("x").alias("u"), F.col("y").alias("v"))
+    return _cellmap(spark, sf).join(v, "vertex_id")
+
+
+@query("cell_centroids", _PLACED + f""" SELECT {_C}, {", ".join(r(f"sum(value * {a}) / sum(value)", f"weighted_centroid_{a}") for a in "xyz")} FROM placed GROUP BY {_C}""")
+def _(spark, sf):
+    return rounded(M.weighted_centroid(_placed(spark, sf), CELL, ["x", "y", "z"], "value"))
+
+
+_COV = "cov AS (SELECT {by}, count(*) AS n, avg(u) AS mu, avg(v) AS mv, covar_pop(u, u) AS a, covar_pop(u, v) AS b, covar_pop(v, v) AS d FROM {src} GROUP BY {by})"
+_E1, _E2 = "((a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b))", "greatest(0, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b))"
+
+
+@query("heat_alignment", NEAR + f"""h AS (SELECT session_id, vertex_id, avg(rf_mean) AS value FROM rf GROUP BY 1, 2), p AS (SELECT h.*, x AS u, y AS v FROM h JOIN vertices USING (vertex_id) WHERE value > 0),
+{_COV.format(by="session_id", src="p")}, t AS (SELECT *, atan2(2 * b, a - d) / 2 AS w FROM cov)
+SELECT session_id, {r("mu", "center_u")}, {r("mv", "center_v")}, {r("degrees(w)", "angle_deg", 4)}, {r("cos(w)", "major_u")}, {r("sin(w)", "major_v")}, {r("-sin(w)", "minor_u")}, {r("cos(w)", "minor_v")} FROM t""")
+def _(spark, sf):
+    v = view(spark, sf, "vertices").select("vertex_id", F.col("x").alias("u"), F.col("y").alias("v"))
+    h = S.heatmap(_rf(spark, sf), ["session_id"]).join(v, "vertex_id")
+    return rounded(M.pca_alignment(h, ["session_id"]), 6, angle_deg=4)
+
+
+@query("contact_ellipse", ctes("contacts") + f""", q AS (SELECT session_id, gesture_type, x AS u, y AS v FROM contacts), {_COV.format(by="session_id, gesture_type", src="q")}
+SELECT session_id, gesture_type, {r("mu", "center_u", 4)}, {r("mv", "center_v", 4)}, n AS n_points, {r(f"2 * sqrt({_E1})", "ellipse_major", 4)}, {r(f"2 * sqrt({_E2})", "ellipse_minor", 4)},
+{r("degrees(atan2(2 * b, a - d) / 2)", "orientation_deg", 3)}, {r(f"sqrt({_E1}) / sqrt({_E2})", "aspect_ratio", 4)}, {r(f"sqrt(1 - {_E2} / {_E1})", "eccentricity", 4)} FROM cov""")
+def _(spark, sf):
+    c = view(spark, sf, "contacts").withColumns({"u": F.col("x"), "v": F.col("y")})
+    return rounded(M.ellipse(c, ["session_id", "gesture_type"]), 4, orientation_deg=3)
+
+
+@query("hotspot_vertices", NEAR + """h AS (SELECT session_id, vertex_id, avg(rf_mean) AS value FROM rf GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY value DESC, vertex_id) AS rk, count(*) OVER (PARTITION BY session_id) AS n FROM h)
+SELECT session_id, vertex_id FROM k WHERE rk <= ceil(0.2 * n)""")
+def _(spark, sf):
+    h = S.heatmap(_rf(spark, sf), ["session_id"])
+    return M.top_share(h, ["session_id"], "value", "vertex_id").select("session_id", "vertex_id")
+
+
+@query("half_peak_vertices", NEAR + """h AS (SELECT session_id, vertex_id, avg(rf_mean) AS value FROM rf GROUP BY 1, 2)
+SELECT session_id, count(*) AS n FROM (SELECT *, max(value) OVER (PARTITION BY session_id) AS peak FROM h) WHERE value >= 0.5 * peak GROUP BY 1""")
+def _(spark, sf):
+    h = S.heatmap(_rf(spark, sf), ["session_id"])
+    return M.above_peak_share(h, ["session_id"], "value").groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("contact_hulls")
+def _(spark, sf):
+    return rounded(M.convex_hulls(view(spark, sf, "contacts"), ["session_id", "gesture_type"], "x", "y"))
+
+
+@query("cell_metrics")
+def _(spark, sf):
+    return rounded(M.map_metrics(_placed(spark, sf), CELL), 5)
+
+
+@query("cell_baseline_overlap", _CELLMAP + f""", base AS (SELECT session_id, vertex_id FROM rf GROUP BY 1, 2), nb AS (SELECT session_id, count(*) AS nb FROM base GROUP BY 1),
+b AS (SELECT c.session_id, i_depth_max, i_velocity_max, count(*) AS na, count(base.vertex_id) AS bo FROM cellmap c LEFT JOIN base ON base.session_id = c.session_id AND base.vertex_id = c.vertex_id GROUP BY 1, 2, 3)
+SELECT {_C}, {r("bo / (na + nb - bo)", "jaccard")}, {r("bo / nb", "containment")} FROM b JOIN nb USING (session_id)""")
+def _(spark, sf):
+    return rounded(M.vertex_overlap(_cellmap(spark, sf), _rf(spark, sf), CELL, ["session_id"]))
+
+
+@query("cell_baseline_deviation")
+def _(spark, sf):
+    cells = M.map_metrics(_placed(spark, sf), CELL)
+    v = view(spark, sf, "vertices").select("vertex_id", "x", "y", "z", F.col("x").alias("u"), F.col("y").alias("v"))
+    base = S.heatmap(_rf(spark, sf), ["session_id"]).join(v, "vertex_id")
+    out = M.baseline_deviation(cells, M.map_metrics(base, ["session_id"]), ["session_id"])
+    return rounded(out.select(*CELL, *[c for c in out.columns if c.startswith("deviation_")]), 5)
+
+
+@query("grid_metric_pivot", _CELLMAP + f""", q AS (SELECT i_velocity_max, i_depth_max, max(nullif(n_touches, 0)) AS m FROM cellmap GROUP BY 1, 2)
+SELECT i_velocity_max, {", ".join(f'max(m) FILTER (i_depth_max = {i}) AS "{i}"' for i in range(9))} FROM q GROUP BY 1""")
+def _(spark, sf):
+    q = _cellmap(spark, sf).groupBy("i_velocity_max", "i_depth_max").agg(F.max(F.nullif("n_touches", F.lit(0))).alias("m"))
+    return q.groupBy("i_velocity_max").pivot("i_depth_max", list(range(9))).agg(F.max("m"))
+
+
+_R30 = [[0.8660254037844387, -0.5, 0.0], [0.5, 0.8660254037844387, 0.0], [0.0, 0.0, 1.0]]
+
+
+@query("tangent_projection", ctes("vertices") + f"""SELECT vertex_id, {r("(x - 1) * 0.8660254037844387 - 0.5 * (y - 2)", "u")}, {r("(x - 1) * 0.5 + 0.8660254037844387 * (y - 2)", "v")} FROM vertices""")
+def _(spark, sf):
+    rot = [[F.lit(x) for x in row] for row in _R30]
+    out = S.project(view(spark, sf, "vertices"), "tangent_plane", {"center": [1.0, 2.0, 0.0], "rotation": rot})
+    return rounded(out.select("vertex_id", "u", "v"))
+
+
+@query("cylinder_projection", ctes("vertices") + f"""SELECT vertex_id, {r("40 * atan2(y, x)", "u")}, {r("z", "v")} FROM vertices""")
+def _(spark, sf):
+    out = S.project(view(spark, sf, "vertices"), "cylindrical_unwrap", {"axis": [0.0, 0.0, 1.0], "center": [0.0, 0.0, 0.0], "radius": 40.0})
+    return rounded(out.select("vertex_id", "u", "v"))
+
+
+@query("fitted_cylinder_projection")
+def _(spark, sf):
+    v = view(spark, sf, "vertices")
+    axis, radius = S.cylinder_axis(v, [0.0, 0.0, 0.0])
+    return rounded(S.project(v, "cylindrical_unwrap", {"axis": axis, "center": [0.0, 0.0, 0.0], "radius": radius}).select("vertex_id", "u", "v"), 3)
+
+
+@query("view_rotation", ctes("vertices") + f""", c AS (SELECT vertex_id, x AS px, y AS py, 100 AS pz FROM vertices),
+b AS (SELECT vertex_id, px / sqrt(px * px + py * py + 10000) AS bx, py / sqrt(px * px + py * py + 10000) AS by_, 100 / sqrt(px * px + py * py + 10000) AS bz FROM c)
+SELECT vertex_id, {r("bz / sqrt(bz * bz + bx * bx)", "right_x")}, {r("-bx / sqrt(bz * bz + bx * bx)", "right_z")}, {r("bx", "back_x")}, {r("by_", "back_y")}, {r("bz", "back_z")} FROM b""")
+def _(spark, sf):
+    v = view(spark, sf, "vertices")
+    right, up, back = C.view_rotation([F.col("x"), F.col("y"), F.lit(100.0)], [F.lit(0.0)] * 3, [F.lit(0.0), F.lit(1.0), F.lit(0.0)])
+    return rounded(v.select("vertex_id", right[0].alias("right_x"), right[2].alias("right_z"), back[0].alias("back_x"), back[1].alias("back_y"), back[2].alias("back_z")))
+
+
+# A mesh over the quantity x discount lattice of each session, bent along its mean price.
+MESH = ctes("raster") + """,
+mv AS (SELECT session_id, r * 100 + c AS vertex_id, CAST(r AS DOUBLE) AS u, CAST(c AS DOUBLE) AS v, r * 2.0 AS x, c * 3.0 AS y, sum(z) / sum(n) * 0.01 AS z FROM raster GROUP BY session_id, r, c),
+mf AS (SELECT session_id, vertex_id AS i, vertex_id + 1 AS j, vertex_id + 100 AS k FROM mv WHERE vertex_id // 100 < 49 AND vertex_id % 100 < 10
+  UNION ALL SELECT session_id, vertex_id + 1, vertex_id + 100, vertex_id + 101 FROM mv WHERE vertex_id // 100 < 49 AND vertex_id % 100 < 10)
+"""
+
+
+def _mesh(spark, sf):
+    ras = view(spark, sf, "raster")
+    v = ras.groupBy("session_id", "r", "c").agg((F.sum("z") / F.sum("n") * 0.01).alias("z")).select(
+        "session_id", (F.col("r") * 100 + F.col("c")).alias("vertex_id"), F.col("r").cast("double").alias("u"), F.col("c").cast("double").alias("v"),
+        (F.col("r") * 2.0).alias("x"), (F.col("c") * 3.0).alias("y"), "z")
+    b = v.filter("vertex_id div 100 < 49 AND vertex_id % 100 < 10")
+    f = b.selectExpr("session_id", "vertex_id AS i", "vertex_id + 1 AS j", "vertex_id + 100 AS k").unionByName(
+        b.selectExpr("session_id", "vertex_id + 1 AS i", "vertex_id + 100 AS j", "vertex_id + 101 AS k"))
+    return v, f
+
+
+@query("mesh_scale", MESH + f""", e AS (SELECT DISTINCT session_id, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT session_id, i AS a, j AS b FROM mf UNION ALL SELECT session_id, j, k FROM mf UNION ALL SELECT session_id, i, k FROM mf))
+SELECT session_id, {r("median(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) / sqrt((p.u - q.u) ** 2 + (p.v - q.v) ** 2))", "uv_to_mm")}
+FROM e JOIN mv p ON p.session_id = e.session_id AND p.vertex_id = e.a JOIN mv q ON q.session_id = e.session_id AND q.vertex_id = e.b GROUP BY e.session_id""".replace("SELECT session_id, round(CAST(median", "SELECT e.session_id, round(CAST(median"))
+def _(spark, sf):
+    v, f = _mesh(spark, sf)
+    return rounded(S.mesh_scale(f, v, ["session_id"]))
+
+
+@query("surface_lookup", MESH + f""", p AS (SELECT DISTINCT session_id, l_quantity * 0.97 AS u, round(l_tax * 100) * 1.1 + 0.05 AS v FROM (SELECT *, concat('s', CAST(l_suppkey % 4 AS STRING)) AS session_id FROM lineitem)),
+t AS (SELECT p.*, CAST(floor(u) AS INT) AS r0, CAST(floor(v) AS INT) AS c0, u - floor(u) AS fu, v - floor(v) AS fv FROM p),
+q AS (SELECT t.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz, d.x AS dx, d.y AS dy, d.z AS dz FROM t
+ JOIN mv a ON a.session_id = t.session_id AND a.vertex_id = r0 * 100 + c0 JOIN mv b ON b.session_id = t.session_id AND b.vertex_id = r0 * 100 + c0 + 1
+ JOIN mv c ON c.session_id = t.session_id AND c.vertex_id = r0 * 100 + c0 + 100 JOIN mv d ON d.session_id = t.session_id AND d.vertex_id = r0 * 100 + c0 + 101)
+SELECT session_id, {r("u", "u")}, {r("v", "v")}, {r("CASE WHEN fu + fv <= 1 THEN ax + fu * (cx - ax) + fv * (bx - ax) ELSE dx + (1 - fu) * (bx - dx) + (1 - fv) * (cx - dx) END", "x")},
+ {r("CASE WHEN fu + fv <= 1 THEN az + fu * (cz - az) + fv * (bz - az) ELSE dz + (1 - fu) * (bz - dz) + (1 - fv) * (cz - dz) END", "z")} FROM q""")
+def _(spark, sf):
+    v, f = _mesh(spark, sf)
+    p = view(spark, sf, "lineitem").selectExpr("concat('s', CAST(l_suppkey % 4 AS STRING)) AS session_id", "l_quantity * 0.97D AS u", "round(l_tax * 100) * 1.1D + 0.05D AS v")
+    return rounded(S.uv_to_xyz(p, f, v, ["session_id"], 1.0).filter("inside").select("session_id", "u", "v", "x", "z"))
+
+
+@query("stroke_report", ctes("raw") + f"""SELECT {K}, {r("last(contact_location_x ORDER BY frame_idx) FILTER (contact_location_x IS NOT NULL) - first(contact_location_x ORDER BY frame_idx) FILTER (contact_location_x IS NOT NULL)", "delta_x")},
+ {r("max(contact_location_x) - min(contact_location_x)", "range_x")}, {r("max(contact_location_y) - min(contact_location_y)", "range_y")}, count(contact_location_x) AS n_known, count(*) AS n_frames,
+ min(frame_idx) < min(frame_idx) FILTER (contact_location_x IS NOT NULL) AS gap_at_start, max(frame_idx) > max(frame_idx) FILTER (contact_location_x IS NOT NULL) AS gap_at_end
+FROM raw WHERE single_touch_id <> 0 AND type_metadata = 'stroke' GROUP BY {K}""")
+def _(spark, sf):
+    return rounded(R.stroke_report(view(spark, sf, "raw")))
+
+
+@query("contact_distance_report", NEAR + f"""j AS (SELECT session_id, distance FROM contacts JOIN near USING (x, y, z))
+SELECT session_id, {", ".join(r(f"quantile_cont(distance, {p})", f"p{int(p * 100)}", 5) for p in (0.0, 0.5, 0.9, 0.95, 0.99, 1.0))}, count(*) AS n, {r("avg(CASE WHEN distance > 6 THEN 1.0 ELSE 0.0 END) * 100", "percent_beyond", 5)} FROM j GROUP BY 1""")
+def _(spark, sf):
+    near = S.contacts_on_surface(view(spark, sf, "contacts"), view(spark, sf, "vertices"), [], None)
+    return rounded(R.distance_report(near, ["session_id"], "distance", 6.0), 5)
+
+
+@query("bounding_box_overlap", ctes("contacts", "vertices") + f""", a AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(z) z0, max(z) z1 FROM contacts), b AS (SELECT min(x) p0, max(x) p1, min(y) q0, max(y) q1, min(z) s0, max(z) s1 FROM vertices)
+SELECT {r("greatest(least(x1, p1) - greatest(x0, p0), 0) / (x1 - x0) * 100", "x_overlap")}, {r("greatest(least(y1, q1) - greatest(y0, q0), 0) / (y1 - y0) * 100", "y_overlap")}, {r("greatest(least(z1, s1) - greatest(z0, s0), 0) / (z1 - z0) * 100", "z_overlap")} FROM a, b""")
+def _(spark, sf):
+    return rounded(R.overlap_percent(view(spark, sf, "contacts"), view(spark, sf, "vertices"), [], ["x", "y", "z"]))

@@ -89,7 +89,7 @@ RASTER = """
 SELECT concat('s', CAST(l_suppkey % 4 AS STRING)) AS session_id,
   CASE l_returnflag WHEN 'A' THEN 'stroke_proximal' WHEN 'N' THEN 'tap' ELSE 'stroke_distal' END AS gesture_type,
   CAST(l_quantity AS INT) - 1 AS r, CAST(round(l_discount * 100) AS INT) AS c,
-  (l_quantity - 1) / 49 AS v, round(l_discount * 100) / 10 AS u,
+  (l_quantity - 1) / 49 AS u, round(l_discount * 100) / 10 AS v,
   sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100000.0 AS z, count(*) AS n
 FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6
 """
