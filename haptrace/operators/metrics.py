@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from haptrace.functions import columns as C
 from haptrace.operators.quantiles import percentiles, ranked_values
+from haptrace.session import cut_lineage
 
 
 def intensity(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -163,6 +164,7 @@ def map_metrics(df: DataFrame, keys: list[str], weight: str = "value", tie: str
     """All metrics of response maps given as (keys, vertex, u, v, x, y, z, weight) rows."""
     def hull(rows, name):
         return convex_hulls(rows, keys).select(*keys, *[F.col(f"hull_{c}").alias(f"{name}_{c}") for c in ("area", "perimeter", "corners")])
+    df = cut_lineage(df)  # each family of metrics reads the maps once more
     half = above_peak_share(df, keys, weight)
     out = (
         intensity(df, keys, weight).join(distribution(df, keys, weight), keys)

@@ -1 +1,157 @@
-"""Queries."""
+"""Queries on group tests and rank statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from haptrace.operators import stats as S
+from haptrace.operators import tuning as U
+from haptrace.plans.inputs import ctes, view
+from haptrace.plans.registry import query, r, rounded
+
+X = ctes("touches") + """,
+x AS (SELECT *, CAST(floor(depth_max / 10) AS INT) - 1 AS cluster_label, velocity_max AS val, depth_max / 10 - pressure_max / 2 AS delta, iff_max * 10 AS iv FROM touches),
+g AS (SELECT cluster_label, session_id, count(*) n, avg(val) m, var_pop(val) vp, var_samp(val) vs FROM x WHERE cluster_label >= 0 GROUP BY 1, 2),
+cov AS (SELECT cluster_label FROM g GROUP BY 1 HAVING count(*) FILTER (n >= 5) >= 2),
+gg AS (SELECT g.*, sum(n * m) OVER w / sum(n) OVER w AS grand FROM g SEMI JOIN cov USING (cluster_label) WINDOW w AS (PARTITION BY cluster_label)),
+an AS (SELECT cluster_label, count(*) AS k, CAST(sum(n) AS BIGINT) AS nn, sum(n * (m - grand) * (m - grand)) AS ssb, sum(n * vp) AS ssw FROM gg GROUP BY 1),
+z AS (SELECT x.cluster_label, x.session_id, abs(val - median(val) OVER (PARTITION BY x.cluster_label, x.session_id)) AS z FROM x SEMI JOIN cov USING (cluster_label)),
+zg AS (SELECT cluster_label, session_id, count(*) n, avg(z) m, var_pop(z) vp FROM z GROUP BY 1, 2 HAVING count(*) > 1),
+zz AS (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS grand FROM zg WINDOW w AS (PARTITION BY cluster_label)),
+za AS (SELECT cluster_label, count(*) AS k, CAST(sum(n) AS BIGINT) AS nn, sum(n * (m - grand) * (m - grand)) AS ssb, sum(n * vp) AS ssw FROM zz GROUP BY 1),
+vr AS (SELECT cluster_label, max(vs) FILTER (vs > 0) / min(vs) FILTER (vs > 0) AS ratio FROM gg WHERE n > 1 GROUP BY 1),
+pr AS (SELECT a.cluster_label, a.session_id AS a, b.session_id AS b, a.n AS na, b.n AS nb, a.m - b.m AS diff FROM gg a JOIN gg b ON a.cluster_label = b.cluster_label AND a.session_id < b.session_id),
+pv AS (SELECT pr.*, x.val, CASE WHEN x.session_id = a THEN 1.0 ELSE 0 END AS ina FROM pr JOIN x ON x.cluster_label = pr.cluster_label AND x.session_id IN (a, b)),
+ks AS (SELECT cluster_label, a, b, max(abs(fa / na - fb / nb)) AS ks_statistic FROM (SELECT *, sum(ina) OVER o AS fa, sum(1 - ina) OVER o AS fb FROM pv WINDOW o AS (PARTITION BY cluster_label, a, b ORDER BY val RANGE UNBOUNDED PRECEDING)) GROUP BY 1, 2, 3)
+"""
+
+
+def _x(spark, sf):
+    return view(spark, sf, "touches").withColumns({
+        "cluster_label": F.floor(F.col("depth_max") / 10).cast("int") - 1, "val": F.col("velocity_max"),
+        "delta": F.col("depth_max") / 10 - F.col("pressure_max") / 2, "iv": F.col("iff_max") * 10})
+
+
+@query("bias_test", X + f"""SELECT cluster_label, 'bias' AS strategy, k AS n_sensors, nn AS n_observations, {r("(ssb / (k - 1)) / (ssw / (nn - k))", "test_statistic")}, {r("ssb / (ssb + ssw)", "effect_size")} FROM an""")
+def _(spark, sf):
+    return rounded(S.compare(_x(spark, sf), ["bias"], ["cluster_label"], "session_id", "val").drop("p_value"))
+
+
+@query("precision_test", X + f"""SELECT cluster_label, 'precision' AS strategy, k AS n_sensors, nn AS n_observations, {r("(ssb / (k - 1)) / (ssw / (nn - k))", "test_statistic")}, {r("ratio", "effect_size")} FROM za JOIN vr USING (cluster_label)""")
+def _(spark, sf):
+    return rounded(S.compare(_x(spark, sf), ["precision"], ["cluster_label"], "session_id", "val").drop("p_value"))
+
+
+@query("distribution_test", X + f"""SELECT cluster_label, 'distribution' AS strategy, min(k) AS n_sensors, min(nn) AS n_observations, {r("max(ks_statistic)", "test_statistic")}, {r("max(ks_statistic)", "effect_size")} FROM ks JOIN an USING (cluster_label) GROUP BY 1""")
+def _(spark, sf):
+    return rounded(S.compare(_x(spark, sf), ["distribution"], ["cluster_label"], "session_id", "val").drop("p_value"))
+
+
+@query("ks_pairs", X + f"SELECT cluster_label, a, b, {r('ks_statistic', 'ks_statistic')} FROM ks")
+def _(spark, sf):
+    x = _x(spark, sf).filter("cluster_label >= 0")
+    return rounded(S.ks_pairs(x, ["cluster_label"], "session_id", "val").select("cluster_label", "a", "b", "ks_statistic"))
+
+
+@query("tukey_pairs", X + f"""SELECT cluster_label, a, b, {r("diff", "mean_diff")}, {r("abs(diff) / sqrt(ssw / (nn - k) / 2 * (1 / na + 1 / nb))", "q")} FROM pr JOIN an USING (cluster_label)""")
+def _(spark, sf):
+    x = _x(spark, sf).filter("cluster_label >= 0")
+    return rounded(S.tukey_pairs(x, ["cluster_label"], "session_id", "val").drop("p_value"))
+
+
+@query("comparison_with_p_values")
+def _(spark, sf):
+    out = S.compare(_x(spark, sf), ["bias", "precision", "distribution"], ["cluster_label"], "session_id", "val")
+    return rounded(S.synthesize(out.withColumn("dispersion", F.col("cluster_label") + 1.0), "dispersion"))
+
+
+@query("stratum_synthesis", X + f""", res AS (SELECT cluster_label, 'bias' AS strategy, (ssb / (k - 1)) / (ssw / (nn - k)) / 100 AS p_value FROM an UNION ALL SELECT cluster_label, 'precision', CASE WHEN cluster_label <> 1 THEN ratio / 100 END FROM vr),
+w AS (SELECT *, 1 / (cluster_label + 1 + 1e-9) AS w FROM res)
+SELECT cluster_label, strategy, {r("w / sum(w) OVER (PARTITION BY strategy)", "weight")}, {r("w / sum(w) OVER (PARTITION BY strategy) * coalesce(p_value, 1)", "weighted_p")} FROM w""")
+def _(spark, sf):
+    out = S.compare(_x(spark, sf), ["bias", "precision"], ["cluster_label"], "session_id", "val")
+    made = F.when(F.col("strategy") == "bias", F.col("test_statistic") / 100).when(F.col("cluster_label") != 1, F.col("effect_size") / 100)
+    out = S.synthesize(out.withColumn("p_value", made).withColumn("dispersion", F.col("cluster_label") + 1.0), "dispersion")
+    return rounded(out.select("cluster_label", "strategy", "weight", "weighted_p"))
+
+
+@query("stratum_coverage", ctes("touches") + """, c AS (SELECT block_order_id, session_id, count(*) n FROM touches GROUP BY 1, 2)
+SELECT block_order_id, count(*) FILTER (n >= 60) AS n_covered FROM c GROUP BY 1 HAVING count(*) FILTER (n >= 60) >= 2""")
+def _(spark, sf):
+    return S.coverage(view(spark, sf, "touches"), ["block_order_id"], "session_id", 60, 2)
+
+
+_RK = ", t AS (SELECT cluster_label, iv, count(*) AS c FROM x GROUP BY 1, 2), rk AS (SELECT *, sum(c) OVER (PARTITION BY cluster_label ORDER BY iv) - c + (c + 1) / 2 AS rank FROM t)"
+
+
+@query("kruskal_wallis", X + _RK + f""", s AS (SELECT x.cluster_label, gesture_type, sum(rank) AS rs, count(*) AS n FROM x JOIN rk USING (cluster_label, iv) GROUP BY 1, 2),
+ti AS (SELECT cluster_label, sum(c * c * c - c) AS ties, sum(c) AS n FROM t GROUP BY 1)
+SELECT s.cluster_label, count(*) AS n_groups, CAST(min(ti.n) AS BIGINT) AS n, {r("(12 / (min(ti.n) * (min(ti.n) + 1)) * sum(rs * rs / s.n) - 3 * (min(ti.n) + 1)) / (1 - min(ties) / (min(ti.n) * min(ti.n) * min(ti.n) - min(ti.n)))", "h")}
+FROM s JOIN ti USING (cluster_label) GROUP BY 1""")
+def _(spark, sf):
+    return rounded(S.kruskal(_x(spark, sf), ["cluster_label"], "gesture_type", "iv").drop("p_value"))
+
+
+@query("mann_whitney", X + f""", gs AS (SELECT cluster_label, gesture_type AS gt, count(*) AS n FROM x GROUP BY 1, 2),
+pp AS (SELECT a.cluster_label, a.gt AS a, b.gt AS b, a.n AS na, b.n AS nb FROM gs a JOIN gs b ON a.cluster_label = b.cluster_label AND a.gt < b.gt),
+rr AS (SELECT pp.*, gesture_type = a AS ina, rank() OVER o + (count(*) OVER (PARTITION BY pp.cluster_label, a, b, iv) - 1) / 2 AS rk FROM pp JOIN x ON x.cluster_label = pp.cluster_label AND gesture_type IN (a, b) WINDOW o AS (PARTITION BY pp.cluster_label, a, b ORDER BY iv))
+SELECT cluster_label, a, b, na, nb, {r("sum(rk) FILTER (ina) - na * (na + 1) / 2", "u", 3)} FROM rr GROUP BY 1, 2, 3, 4, 5""")
+def _(spark, sf):
+    return rounded(S.mann_whitney_pairs(_x(spark, sf), ["cluster_label"], "gesture_type", "iv").drop("p_value", "stars"), 3)
+
+
+@query("signed_rank", X + f""", d AS (SELECT cluster_label, delta, rank() OVER (PARTITION BY cluster_label ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY cluster_label, abs(delta)) - 1) / 2 AS rk FROM x WHERE delta <> 0),
+n AS (SELECT cluster_label, count(*) AS n FROM x GROUP BY 1)
+SELECT d.cluster_label, min(n) AS n, count(*) FILTER (delta > 0) AS n_positive, {r("sum(rk) FILTER (delta > 0)", "w_plus", 3)}, {r("least(sum(rk) FILTER (delta > 0), count(*) * (count(*) + 1) / 2 - sum(rk) FILTER (delta > 0))", "w", 3)} FROM d JOIN n USING (cluster_label) GROUP BY 1""")
+def _(spark, sf):
+    return rounded(S.signed_rank(_x(spark, sf).filter("cluster_label IS NOT NULL"), ["cluster_label"], "delta").drop("wilcoxon_p", "sign_p"), 3)
+
+
+@query("hotelling", X + f""", m AS (SELECT cluster_label, count(*) n, avg(delta) mu, avg(iv) mv, var_samp(delta) a, covar_samp(delta, iv) b, var_samp(iv) d FROM x GROUP BY 1),
+t AS (SELECT *, n * (mu * mu * d - 2 * mu * mv * b + mv * mv * a) / (a * d - b * b) AS t2 FROM m)
+SELECT cluster_label, n, {r("t2", "t2", 3)}, {r("t2 * (n - 2) / (2 * (n - 1))", "f", 3)} FROM t""")
+def _(spark, sf):
+    return rounded(S.hotelling(_x(spark, sf), ["cluster_label"], "delta", "iv").drop("p_value"), 3)
+
+
+@query("sign_consistency", X + f"""SELECT cluster_label, count(*) AS n, greatest(count(*) FILTER (delta > 0), count(*) FILTER (delta < 0)) AS n_same, {r("greatest(count(*) FILTER (delta > 0), count(*) FILTER (delta < 0)) / count(*)", "share")} FROM x WHERE delta <> 0 GROUP BY 1""")
+def _(spark, sf):
+    return rounded(S.sign_consistency(_x(spark, sf), ["cluster_label"], "delta").drop("low", "high"))
+
+
+@query("spearman", X + f""", k AS (SELECT cluster_label, rank() OVER (PARTITION BY cluster_label ORDER BY iv) + (count(*) OVER (PARTITION BY cluster_label, iv) - 1) / 2 AS rx,
+ rank() OVER (PARTITION BY cluster_label ORDER BY delta) + (count(*) OVER (PARTITION BY cluster_label, delta) - 1) / 2 AS ry FROM x)
+SELECT cluster_label, count(*) AS n, {r("corr(rx, ry)", "rho")} FROM k GROUP BY 1""")
+def _(spark, sf):
+    return rounded(S.spearman(_x(spark, sf), ["cluster_label"], "iv", "delta"))
+
+
+@query("session_correlation_distance", X + f""", m AS (SELECT session_id, cluster_label, CASE WHEN NOT (session_id = 's2' AND cluster_label > 1) THEN avg(val) END AS v FROM x GROUP BY 1, 2),
+p AS (SELECT a.session_id AS a, b.session_id AS b, count(a.v + b.v) AS n, corr(a.v, b.v) AS c FROM m a JOIN m b ON a.cluster_label = b.cluster_label AND a.session_id < b.session_id AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2)
+SELECT a, b, {r("CASE WHEN n < 2 OR c IS NULL THEN 1.0 ELSE least(greatest(1 - c, 0), 2) END", "distance")} FROM p""")
+def _(spark, sf):
+    m = _x(spark, sf).groupBy("session_id", "cluster_label").agg(F.avg("val").alias("v"))
+    m = m.withColumn("v", F.when(~((F.col("session_id") == "s2") & (F.col("cluster_label") > 1)), F.col("v")))
+    return rounded(S.correlation_distance(m, "session_id", "cluster_label", "v"))
+
+
+@query("session_row_order")
+def _(spark, sf):
+    m = _x(spark, sf).groupBy("session_id", "cluster_label").agg(F.avg("val").alias("v"))
+    order = S.row_order(S.correlation_distance(m, "session_id", "cluster_label", "v"), [])
+    return spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in order])).alias("place", "session_id"))
+
+
+@query("adjusted_rand", X + f""", c AS (SELECT session_id, cluster_label AS a, gesture_type AS b, count(*) AS n FROM x GROUP BY 1, 2, 3),
+s AS (SELECT session_id, sum(n * (n - 1) / 2) ij, sum(n) n FROM c GROUP BY 1), sa AS (SELECT session_id, sum(m * (m - 1) / 2) a FROM (SELECT session_id, a, sum(n) m FROM c GROUP BY 1, 2) GROUP BY 1),
+sb AS (SELECT session_id, sum(m * (m - 1) / 2) b FROM (SELECT session_id, b, sum(n) m FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT session_id, {r("(ij - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2))", "ari", 9)} FROM s JOIN sa USING (session_id) JOIN sb USING (session_id)""")
+def _(spark, sf):
+    return rounded(S.adjusted_rand(_x(spark, sf), "cluster_label", "gesture_type", ["session_id"]), 9)
+
+
+@query("cross_neuron_summary", X + f""", p AS (SELECT gesture_type, cluster_label, session_id, avg(val) v FROM x GROUP BY 1, 2, 3)
+SELECT gesture_type, cluster_label, {r("avg(v)", "response_mean")}, {r("CASE WHEN count(v) > 1 THEN stddev_samp(v) / sqrt(count(v)) ELSE 0 END", "response_sem")}, count(*) AS n_sessions FROM p GROUP BY 1, 2""")
+def _(spark, sf):
+    x = _x(spark, sf).withColumn("kind", F.struct("gesture_type", "cluster_label")).withColumn("response", F.col("val"))
+    return rounded(U.type_means(x, "session_id", "kind", ["response"]).select("kind.*", "response_mean", "response_sem", "n_sessions"))
