@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from haptrace.functions import columns as C
 from haptrace.operators.surface import nearest
 from haptrace.operators.tuning import gaussian_kernel
+from haptrace.session import cut_lineage
 
 MARGIN = 0.05
 BORDER = 2
@@ -273,7 +274,7 @@ def _quads(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def sample(points: DataFrame, raster: DataFrame, keys: list[str], rows: int, cols: int, value: str = "z",
            fill_mean: bool = True) -> DataFrame:
     """Bilinear value at fractional (row, column) points; unknown cells count as the raster mean."""
-    whole = raster if fill_mean is None else complete(raster.select(*keys, "r", "c", F.col(value).alias("z")), keys, rows, cols)
+    whole = complete(raster.select(*keys, "r", "c", F.col(value).alias("z")), keys, rows, cols)
     mean = raster.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     filled = whole.join(mean, keys).withColumn("_zf", F.coalesce("z", "_mean" if fill_mean else F.lit(0.0)))
     pr = F.greatest(F.lit(0.0), F.least(F.col("row"), F.lit(float(rows - 1))))
@@ -354,7 +355,9 @@ BOUNDARIES = {"inflection": inflection_contours, "gradient": gradient_contours}
 def boundaries(raster: DataFrame, keys: list[str], rows: int, cols: int, method: str = "inflection", sigma: float = 4.0) -> DataFrame:
     if method not in BOUNDARIES:
         raise ValueError(f"unknown boundary method {method!r}; known: {sorted(BOUNDARIES)}")
-    return boundary_metrics(BOUNDARIES[method](raster, keys, rows, cols, sigma), raster, keys, rows, cols)
+    raster = cut_lineage(raster)  # read by every step below
+    contours = cut_lineage(BOUNDARIES[method](raster, keys, rows, cols, sigma))
+    return boundary_metrics(contours, raster, keys, rows, cols)
 
 
 # --- profiles and comparisons ----------------------------------------------------------
@@ -446,11 +449,12 @@ def compare_pair(b: DataFrame, key: str, subset: str, first: str, second: str, h
     Sessions need a boundary for both gestures and the whole.  ``b`` holds boundary metrics per
     session and subset as made by ``with_derived``.
     """
-    def side(name, mark):
-        cols = [*PAIR_COLUMNS, "pca_orientation_deg", "centroid_u", "centroid_v", "peak_u", "peak_v"]
-        return b.filter(F.col(subset) == name).select(key, *[F.col(c).alias(f"{c}_{mark}") for c in cols])
-    w = side(first, "a").join(side(second, "b"), key).join(side("all", "all"), key)
-    w = w.join(side(hotspot_reference, "hot"), key, "left").join(side(area_reference, "ref"), key, "left")
+    cols = [*PAIR_COLUMNS, "pca_orientation_deg", "centroid_u", "centroid_v", "peak_u", "peak_v"]
+    sides = {"a": first, "b": second, "all": "all", "hot": hotspot_reference, "ref": area_reference}
+    present = [F.count_if(F.col(subset) == sides[m]).alias(f"_has_{m}") for m in ("a", "b", "all")]
+    w = b.groupBy(key).agg(*present, *[
+        F.max(F.when(F.col(subset) == name, F.col(c))).alias(f"{c}_{m}") for m, name in sides.items() for c in cols
+    ]).filter("_has_a > 0 AND _has_b > 0 AND _has_all > 0")
     out = {f"delta_{c}": F.col(f"{c}_a") - F.col(f"{c}_b") for c in PAIR_COLUMNS}
     out["area_ratio"] = C.safe_ratio("area_a", "area_b")
     out["delta_area_pct"] = F.when(F.col("area_ref") > 0, (F.col("area_a") - F.col("area_b")) / F.col("area_ref") * 100)

@@ -1 +1,162 @@
-"""Queries."""
+"""Queries on reduction, clustering, quality and curve fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from haptrace.operators import density as D
+from haptrace.operators import fits as J
+from haptrace.operators import models as M
+from haptrace.operators import surface as S
+from haptrace.operators.clusters import cluster
+from haptrace.plans.inputs import ctes, view
+from haptrace.plans.registry import query, r, rounded
+from haptrace.schema import KEYS
+
+V = ctes("vertices")
+T = ctes("touches")
+XYZ = ["x", "y", "z"]
+
+
+def _std(c):
+    return f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
+
+
+@query("standard_scaling", V + f"SELECT vertex_id, {', '.join(r(_std(c), c) for c in XYZ)} FROM vertices")
+def _(spark, sf):
+    return rounded(M.scale(view(spark, sf, "vertices"), XYZ).select("vertex_id", *XYZ))
+
+
+@query("robust_scaling", V + f"""SELECT vertex_id, {', '.join(r(f"({c} - (SELECT median({c}) FROM vertices)) / (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM vertices)", c) for c in XYZ)} FROM vertices""")
+def _(spark, sf):
+    return rounded(M.scale(view(spark, sf, "vertices"), XYZ, "robust").select("vertex_id", *XYZ))
+
+
+@query("reduced_features")
+def _(spark, sf):
+    out, names, _ = M.reduce_features(view(spark, sf, "vertices"), XYZ, 0.0, "standard", 2)
+    return rounded(out.select("vertex_id", *[F.abs(n).alias(n) for n in names]), 4)
+
+
+def _clusters(name, spark, sf, **options):
+    data = view(spark, sf, "vertices").withColumn("session_id", F.concat(F.lit("s"), (F.col("vertex_id") % 4).cast("string")))
+    n = data.count()
+    options = {k: max(2, int(n * v)) if isinstance(v, float) else v for k, v in options.items()}
+    out, _ = cluster(name, data, ["x", "y"], options)
+    return out.groupBy("cluster_label").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+@query("kmeans_clusters")
+def _(spark, sf):
+    return rounded(_clusters("kmeans", spark, sf, min_touches_per_cluster=0.12), 4)
+
+
+@query("gmm_clusters")
+def _(spark, sf):
+    return rounded(_clusters("gmm", spark, sf, min_touches_per_cluster=0.1, max_components=3, max_iter=300, covariance_type="diag"), 3)
+
+
+@query("hierarchical_strata")
+def _(spark, sf):
+    return rounded(_clusters("hierarchical", spark, sf, min_instances_per_sensor=0.05, min_sensor_types=3), 4)
+
+
+@query("dbscan_clusters")
+def _(spark, sf):
+    v = view(spark, sf, "vertices")
+    return D.dbscan_labels(v.select("vertex_id", *XYZ), [], XYZ, 6.0, 6).select("vertex_id", "cluster_label")
+
+
+@query("dbscan_auto_eps")
+def _(spark, sf):
+    return rounded(D.k_distances(view(spark, sf, "vertices"), ["x", "y"], 5), 6)
+
+
+@query("selective_point_clusters")
+def _(spark, sf):
+    p = S.selectivity(view(spark, sf, "contacts"), [], XYZ)
+    return rounded(D.cluster_points(p, XYZ, "selectivity", 0.75, 2.5, 4, 3), 4)
+
+
+@query("point_blobs")
+def _(spark, sf):
+    return D.blobs(view(spark, sf, "vertices").select("vertex_id", "x", "y"), ["x", "y"], 2.0).select("vertex_id", "cluster_label")
+
+
+@query("centroid_quality", V + f""", m AS (SELECT label, count(*) n, avg(x) mx, avg(y) my, avg(z) mz, var_pop(x) + var_pop(y) + var_pop(z) AS v FROM vertices GROUP BY 1),
+s AS (SELECT label, avg(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)) AS s FROM vertices JOIN m USING (label) GROUP BY 1), ms AS (SELECT * FROM m JOIN s USING (label)),
+db AS (SELECT avg(w) AS db FROM (SELECT a.label, max((a.s + b.s) / sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2 + (a.mz - b.mz) ** 2)) AS w FROM ms a JOIN ms b ON a.label <> b.label GROUP BY 1)),
+g AS (SELECT avg(x) gx, avg(y) gy, avg(z) gz, count(*) AS n FROM vertices)
+SELECT count(*) AS n_clusters, {r("min(db)", "davies_bouldin_score")}, {r("(sum(m.n * ((mx - gx) ** 2 + (my - gy) ** 2 + (mz - gz) ** 2)) / (count(*) - 1)) / (sum(m.n * v) / (min(g.n) - count(*)))", "calinski_harabasz_score")} FROM m, g, db""")
+def _(spark, sf):
+    return rounded(M.centroid_quality(view(spark, sf, "vertices"), XYZ, "label"))
+
+
+@query("cluster_description", T + f""", c AS (SELECT *, CAST(floor(depth_max / 10) AS INT) AS cluster_label FROM touches)
+SELECT session_id, cluster_label, count(*) AS n_touches, round_even(min(iff_max), 2) AS iff_max_min, round_even(max(iff_max), 2) AS iff_max_max, {r("round_even(avg(iff_max), 2)", "iff_max_mean", 1)},
+ {r("round_even(count(*) FILTER (gesture_type = 'tap') / count(*), 3)", "tap_share", 3)} FROM c GROUP BY 1, 2""")
+def _(spark, sf):
+    c = view(spark, sf, "touches").withColumn("cluster_label", F.floor(F.col("depth_max") / 10).cast("int"))
+    out = M.describe_clusters(c, ["iff_max"], ["session_id", "cluster_label"])
+    out = out.withColumn("tap_share", F.coalesce(F.col("gesture_share")["tap"], F.lit(0.0))).drop("gesture_share")
+    return rounded(out, 6, iff_max_mean=1, tap_share=3)
+
+
+@query("bootstrap_stability")
+def _(spark, sf):
+    v = view(spark, sf, "vertices")
+    value = M.stability(v, ["x", "y"], "cartesian_binning", {"n_bins": 3}, rounds=4, keys=["vertex_id"])
+    return rounded(v.agg(F.count("*").alias("n"), F.lit(value).alias("bootstrap_ari")))
+
+
+# --- fits ------------------------------------------------------------------------------
+
+_XY = T + ", d AS (SELECT session_id, gesture_type, velocity_max AS x, depth_max + iff_max AS y FROM touches)"
+
+
+def _d(spark, sf):
+    return view(spark, sf, "touches").select("session_id", "gesture_type", F.col("velocity_max").alias("x"), (F.col("depth_max") + F.col("iff_max")).alias("y"))
+
+
+@query("line_fit", _XY + f"SELECT session_id, gesture_type, count(*) AS n, {r('regr_slope(y, x)', 'a')}, {r('regr_intercept(y, x)', 'b')}, {r('regr_r2(y, x)', 'r_squared')} FROM d GROUP BY 1, 2")
+def _(spark, sf):
+    return rounded(J.line_fit(_d(spark, sf), ["session_id", "gesture_type"], "x", "y"))
+
+
+@query("log_fit", _XY + f"SELECT session_id, count(*) AS n, {r('regr_slope(y, ln(greatest(x, 1e-12)))', 'a')}, {r('regr_intercept(y, ln(greatest(x, 1e-12)))', 'b')}, {r('regr_r2(y, ln(greatest(x, 1e-12)))', 'r_squared')} FROM d GROUP BY 1")
+def _(spark, sf):
+    return rounded(J.line_fit(_d(spark, sf), ["session_id"], "x", "y", log=True))
+
+
+@query("quadratic_fit", _XY + f""", m AS (SELECT session_id, avg(x) mx, avg(y) my FROM d GROUP BY 1), c AS (SELECT session_id, x - mx AS u, y - my AS w, mx, my FROM d JOIN m USING (session_id)),
+s AS (SELECT session_id, count(*) n, sum(u * u) s2, sum(u * u * u) s3, sum(u * u * u * u) s4, sum(u * w) b1, sum(u * u * w) b2, sum(w * w) yy, min(mx) mx, min(my) my FROM c GROUP BY 1),
+q AS (SELECT *, (b2 * s2 - b1 * s3) / ((s4 - s2 * s2 / n) * s2 - s3 * s3) AS a FROM s)
+SELECT session_id, n, {r("a", "a2", 7)}, {r("(b1 - a * s3) / s2 - 2 * a * mx", "a1", 5)} FROM q""")
+def _(spark, sf):
+    p = J.polynomial_fit(_d(spark, sf), ["session_id"], "x", "y", 2)
+    return rounded(p.select("session_id", "n", F.get("coefficients", F.lit(0)).alias("a2"), F.get("coefficients", F.lit(1)).alias("a1")), 5, a2=7)
+
+
+@query("polynomial_fit")
+def _(spark, sf):
+    p = J.polynomial_fit(_d(spark, sf), ["session_id"], "x", "y", 5)
+    return rounded(p.select("session_id", "n", "r_squared"), 6)
+
+
+@query("r_squared", _XY + f"""SELECT session_id, {r("1 - sum((y - (0.2 * x + 10)) ** 2) / (count(*) * var_pop(y))", "r_squared")} FROM d GROUP BY 1""")
+def _(spark, sf):
+    return rounded(J.r_squared(_d(spark, sf), ["session_id"], "y", F.col("x") * 0.2 + 10.0))
+
+
+@query("saturating_fit")
+def _(spark, sf):
+    d = _d(spark, sf).withColumn("y", F.col("y") / 10 + F.lit(8.0) * (1 - F.exp(F.col("x") * -0.05)))
+    return rounded(J.model_fit(d, ["gesture_type"], "x", "y", "exp_sat"), 2)
+
+
+@query("gaussian_map_fit")
+def _(spark, sf):
+    x = view(spark, sf, "raster").groupBy("session_id", "r", "c").agg((F.sum("z") / F.sum("n")).alias("z"))
+    hump = F.exp(-((F.col("r") - 25) * (F.col("r") - 25) / 150.0 + (F.col("c") - 5) * (F.col("c") - 5) / 12.0))
+    x = x.select("session_id", F.col("r").cast("double").alias("u"), F.col("c").cast("double").alias("v"), (F.col("z") * hump + 1).alias("w"))
+    return rounded(J.gaussian_fit(x, ["session_id"], "u", "v", "w"), 2)

@@ -144,8 +144,9 @@ def _(spark, sf):
     return rounded(R.highest_center(_ras(spark, sf), BY))
 
 
-@query("bilinear_samples", RAS + f"""m AS (SELECT {B}, avg(z) AS mean FROM ras GROUP BY 1, 2), p AS (SELECT {B}, r + 0.25 AS row, c + 0.6 AS col, r, c FROM ras WHERE r < {ROWS - 1} AND c < {COLS - 1}),
-f AS (SELECT {B}, r, c, coalesce(z, mean) AS z FROM ras JOIN m USING ({B}))
+@query("bilinear_samples", RAS + f"""m AS (SELECT {B}, avg(z) AS mean FROM ras GROUP BY 1, 2), p AS (SELECT {B}, r + 25e-2 AS row, c + 6e-1 AS col, r, c FROM ras WHERE r < {ROWS - 1} AND c < {COLS - 1}),
+lt AS (SELECT {B}, CAST(a AS INT) AS r, CAST(b AS INT) AS c FROM (SELECT DISTINCT {B} FROM ras), range({ROWS}) x(a), range({COLS}) y(b)),
+f AS (SELECT {B}, r, c, coalesce(z, mean) AS z FROM lt LEFT JOIN (SELECT {B}, r, c, z FROM ras) q USING ({B}, r, c) JOIN m USING ({B}))
 SELECT p.session_id, p.gesture_type, row, col, {r("0.75 * 0.4 * a.z + 0.75 * 0.6 * b.z + 0.25 * 0.4 * d.z + 0.25 * 0.6 * e.z", "sampled")} FROM p
  JOIN f a ON a.session_id = p.session_id AND a.gesture_type = p.gesture_type AND a.r = p.r AND a.c = p.c JOIN f b ON b.session_id = p.session_id AND b.gesture_type = p.gesture_type AND b.r = p.r AND b.c = p.c + 1
  JOIN f d ON d.session_id = p.session_id AND d.gesture_type = p.gesture_type AND d.r = p.r + 1 AND d.c = p.c JOIN f e ON e.session_id = p.session_id AND e.gesture_type = p.gesture_type AND e.r = p.r + 1 AND e.c = p.c + 1""")

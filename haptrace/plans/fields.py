@@ -42,7 +42,7 @@ def spatial_tuning(rf: DataFrame, touches: DataFrame, uv: DataFrame, feature: st
     maps = binned.join(rf.select(*KEYS, "vertex_id", "rf_mean"), KEYS)
 
     def measured(rows_, keys):
-        grid = cut_lineage(R.rasterise(rows_.join(uv, "vertex_id"), keys, "value", rows, cols))
+        grid = R.rasterise(rows_.join(uv, "vertex_id"), keys, "value", rows, cols)
         return R.with_derived(R.boundaries(grid, keys, rows, cols, method, sigma))
 
     heat = maps.groupBy(*by, "vertex_id").agg(F.avg("rf_mean").alias("value"), F.count("*").alias("n_unique")).join(n, by)

@@ -35,7 +35,7 @@ SELECT concat('s', CAST(user_id % 8 AS STRING)) AS session_id, CAST(user_id AS S
     CAST(event_id % 11 AS STRING), ' x 3] [1 2] [2 ', CAST(event_id % 5 AS STRING), ' 0.25]]') END AS contact_points,
   CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS contact_detected,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS Nerve_spike,
-  CASE WHEN event_type = 'error' THEN value ELSE 0.0 END AS Nerve_freq
+  CASE WHEN event_type = 'error' THEN value ELSE 0e0 END AS Nerve_freq
 FROM (SELECT *, {_K} AS k FROM events) e
 """
 
@@ -50,7 +50,7 @@ SELECT concat('s', CAST(user_id % 8 AS STRING)) AS session_id, CAST(user_id AS S
   value * 2 - k / 8 AS hand_position_x, value + k / 4 AS hand_position_y, k / 2 - value / 8 AS hand_position_z,
   CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS contact_detected,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS Nerve_spike,
-  CASE WHEN event_type = 'error' THEN value ELSE 0.0 END AS Nerve_freq
+  CASE WHEN event_type = 'error' THEN value ELSE 0e0 END AS Nerve_freq
 FROM (SELECT *, {_K} AS k FROM events) e WHERE hour(ts) >= 4
 """
 
@@ -62,7 +62,7 @@ SELECT concat('s', CAST(l_orderkey % 8 AS STRING)) AS session_id, CAST(l_orderke
   CASE WHEN min(l_returnflag) = 'N' THEN 'tap' ELSE 'stroke' END AS type_metadata,
   max(l_quantity) AS depth_max, min(l_quantity) AS depth_min, max(l_extendedprice) / 1000 AS velocity_max,
   max(l_discount) * 100 AS pressure_max, max(l_tax) * 50 AS iff_max,
-  sum(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END) AS spike_count,
+  sum(CASE WHEN l_linestatus = 'F' THEN 1e0 ELSE 0e0 END) AS spike_count,
   max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS spike_elicited,
   max(l_quantity) - 25 AS mean_contact_x, max(l_discount) * 400 - 20 AS mean_contact_y, max(l_tax) * 400 - 16 AS mean_contact_z
 FROM lineitem GROUP BY l_orderkey
@@ -90,7 +90,7 @@ SELECT concat('s', CAST(l_suppkey % 4 AS STRING)) AS session_id,
   CASE l_returnflag WHEN 'A' THEN 'stroke_proximal' WHEN 'N' THEN 'tap' ELSE 'stroke_distal' END AS gesture_type,
   CAST(l_quantity AS INT) - 1 AS r, CAST(round(l_discount * 100) AS INT) AS c,
   (l_quantity - 1) / 49 AS u, round(l_discount * 100) / 10 AS v,
-  sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100000.0 AS z, count(*) AS n
+  sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 1e5 AS z, count(*) AS n
 FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6
 """
 
