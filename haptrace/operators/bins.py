@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haptrace.operators.quantiles import percentiles
+from haptrace.session import cut_lineage
 
 OUTLIER_LOW = -2
 # Outlier methods with their parameter and default.
@@ -77,6 +78,7 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str, params: dict
     k = float(params.get(name, default))
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]))).filter("v IS NOT NULL")
+    long = cut_lineage(long)  # counted and ranked
     n = long.groupBy("feature").agg(F.count("*").alias("n"))
     if method == "mad":
         med = percentiles(long, ["feature"], {"m": ("v", 0.5)})
@@ -117,6 +119,7 @@ def _varying(df: DataFrame, columns: list[str]) -> list[str]:
 
 def binning_labels(df: DataFrame, columns: list[str], n_bins: int = 5, method: str = "equal_width") -> tuple[DataFrame, dict]:
     """Bin every varying column; the label is the bin of the highest-variance one."""
+    df = cut_lineage(df)  # several passes look for edges before the labels are set
     use = _varying(df, columns)
     if not use:
         return df.withColumn("cluster_label", F.lit(0)), {"binned_features": [], "primary_feature": None, "bin_edges": {}}
@@ -141,6 +144,7 @@ def cartesian_labels(
         raise ValueError(f"n_bins must be >= 2, got {n_bins}")
     if set(per) - set(columns):
         raise ValueError(f"n_bins_per_feature has unknown features {sorted(set(per) - set(columns))}")
+    df = cut_lineage(df)  # several passes look for bounds and edges before the labels are set
     use = _varying(df, columns)
     binned, bounds = df, {}
     if use and outlier_method is not None:

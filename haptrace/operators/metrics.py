@@ -17,6 +17,7 @@ from haptrace.session import cut_lineage
 def intensity(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Max, mean, median, population deviation, range and count."""
     v = F.col(value)
+    df = cut_lineage(df.select(*keys, value))  # counted, summed and ranked
     one = df.groupBy(*keys).agg(
         F.max(v).alias("max_iff"), F.avg(v).alias("mean_iff"), F.stddev_pop(v).alias("std_iff"),
         (F.max(v) - F.min(v)).alias("iff_range"), F.count(v).alias("n_vertices"), F.min(v).alias("_min"))
@@ -32,6 +33,7 @@ def intensity(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame
 def distribution(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Biased skewness, excess kurtosis, Gini coefficient and entropy in bits."""
     v = F.col(value)
+    df = cut_lineage(df.select(*keys, value))  # counted, summed and ranked
     base = df.groupBy(*keys).agg(
         F.count(v).alias("_n"), F.sum(v).alias("_total"), F.skewness(v).alias("_skew"), F.kurtosis(v).alias("_kurt"),
         F.sum(F.when(v > 0, v * F.log2(v)).otherwise(0.0)).alias("_vlog"))
@@ -153,6 +155,7 @@ def above_peak_share(df: DataFrame, keys: list[str], weight: str, fraction: floa
 
 def top_share(df: DataFrame, keys: list[str], weight: str, tie: str, fraction: float = 0.2) -> DataFrame:
     """The top ``ceil(fraction * n)`` rows of each group by weight, lowest ``tie`` first among equals."""
+    df = cut_lineage(df)  # counted, ranked and filtered
     n = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(fraction))).alias("_take"))
     order = F.struct((-F.col(weight)).alias("w"), F.col(tie).alias("t"))
     ranks = ranked_values(df.withColumn("_order", order), keys, "_order").select(*keys, "_order", "before")

@@ -11,6 +11,7 @@ from haptrace.operators import surface as S
 from haptrace.plans.inputs import ctes, view
 from haptrace.plans.registry import query, r, rounded
 from haptrace.schema import KEYS
+from haptrace.session import cut_lineage
 
 K = ", ".join(KEYS)
 CUT = 5.0
@@ -82,7 +83,7 @@ SELECT session_id, subset, vertex_id, {r("value", "value")}, n_unique, n_touches
   {r("CASE WHEN n_unique < greatest(1, CAST(round_even(0.002 * n_touches, 0) AS BIGINT)) THEN -1.0 ELSE value END", "marked")}
 FROM a JOIN u USING (session_id, subset, vertex_id) JOIN n USING (session_id, subset)""")
 def _(spark, sf):
-    hits = _hits(spark, sf)
+    hits = cut_lineage(_hits(spark, sf))
     rf = S.subset_exploded(S.touch_rf(hits, "iff", [*KEYS, "gesture_type"]))
     return rounded(S.thresholded_heatmap(rf, S.subset_exploded(hits), ["session_id", "subset"], 0.2))
 
