@@ -10,10 +10,10 @@ from haptrace.schema import GESTURES, INTERPOLATED, KEYS, PREPARED_DROP, SESSION
 
 
 def ensure_block_id(df: DataFrame) -> DataFrame:
-    """Block id as a string, read from the source file name where no column holds it."""
-    if "block_order_id" in df.columns:
-        return df.withColumn("block_order_id", F.col("block_order_id").cast("string"))
-    return df.withColumn("block_order_id", C.block_id("source_block_file"))
+    """Block id as a string; where none is recorded it comes from the source file name."""
+    recorded = F.col("block_order_id").cast("string") if "block_order_id" in df.columns else F.lit(None).cast("string")
+    named = C.block_id("source_block_file") if "source_block_file" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("block_order_id", F.coalesce(recorded, named))
 
 
 def touch_rows(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -132,7 +132,8 @@ def heatmap(rf: DataFrame, by: list[str], value: str = "rf_mean") -> DataFrame:
 
 
 def unique_touches(contacts: DataFrame, by: list[str], keys: list[str] = KEYS) -> DataFrame:
-    return contacts.groupBy(*by, "vertex_id").agg(F.count_distinct(*keys).alias("n_unique"))
+    pairs = contacts.select(*dict.fromkeys([*by, "vertex_id", *keys])).distinct()
+    return pairs.groupBy(*by, "vertex_id").agg(F.count("*").alias("n_unique"))
 
 
 def thresholded_heatmap(rf: DataFrame, contacts: DataFrame, by: list[str], percent: float, keys: list[str] = KEYS) -> DataFrame:
