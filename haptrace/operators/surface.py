@@ -201,11 +201,11 @@ def with_neuron_type(df: DataFrame, units: DataFrame, session: str = "unit") ->
 
 def feature_grid(spark, axes: dict[str, tuple[float, float, float]]) -> DataFrame:
     """Cartesian grid of centers ``min + i * step`` below ``max``."""
-    out = None
+    out = spark.range(1).select()
     for name, (lo, hi, step) in axes.items():
         n = axis_size(lo, hi, step)
-        part = spark.range(n).select(F.col("id").cast("int").alias(f"i_{name}"), (F.lit(lo) + F.col("id") * step).alias(f"center_{name}"))
-        out = part if out is None else out.join(part, how="cross")  # the grid itself is this product
+        cells = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.explode(F.array().cast("array<int>"))
+        out = out.select("*", cells.alias(f"i_{name}")).withColumn(f"center_{name}", F.lit(lo) + F.col(f"i_{name}") * step)
     return out
 
 
