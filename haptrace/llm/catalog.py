@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from haptrace.llm import exact_dedup, simhash
+from haptrace.llm import bpe, exact_dedup, simhash
+
+BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +48,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op9_bpe")
+def op9_bpe(spark: SparkSession, sf_dir: str, path: str = BPE_FILE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Encode, decode and digest a batch at a time, so that ids and texts need not leave the task."""
+        vocab = bpe.vocabulary(path)
+        decimals = [str(i) for i in range(max(vocab.texts) + 1)]
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            for piece in bpe.bounded(batch, 1):
+                found = bpe.encode_texts(piece.column(1).to_pylist(), vocab)
+                yield pa.RecordBatch.from_arrays([
+                    piece.column(0), pa.array([len(x) for x in found], pa.int64()),
+                    pa.array([sha(",".join(map(decimals.__getitem__, x.tolist()))) for x in found], pa.string()),
+                    pa.array([sha(bpe.decode_ids(x, vocab)) for x in found], pa.string()),
+                ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
