@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haptrace.llm import bpe, exact_dedup, simhash
+from haptrace.llm import bpe, exact_dedup, langid, mixing, simhash
 
+# The mixture that the query and the pipeline aim at.
+TARGETS = mixing.Targets(
+    source={f"src{i}": 0.05 for i in range(20)}, lang={"en": 0.58, "fr": 0.16, "de": 0.16, "es": 0.10},
+    topic={"prose": 0.74, "symbols": 0.11, "table": 0.05, "notice": 0.05, "contact": 0.05})
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +72,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str = BPE_FILE) -> DataFrame
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def language_network(docs: DataFrame) -> langid.Network:
+    """Fitted on the rows of ``docs`` outside the held-out fold."""
+    return langid.fit(docs.filter(langid.fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+
+
+@query("op6_langid")
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = langid.predict(docs.select("doc_id", "text"), language_network(docs))
+    return told.select("doc_id", (langid.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), TARGETS)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
