@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame, functions as F
 BLOCK_ROWS = 1024
 
 
-def paired_blocks(rows: DataFrame, key: str, spread: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows of every bucket with two rows or more, laid out so that each pair of a bucket meets in one (key, lo, hi).
+def paired_blocks(rows: DataFrame, keys: list[str], spread: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of every bucket with two rows or more, laid out so that each pair of a bucket meets in one (keys, lo, hi).
 
     A bucket of at most ``block_rows`` rows is one block. A larger one is dealt by ``spread`` into g
     blocks, and a row goes to the g cells that hold its block; so no task needs the whole bucket.
     Adds ``lo``, ``hi`` and ``side``; in a cell with lo < hi only rows of different sides are to be paired.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
     blocks = F.ceil(F.col("__n") / F.lit(float(block_rows))).cast("int")
     dealt = (
-        rows.join(sizes, key)
+        rows.join(sizes, keys)
         .withColumn("__g", blocks)
         .withColumn("side", F.pmod(F.xxhash64(spread), F.col("__g")).cast("int"))
         .withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__g") - 1)))

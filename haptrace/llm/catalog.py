@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haptrace.llm import bpe, exact_dedup, langid, mixing, simhash
+from haptrace.llm import bpe, exact_dedup, langid, mixing, pivots, simhash, warc
 
 # The mixture that the query and the pipeline aim at.
 TARGETS = mixing.Targets(
@@ -90,3 +90,25 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"), TARGETS)
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled")
+
+
+@query("op4_warc", """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), h AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS head FROM p
+)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < head THEN head END AS refers_to
+FROM h
+""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = warc.with_roles(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    archives = warc.write(roles, warc.shared_folder(spark, "warc"))
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_pivots")
+def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_copies(table(spark, sf_dir, "embeddings"))

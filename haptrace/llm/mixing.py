@@ -85,7 +85,7 @@ def rake(cells: np.ndarray, tokens: np.ndarray, margins: list[np.ndarray], keep:
     for _ in range(ROUNDS):
         for m, share in enumerate(wanted):
             now = np.bincount(cells[:, m], tokens * np.minimum(weight, 1), minlength=len(share))
-            weight = weight * np.divide(share * most, now, out=np.ones_like(now), where=now > 0)[cells[:, m]]
+            weight = np.minimum(weight, 1e100) * np.divide(share * most, now, out=np.ones_like(now), where=now > 0)[cells[:, m]]
         kept = tokens * np.minimum(weight, 1)
         miss = max(
             np.abs(np.bincount(cells[:, m], kept, minlength=len(s))[s > 0] / (s[s > 0] * most) - 1).max() for m, s in enumerate(wanted))

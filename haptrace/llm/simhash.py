@@ -153,7 +153,7 @@ def _links(max_bits: int, references: np.ndarray):
 def class_links(classes: DataFrame, max_bits: int = MAX_BITS, references: int = REFERENCES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b) links that join all classes (fp, rep) within max_bits."""
     spread = classes.select("fp", "rep", F.explode(bucket_keys(F.col("fp"), max_bits)).alias("key"))
-    cells = paired_blocks(spread, "key", "fp", block_rows)
+    cells = paired_blocks(spread, ["key"], "fp", block_rows)
     dealt = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInPandas(_links(max_bits, reference_fingerprints(references)), "a bigint, b bigint")
 
