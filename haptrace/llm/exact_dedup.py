@@ -55,7 +55,8 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.struct((-F.col("__chars")).alias("c"), F.col("__id").isNull().alias("z"), F.col("__id").alias("i"))
     best = salted.groupBy("text_sha256").agg(
         F.sum("__n").alias("group_size"), F.min(F.struct(order.alias("o"), F.col("__salt").alias("s"))).alias("__best"))
-    best = best.select("text_sha256", "group_size", F.col("__best.o.i").alias("keep_id"), F.col("__best.s").alias("__best_salt"))
+    # Written, so that both sides of the join are plain shuffles, of which a hot text's can be split.
+    best = cut_lineage(best.select("text_sha256", "group_size", F.col("__best.o.i").alias("keep_id"), F.col("__best.s").alias("__best_salt")))
     return runs.join(best, "text_sha256").select(
         F.col("__id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
         ((F.col("__salt") == F.col("__best_salt")) & (F.col("__place") == 1)).alias("kept"), "text_sha256")
