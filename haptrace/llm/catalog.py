@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haptrace.llm import bpe, exact_dedup, langid, mixing, pivots, simhash, warc
+from haptrace.llm import bpe, exact_dedup, langid, mixing, pivots, secrets, simhash, warc
 
 # The mixture that the query and the pipeline aim at.
 TARGETS = mixing.Targets(
@@ -112,3 +112,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pivots")
 def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_secrets")
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("findings")
+    count = lambda kind: F.size(secrets.of_kinds(spans, kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.BASE],
+        F.sha2(secrets.joined(secrets.of_kinds(spans, *secrets.BASE)), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"),
+        F.size(F.filter(spans, lambda x: x["live"])).cast("long").alias("n_live"),
+        F.size(F.filter(spans, lambda x: x["owners"] >= secrets.WIDE_OWNERS)).cast("long").alias("n_copied"))
