@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haptrace.llm import bpe, exact_dedup, langid, mixing, pivots, secrets, simhash, warc
+from haptrace.llm import bpe, exact_dedup, langid, mixing, pivots, secrets, simhash, toxicity, warc
 
 # The mixture that the query and the pipeline aim at.
 TARGETS = mixing.Targets(
@@ -124,3 +124,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.joined(secrets.of_kinds(spans, *secrets.BASE)), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"),
         F.size(F.filter(spans, lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter(spans, lambda x: x["owners"] >= secrets.WIDE_OWNERS)).cast("long").alias("n_copied"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.train(docs.select("doc_id", "text"), labels.filter(langid.fold("doc_id", 5) != 0))
+    found = toxicity.score(docs.select("doc_id", "text"), field)
+    offsets = F.array_join(F.transform("toxic_spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                        offsets.alias("offsets"))
