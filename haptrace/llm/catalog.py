@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haptrace.llm import bpe, exact_dedup, langid, mixing, pivots, secrets, simhash, toxicity, warc
+from haptrace.llm import bpe, exact_dedup, html_tree, langid, mixing, pivots, secrets, simhash, toxicity, warc
 
 # The mixture that the query and the pipeline aim at.
 TARGETS = mixing.Targets(
@@ -134,3 +134,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     offsets = F.array_join(F.transform("toxic_spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return found.select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                         offsets.alias("offsets"))
+
+
+@query("op2_html")
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_tree.fit(html_tree.sample(pages, "page_id", "html"))
+    return html_tree.extract(pages.select("page_id", "url", "html"), model)
