@@ -23,7 +23,8 @@ def beta_inc(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > 1e-300 else 1e-300)
     out = d
-    for m in range(1, 1000):
+    # About sqrt(max(a, b)) terms are enough.
+    for m in range(1, 1000 + int(20 * math.sqrt(max(a, b)))):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
@@ -87,25 +88,43 @@ def studentized_range_sf(q: float, k: float, df: float) -> float:
         low = np.interp(z - w, z, cdf, left=0.0, right=1.0)
         return k * np.trapezoid(phi * (cdf - low) ** (k - 1), z)
 
-    if df > 5000:
-        return float(min(1.0, max(0.0, 1 - within(q))))
     s = np.linspace(max(1e-4, 1 - 7 / math.sqrt(2 * df)), 1 + 7 / math.sqrt(2 * df), 241)
-    logf = (df / 2) * math.log(df / 2) + math.log(2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
-    weight = np.exp(logf)
-    total = np.trapezoid(weight * np.array([within(q * v) for v in s]), s)
+    # Density of the deviation up to a factor, which the division by its own integral takes out.
+    logf = (df - 1) * np.log(s) - df * (s * s - 1) / 2
+    weight = np.exp(logf - logf.max())
+    total = np.trapezoid(weight * np.array([within(q * v) for v in s]), s) / np.trapezoid(weight, s)
     return float(min(1.0, max(0.0, 1 - total)))
 
 
 def binomial_two_sided(k: int, n: int, p: float = 0.5) -> float:
+    """Chance of a count as unlikely as ``k``: both tails by the incomplete beta function, at every n."""
     k, n = int(k), int(n)
     if n == 0:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p) for i in range(n + 1)] \
-        if n <= 100_000 else None
-    if logs is None:
-        z = (abs(k - n * p) - 0.5) / math.sqrt(n * p * (1 - p))
-        return min(1.0, 2 * normal_sf(max(z, 0.0)))
-    return min(1.0, sum(math.exp(v) for v in logs if v <= logs[k] + 1e-7))
+
+    def log_pmf(i):
+        return math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+
+    def below(i):
+        """P(X <= i)"""
+        return 0.0 if i < 0 else 1.0 if i >= n else beta_inc(n - i, i + 1, 1 - p)
+
+    limit, mode = log_pmf(k) + 1e-7, int((n + 1) * p)
+    if log_pmf(mode) <= limit:
+        return 1.0
+    # First count past the mode, on the other side, that is as unlikely.
+    if k < mode:
+        lo, hi = mode, n + 1
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if log_pmf(mid) <= limit else (mid, hi)
+        return min(1.0, below(k) + (1 - below(hi - 1) if 2 * p != 1 else below(k)))
+    lo, hi = -1, mode
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if log_pmf(mid) <= limit else (lo, mid)
+    upper = beta_inc(k, n - k + 1, p)
+    return min(1.0, upper + (below(lo) if 2 * p != 1 else upper))
 
 
 def beta_quantile(q: float, a: float, b: float) -> float:
@@ -123,49 +142,65 @@ def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
 
 
 def ks_p(d: float, n: int, m: int) -> float:
-    """Two-sided two-sample p-value: lattice paths for small samples, else the limit law."""
+    """Two-sided two-sample p-value.
+
+    The common library rule, kept: exact lattice paths while neither sample exceeds 10,000, else the
+    one-sample law at the rounded effective size (here by its series with the small-sample terms).
+    """
+    n, m = int(n), int(m)
     if max(n, m) > 10_000:
-        t = math.sqrt(n * m / (n + m)) * d
+        size = round(n * m / (n + m))
+        root = math.sqrt(size)
+        t = root * d + 1 / (6 * root) + (root * d - 1) / (4 * size)
         if t < 0.2:
             return 1.0
         return float(min(1.0, max(0.0, 2 * sum((-1) ** (i - 1) * math.exp(-2 * i * i * t * t) for i in range(1, 101)))))
-    n, m = int(n), int(m)
-    # Share of lattice paths that stay inside |i/n - j/m| < d, by anti-diagonals.
-    prob = np.zeros(n + 1)
-    prob[0] = 1.0
-    i = np.arange(n + 1)
+    # Share of lattice paths that stay inside |i/n - j/m| < d, by anti-diagonals; only the band inside is kept.
+    reach = d * n * m - 0.5
+    prob, first = np.array([1.0]), 0
     for step in range(1, n + m + 1):
-        j = step - i
-        from_i = np.concatenate(([0.0], prob[:-1])) * i / step
-        prob = np.where((j >= 0) & (j <= m), from_i + prob * np.clip(j, 0, m) / step, 0.0)
-        prob = np.where(np.abs(i * m - j * n) < d * n * m - 0.5, prob, 0.0)
-    return float(min(1.0, max(0.0, 1 - prob[n])))
+        lo = max(0, step - m, math.floor((step * n - reach) / (n + m)) + 1)
+        hi = min(n, step, math.ceil((step * n + reach) / (n + m)) - 1)
+        if hi < lo:
+            return 1.0
+        i = np.arange(lo, hi + 1)
+        held = np.zeros(hi - lo + 3)  # of counts lo - 1 to hi + 1
+        a, b = max(lo - 1, first), min(hi + 1, first + len(prob) - 1)
+        if a <= b:
+            held[a - lo + 1: b - lo + 2] = prob[a - first: b - first + 1]
+        prob, first = held[:-2] * i / step + held[1:-1] * (step - i) / step, lo
+    return float(min(1.0, max(0.0, 1 - prob[n - first])))
 
 
 def mann_whitney_p(u: float, n: int, m: int, ties: float) -> float:
-    """Two-sided: exact counts for small samples without ties, else normal with continuity."""
-    if ties == 0 and min(n, m) <= 8 and n + m <= 200:
-        n, m = int(n), int(m)
-        table = {(0, b): np.array([1.0]) for b in range(m + 1)} | {(a, 0): np.array([1.0]) for a in range(n + 1)}
-        for a in range(1, n + 1):
-            for b in range(1, m + 1):
-                out = np.zeros(a * b + 1)
-                out[b:b + len(table[a - 1, b])] += table[a - 1, b]
-                out[:len(table[a, b - 1])] += table[a, b - 1]
-                table[a, b] = out
-        counts = table[n, m] / table[n, m].sum()
-        top = max(u, n * m - u)
-        return float(min(1.0, 2 * counts[int(math.ceil(top - 1e-9)):].sum()))
+    """Two-sided p-value.
+
+    The common library rule, kept: exact while the smaller sample has at most 8 rows and nothing
+    ties, else normal with continuity. Exact counts come from the Gaussian binomial coefficient.
+    """
+    n, m = int(n), int(m)
+    top = max(u, n * m - u)
+    if ties == 0 and min(n, m) <= 8:
+        least = int(round(n * m - top))
+        counts = np.zeros(least + 1)
+        counts[0] = 1.0
+        for i in range(1, min(n, m) + 1):
+            for start in range(min(i, least + 1)):  # divided by 1 - q^i
+                counts[start::i] = np.cumsum(counts[start::i])
+            away = max(n, m) + i  # times 1 - q^(larger + i)
+            if away <= least:
+                counts[away:] = counts[away:] - counts[:-away].copy()
+        return float(min(1.0, 2 * counts.sum() / math.comb(n + m, n)))
     total = n + m
     var = n * m / 12 * (total + 1 - ties / (total * (total - 1)))
     if var <= 0:
         return 1.0
-    z = (max(u, n * m - u) - n * m / 2 - 0.5) / math.sqrt(var)
+    z = (top - n * m / 2 - 0.5) / math.sqrt(var)
     return min(1.0, 2 * normal_sf(z))
 
 
 def wilcoxon_p(w_plus: float, n: int, ties: float, zeros: int) -> float:
-    """Two-sided signed-rank p-value: exact up to 50 without ties or zeros, else normal."""
+    """Two-sided signed-rank p-value; the common library rule, kept: exact up to 50 without ties or zeros, else normal."""
     n = int(n)
     if n == 0:
         return float("nan")
@@ -182,10 +217,6 @@ def wilcoxon_p(w_plus: float, n: int, ties: float, zeros: int) -> float:
     return 1.0 if sd == 0 else min(1.0, 2 * normal_sf(abs(w_plus - n * (n + 1) / 4) / sd))
 
 
-def stars(p: float) -> str:
-    return "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "ns"
-
-
 def p_value(function, *columns):
     """Column of p-values, one small call per test row; null where an input is null."""
 

@@ -136,8 +136,16 @@ def synthesize(results: DataFrame, dispersion: str | None = None) -> DataFrame:
     return out.withColumn("weighted_p", F.col("weight") * F.coalesce("p_value", F.lit(1.0)))
 
 
+def _sized_groups(df: DataFrame, keys: list[str], group: str, value: str, least: int = 2) -> DataFrame:
+    """Rows with a value, of groups that have at least ``least`` of them."""
+    df = df.filter(F.col(value).isNotNull())
+    big = df.groupBy(*keys, group).agg(F.count("*").alias("_k")).filter(F.col("_k") >= least)
+    return df.join(big.select(*keys, group), [*keys, group], "left_semi")
+
+
 def kruskal(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """Tie-corrected rank test over the groups of every key."""
+    """Tie-corrected rank test over the groups of two rows or more of every key."""
+    df = _sized_groups(df, keys, group, value)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, group, value).agg(F.count("*").alias("_w"))
     ranks = ranked_values(df, keys, value)
     rank = F.col("before") + (F.col("cnt") + 1) / 2
@@ -152,7 +160,8 @@ def kruskal(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame
 
 
 def mann_whitney_pairs(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """U of the first group and p-value for every pair of groups of every key."""
+    """U of the first group and p-value for every pair of groups of two rows or more of every key."""
+    df = _sized_groups(df, keys, group, value)
     rows, pairs = _pair_rows(df, keys, group, value)
     by = [*keys, "a", "b"]
     ranks = ranked_values(rows, by, value, {
@@ -165,8 +174,9 @@ def mann_whitney_pairs(df: DataFrame, keys: list[str], group: str, value: str) -
 
 
 def significance(p) -> Column:
+    """Marks of a p-value; none where it is not significant."""
     p = F.col(p) if isinstance(p, str) else p
-    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
 def signed_rank(df: DataFrame, keys: list[str], value: str, min_rows: int = 5) -> DataFrame:

@@ -17,9 +17,9 @@ INTERPOLATED = ["contact_depth", "contact_area", *STICKERS, *LOCATION]
 TOUCH_FFILL = ["led_on", "contact_detected", "contact_points"]
 SESSION_FFILL = ["trial_id", "single_touch_id", "type_metadata", "speed_metadata",
                  "contact_area_metadata", "force_metadata"]
-# Bookkeeping columns dropped after preparation.
+# Bookkeeping columns dropped after preparation.
 PREPARED_DROP = ["frame_index", "green_levels", "time_nerve", "time_kinect", "trial_on"]
-# Columns that are never summarised by the statistical features.
+# Columns that are never summarised by the statistical features.
 NOT_AGGREGATED = {
     *TOUCH, "session_id", "frame_idx", "type_metadata", "gesture_type", "gesture_broad_type",
     "mean_contact_x", "mean_contact_y", "mean_contact_z", "spike_elicited",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -11,34 +15,68 @@ from haptrace.schema import FRAME_SCHEMA
 SESSION_GLOB = "*_semicontrolled_aggregated_session.csv"
 
 
-def session_files(spark: SparkSession, root: str, pattern: str = SESSION_GLOB) -> DataFrame:
+def session_files(spark: SparkSession, root: str | list[str], pattern: str | None = SESSION_GLOB) -> DataFrame:
     """(session_id, path): the first matching file of every session folder."""
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-        .select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    listed = reader.load(root).select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
     return listed.groupBy("folder").agg(F.min("path").alias("path")).select(C.session_id("path").alias("session_id"), "path")
 
 
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a file; a repeated name gets the suffix .1, .2 and so on. Only the first line is fetched."""
+    first = spark.read.text(path).first()
+    names = next(csv.reader([first["value"].lstrip("\ufeff")])) if first else []
+    seen: Counter = Counter()
+    out = []
+    for n, name in enumerate(names):
+        name = name or f"Unnamed: {n}"
+        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+        seen[name] += 1
+    return tuple(out)
+
+
+def _with_numbers(df: DataFrame, extra: list[str]) -> DataFrame:
+    """Columns outside the schema as doubles where every value is a number, else as strings."""
+    if not extra:
+        return df
+    quoted = {c: F.col(f"`{c}`") for c in extra}
+    odd = df.agg(*[F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(str(i)) for i, v in enumerate(quoted.values())]).first()
+    return df.withColumns({c: v.try_cast("double") for i, (c, v) in enumerate(quoted.items()) if not odd[str(i)]})
+
+
 def read_sessions(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None,
                   schema: T.StructType = FRAME_SCHEMA, pattern: str | None = SESSION_GLOB) -> DataFrame:
-    """One scan over all session files with ``session_id`` and ``frame_idx``.
+    """The first session file of every folder, with ``session_id`` and ``frame_idx``.
+
+    Columns are matched by header name: those of ``schema`` get its types and are null where a file
+    lacks them, others are kept, as doubles if all their values are numbers. Files with equal
+    headers are one scan, so there are as many scans as headers.
 
     ``frame_idx`` grows with the row position in the file.  A file is read in byte blocks:
     a row's place is the start of its block plus its place in the task, and a block holds
     fewer rows than bytes, so later blocks always come out larger.
     """
-    reader = spark.read.schema(schema).option("header", "true").option("nullValue", "").option("enforceSchema", "false")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    df = reader.option("recursiveFileLookup", "true").csv(paths)
+    files = [r["path"] for r in session_files(spark, paths, pattern).orderBy("path").collect()]  # names only
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    if files:
+        with ThreadPool(min(16, len(files))) as pool:
+            for path, header in zip(files, pool.map(lambda f: _header(spark, f), files)):
+                by_header.setdefault(header, []).append(path)
+    known = {f.name: f for f in schema.fields}
     place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    df = df.select("*", C.session_id(F.col("_metadata.file_path")).alias("session_id"), place.alias("frame_idx"))
-    doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
-    df = df.withColumns({c: C.nan_to_null(c) for c in doubles})
+    out = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("session_id", T.StringType()), T.StructField("frame_idx", T.LongType())]))
+    for header, group in by_header.items():
+        own = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in header])
+        df = spark.read.schema(own).option("header", "true").option("nullValue", "").csv(group)
+        df = df.select("*", C.session_id(F.col("_metadata.file_path")).alias("session_id"), place.alias("frame_idx"))
+        extra = [n for n in header if n not in known and (columns is None or n in columns)]
+        out = out.unionByName(_with_numbers(df, extra), allowMissingColumns=True)
+    out = out.withColumns({f.name: C.nan_to_null(f"`{f.name}`") for f in out.schema.fields if isinstance(f.dataType, T.DoubleType)})
     if columns is None:
-        return df
-    return df.select("session_id", "frame_idx", *[c for c in columns if c in df.columns])
+        return out
+    return out.select("session_id", "frame_idx", *[F.col(f"`{c}`") for c in columns if c in out.columns])
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -257,7 +257,7 @@ def _same_partition(labelled):
 
 @pytest.mark.parametrize("kind", ["full", "diag", "tied", "spherical"])
 def test_gmm_finds_three_blobs(three_blobs, kind):
-    out, meta = cluster("gmm", three_blobs, ["f0", "f1"], {"min_touches_per_cluster": 30, "max_components": 4, "covariance_type": kind})
+    out, meta = cluster("gmm", three_blobs, ["f0", "f1"], {"min_touches_per_component": 30, "max_components": 4, "covariance_type": kind})
     assert meta["k"] == 3 and _same_partition(out) == pytest.approx(1.0)
     probs = out.select(sum(F.col(f"gmm_prob_{i}") for i in range(3)).alias("s")).agg(F.min("s"), F.max("s")).first()
     assert probs[0] == pytest.approx(1) and probs[1] == pytest.approx(1)

@@ -62,6 +62,28 @@ def test_session_files(spark, recordings):
     assert got == {"day_ST12-01", "day_ST13-02"}
 
 
+def test_headers_decide_the_columns(spark):
+    root = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    name = "_semicontrolled_aggregated_session.csv"
+    files = {
+        f"day_ST12-01/a{name}": "time,contact_depth,frame_index,note\n0.0,1.5,7,x\n0.1,,8,y\n",
+        f"day_ST12-01/b{name}": "time,contact_depth\n9.0,9.0\n",
+        f"day_ST13-02/c{name}": "contact_depth,green_levels,time\n2.5,0.25,0.0\n3.5,0.5,0.1\n",
+        f"day_ST14-01/d{name}": "time,contact_depth,time\n",
+    }
+    for path, text in files.items():
+        (root / path).parent.mkdir(exist_ok=True)
+        (root / path).write_text(text)
+    df = SRC.read_sessions(spark, str(root))
+    got = df.orderBy("contact_depth").toPandas()
+    assert dict(df.dtypes)["frame_index"] == "double" and dict(df.dtypes)["note"] == "string" and dict(df.dtypes)["green_levels"] == "double"
+    assert got.contact_depth.dropna().tolist() == [1.5, 2.5, 3.5] and len(got) == 4
+    assert got.time.tolist().count(9.0) == 0 and got.contact_area.isna().all()
+    assert sorted(got.frame_index.dropna()) == [7, 8] and sorted(got.green_levels.dropna()) == [0.25, 0.5]
+    assert not df.groupBy("session_id", "frame_idx").count().filter("count > 1").count()
+    assert SRC.read_sessions(spark, str(root), ["time", "frame_index", "absent"]).columns == ["session_id", "frame_idx", "time", "frame_index"]
+
+
 def test_stages_end_to_end(spark, recordings):
     out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     prepared, counts = WF.run_preparation(spark, str(recordings), out)
