@@ -161,15 +161,28 @@ def view_rotation(position: list, focal: list, up: list) -> list[list[Column]]:
     return [right, _cross(back, right), back]
 
 
-def cylinder_uv(x, y, z, axis: list[float], center: list[float], radius=None) -> tuple[Column, Column]:
-    """Unrolled coordinates about an axis: ``u = r * angle``, ``v`` along the axis."""
+def cylinder_uv(x, y, z, axis: list[float], center: list[float], radius=None, toward: list[float] | None = None,
+                zero: list[float] | None = None, up: list[float] | None = None) -> tuple[Column, Column]:
+    """Unrolled coordinates about an axis: ``u = r * angle``, ``v`` along the axis.
+
+    Angle 0 is the direction ``zero`` (with ``up`` at a right angle), or lies toward a point off the axis.
+    """
     a = axis
     pick = [1.0, 0.0, 0.0] if abs(a[0]) < 0.9 else [0.0, 1.0, 0.0]
+    if zero is not None:
+        pick = zero
+    elif toward is not None:
+        off = [p - q for p, q in zip(toward, center)]
+        along = sum(p * q for p, q in zip(off, a))
+        if math.sqrt(sum((p - along * q) ** 2 for p, q in zip(off, a))) >= 1e-8:
+            pick = off
     dot = sum(p * q for p, q in zip(pick, a))
     e1 = [p - dot * q for p, q in zip(pick, a)]
     size = math.sqrt(sum(p * p for p in e1))
     e1 = [p / size for p in e1]
     e2 = [a[1] * e1[2] - a[2] * e1[1], a[2] * e1[0] - a[0] * e1[2], a[0] * e1[1] - a[1] * e1[0]]
+    if up is not None:
+        e2 = up
     rel = [_c(p) - q for p, q in zip((x, y, z), center)]
     along = [sum((r * w for r, w in zip(rel[1:], v[1:])), rel[0] * v[0]) for v in (a, e1, e2)]
     r = F.lit(float(radius)) if radius is not None else norm(along[1], along[2])

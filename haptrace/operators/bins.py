@@ -10,8 +10,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from haptrace.operators.ordered import has_large_groups
 from haptrace.operators.quantiles import percentiles
-from haptrace.session import cut_lineage
+from haptrace.session import group_limit
 
 OUTLIER_LOW = -2
 # Outlier methods with their parameter and default.
@@ -76,27 +77,36 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str, params: dict
     if set(params) - {name}:
         raise ValueError(f"unknown outlier parameters {sorted(set(params) - {name})}; valid: {[name]}")
     k = float(params.get(name, default))
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]))).filter("v IS NOT NULL")
-    long = cut_lineage(long)  # counted and ranked
-    n = long.groupBy("feature").agg(F.count("*").alias("n"))
+    # One pass for the counts and percentiles of all columns; the deviation from the median needs a second.
+    split = has_large_groups(df.select(columns[0]), [], group_limit(df))
+    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)])
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if method == "mad":
-        med = percentiles(long, ["feature"], {"m": ("v", 0.5)})
-        away = long.join(F.broadcast(med), "feature").withColumn("d", F.abs(F.col("v") - F.col("m")))
-        stats = percentiles(away.select("feature", "d"), ["feature"], {"mad": ("d", 0.5)}).join(med, "feature")
-        cut = F.when(F.col("mad") >= 1e-12, F.col("mad") * k / 0.6745)
-        low, high = F.col("m") - cut, F.col("m") + cut
+        med = percentiles(numbers, [], {f"m{i}": (c, 0.5) for i, c in enumerate(columns)}, split=split)
+        away = numbers.join(F.broadcast(med)).select(*[F.abs(F.col(c) - F.col(f"m{i}")).alias(c) for i, c in enumerate(columns)])
+        mad = percentiles(away, [], {f"d{i}": (c, 0.5) for i, c in enumerate(columns)}, split=split)
+        stats = med.join(F.broadcast(mad))
+
+        def ends(i):
+            cut = F.when(F.col(f"d{i}") >= 1e-12, F.col(f"d{i}") * k / 0.6745)
+            return F.col(f"m{i}") - cut, F.col(f"m{i}") + cut
     else:
         tail = k / 100 if method == "percentile" else 0.25
-        stats = percentiles(long, ["feature"], {"a": ("v", tail), "b": ("v", 1 - tail)})
-        pad = F.lit(0.0) if method == "percentile" else (F.col("b") - F.col("a")) * k
-        low, high = F.col("a") - pad, F.col("b") + pad
-    few = F.col("n") < MIN_SAMPLES
+        wanted = {f"{n}{i}": (c, q) for i, c in enumerate(columns) for n, q in (("a", tail), ("b", 1 - tail))}
+        stats = percentiles(numbers, [], wanted, split=split)
+
+        def ends(i):
+            pad = F.lit(0.0) if method == "percentile" else (F.col(f"b{i}") - F.col(f"a{i}")) * k
+            return F.col(f"a{i}") - pad, F.col(f"b{i}") + pad
+
     inf = F.lit(float("inf"))
-    return stats.join(n, "feature").select(
-        "feature", F.when(few, -inf).otherwise(F.coalesce(low, -inf)).alias("lower"),
-        F.when(few, inf).otherwise(F.coalesce(high, inf)).alias("upper"),
-    )
+    rows = []
+    for i, c in enumerate(columns):
+        few, (low, high) = F.col(f"n{i}") < MIN_SAMPLES, ends(i)
+        rows.append(F.struct(
+            F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.when(few, -inf).otherwise(F.coalesce(low, -inf)).alias("lower"),
+            F.when(few, inf).otherwise(F.coalesce(high, inf)).alias("upper")))
+    return stats.join(F.broadcast(counts)).select(F.inline(F.array(*rows))).filter("n > 0").drop("n")
 
 
 def highest_variance(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -119,7 +129,6 @@ def _varying(df: DataFrame, columns: list[str]) -> list[str]:
 
 def binning_labels(df: DataFrame, columns: list[str], n_bins: int = 5, method: str = "equal_width") -> tuple[DataFrame, dict]:
     """Bin every varying column; the label is the bin of the highest-variance one."""
-    df = cut_lineage(df)  # several passes look for edges before the labels are set
     use = _varying(df, columns)
     if not use:
         return df.withColumn("cluster_label", F.lit(0)), {"binned_features": [], "primary_feature": None, "bin_edges": {}}
@@ -144,7 +153,6 @@ def cartesian_labels(
         raise ValueError(f"n_bins must be >= 2, got {n_bins}")
     if set(per) - set(columns):
         raise ValueError(f"n_bins_per_feature has unknown features {sorted(set(per) - set(columns))}")
-    df = cut_lineage(df)  # several passes look for bounds and edges before the labels are set
     use = _varying(df, columns)
     binned, bounds = df, {}
     if use and outlier_method is not None:

@@ -10,18 +10,24 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from haptrace.functions import columns as C
-from haptrace.operators.quantiles import percentiles, ranked_values
-from haptrace.session import cut_lineage
+from haptrace.operators.ordered import has_large_groups
+from haptrace.operators.quantiles import percentile_aggregates, percentiles, ranked_values
+from haptrace.session import group_limit
 
 
-def intensity(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Max, mean, median, population deviation, range and count."""
+def intensity(df: DataFrame, keys: list[str], value: str = "value", split: bool | None = None) -> DataFrame:
+    """Max, mean, median, population deviation, range and count; one aggregate where the groups fit a task."""
     v = F.col(value)
-    df = cut_lineage(df.select(*keys, value))  # counted, summed and ranked
-    one = df.groupBy(*keys).agg(
+    df = df.select(*keys, value)
+    if split is None:
+        split = has_large_groups(df.select(*keys), keys, group_limit(df))
+    median = {"median_iff": (value, 0.5)}
+    two = df.groupBy(*keys).agg(
         F.max(v).alias("max_iff"), F.avg(v).alias("mean_iff"), F.stddev_pop(v).alias("std_iff"),
-        (F.max(v) - F.min(v)).alias("iff_range"), F.count(v).alias("n_vertices"), F.min(v).alias("_min"))
-    two = one.join(percentiles(df, keys, {"median_iff": (value, 0.5)}), keys)
+        (F.max(v) - F.min(v)).alias("iff_range"), F.count(v).alias("n_vertices"), F.min(v).alias("_min"),
+        *([] if split else percentile_aggregates(median)))
+    if split:
+        two = two.join(percentiles(df, keys, median, split=True), keys)
     span = F.col("max_iff") - F.col("_min")
     many = F.col("n_vertices") >= 2
     return two.withColumns({
@@ -30,15 +36,15 @@ def intensity(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame
     }).drop("_min")
 
 
-def distribution(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def distribution(df: DataFrame, keys: list[str], value: str = "value", split: bool | None = None) -> DataFrame:
     """Biased skewness, excess kurtosis, Gini coefficient and entropy in bits."""
     v = F.col(value)
-    df = cut_lineage(df.select(*keys, value))  # counted, summed and ranked
+    df = df.select(*keys, value)
     base = df.groupBy(*keys).agg(
         F.count(v).alias("_n"), F.sum(v).alias("_total"), F.skewness(v).alias("_skew"), F.kurtosis(v).alias("_kurt"),
         F.sum(F.when(v > 0, v * F.log2(v)).otherwise(0.0)).alias("_vlog"))
     # Copies of a value at places before+1 .. before+cnt: their ranks sum to cnt * average rank.
-    ranks = ranked_values(df, keys, value)
+    ranks = ranked_values(df, keys, value, split=split)
     weighted = ranks.groupBy(*keys).agg(F.sum(v * F.col("cnt") * (F.col("before") + (F.col("cnt") + 1) / 2)).alias("_rv"))
     n, total = F.col("_n"), F.col("_total")
     gini = F.when(total != 0, F.col("_rv") * 2 / (n * total) - (n + 1) / n)
@@ -153,12 +159,11 @@ def above_peak_share(df: DataFrame, keys: list[str], weight: str, fraction: floa
     return df.join(peak, keys).filter(F.col(weight) >= F.col("_peak") * fraction).drop("_peak")
 
 
-def top_share(df: DataFrame, keys: list[str], weight: str, tie: str, fraction: float = 0.2) -> DataFrame:
+def top_share(df: DataFrame, keys: list[str], weight: str, tie: str, fraction: float = 0.2, split: bool | None = None) -> DataFrame:
     """The top ``ceil(fraction * n)`` rows of each group by weight, lowest ``tie`` first among equals."""
-    df = cut_lineage(df)  # counted, ranked and filtered
     n = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(fraction))).alias("_take"))
     order = F.struct((-F.col(weight)).alias("w"), F.col(tie).alias("t"))
-    ranks = ranked_values(df.withColumn("_order", order), keys, "_order").select(*keys, "_order", "before")
+    ranks = ranked_values(df.withColumn("_order", order), keys, "_order", split=split).select(*keys, "_order", "before")
     keep = ranks.join(n, keys).filter(F.col("before") < F.col("_take")).select(*keys, F.col("_order.t").alias(tie))
     return df.join(keep, [*keys, tie], "left_semi")
 
@@ -167,16 +172,16 @@ def map_metrics(df: DataFrame, keys: list[str], weight: str = "value", tie: str
     """All metrics of response maps given as (keys, vertex, u, v, x, y, z, weight) rows."""
     def hull(rows, name):
         return convex_hulls(rows, keys).select(*keys, *[F.col(f"hull_{c}").alias(f"{name}_{c}") for c in ("area", "perimeter", "corners")])
-    df = cut_lineage(df)  # each family of metrics reads the maps once more
+    split = has_large_groups(df.select(*keys), keys, group_limit(df))  # counted once for all families
     half = above_peak_share(df, keys, weight)
     out = (
-        intensity(df, keys, weight).join(distribution(df, keys, weight), keys)
+        intensity(df, keys, weight, split).join(distribution(df, keys, weight, split), keys)
         .join(weighted_centroid(df, keys, ["x", "y", "z", "u", "v"], weight), keys)
         .join(ellipse(df, keys, weight=weight).drop("center_u", "center_v", "n_points"), keys)
         .join(hull(df, "convex_hull"), keys)
         .join(hull(half, "half_peak").drop("half_peak_perimeter", "half_peak_corners"), keys)
         .join(half.groupBy(*keys).agg(F.count("*").alias("half_peak_count")), keys)
-        .join(hull(top_share(df, keys, weight, tie), "hotspot").drop("hotspot_perimeter", "hotspot_corners"), keys)
+        .join(hull(top_share(df, keys, weight, tie, split=split), "hotspot").drop("hotspot_perimeter", "hotspot_corners"), keys)
     )
     area = F.col("convex_hull_area")
     return out.withColumns({

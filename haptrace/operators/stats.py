@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from haptrace.functions import special as P
 from haptrace.operators.quantiles import average_ranks, percentiles, ranked_values
-from haptrace.session import cut_lineage
 
 
 def coverage(df: DataFrame, stratum: list[str], sensor: str, min_rows: int = 5, min_sensors: int = 2) -> DataFrame:
@@ -119,7 +118,7 @@ def compare(df: DataFrame, methods: list[str], stratum: list[str], sensor: str,
     if unknown:
         raise ValueError(f"unknown comparators {sorted(unknown)}; known: {sorted(COMPARATORS)}")
     df = df.filter(F.col(label) >= 0)
-    df = cut_lineage(df.select(*dict.fromkeys([*stratum, sensor, value])))  # read by every comparator
+    df = df.select(*dict.fromkeys([*stratum, sensor, value]))
     df = df.join(coverage(df, stratum, sensor, min_rows, min_sensors).select(*stratum), stratum, "left_semi")
     out = None
     for m in methods:

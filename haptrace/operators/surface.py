@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from haptrace.functions import columns as C
 from haptrace.schema import KEYS
@@ -136,6 +136,22 @@ def unique_touches(contacts: DataFrame, by: list[str], keys: list[str] = KEYS) -
     return pairs.groupBy(*by, "vertex_id").agg(F.count("*").alias("n_unique"))
 
 
+def population_heatmap(hits: DataFrame, value: str, percent: float, keys: list[str] = KEYS) -> DataFrame:
+    """The heat map of every session and gesture subset from the hits, as one chain of aggregates.
+
+    One row per touch and vertex carries the mean and whether a value is missing; a touch that has
+    several gestures counts once per subset as a visitor, and with each gesture's mean as a value.
+    """
+    by = ["session_id", "subset"]
+    touch = hits.groupBy(*keys, "gesture_type", "vertex_id").agg(F.avg(value).alias("_m"), F.count_if(F.col(value).isNull()).alias("_gap"))
+    mean = F.when(F.col("_gap") == 0, F.col("_m"))
+    each = subset_exploded(touch).groupBy(*dict.fromkeys([*by, *keys]), "vertex_id").agg(F.sum(mean).alias("_s"), F.count(mean).alias("_k"))
+    n = each.filter("_k > 0").select(*dict.fromkeys([*by, *keys])).distinct().groupBy(*by).agg(F.count("*").alias("n_touches"))
+    maps = each.groupBy(*by, "vertex_id").agg((F.sum("_s") / F.sum("_k")).alias("value"), F.count("*").alias("n_unique"), F.sum("_k").alias("_k"))
+    out = maps.filter("_k > 0").drop("_k").join(n, by)
+    return out.withColumn("threshold", C.count_threshold(percent, "n_touches")).withColumn("marked", C.mark_below("value", "n_unique", "threshold"))
+
+
 def thresholded_heatmap(rf: DataFrame, contacts: DataFrame, by: list[str], percent: float, keys: list[str] = KEYS) -> DataFrame:
     """Heat map with -1 at vertices that too few of the touches reach."""
     n = rf.select(*by, *keys).distinct().groupBy(*by).agg(F.count("*").alias("n_touches"))
@@ -291,23 +307,25 @@ def uv_to_xyz(points: DataFrame, faces: DataFrame, vertices: DataFrame, keys: li
     return on.unionByName(snapped.select(*keys, "u", "v", "x", "y", "z", F.lit(False).alias("inside")))
 
 
-def cylinder_axis(vertices: DataFrame, center: list[float], k: int = 500) -> tuple[list[float], float]:
-    """Axis direction and mean radius from the ``k`` vertices nearest to ``center``."""
+def cylinder_axis(vertices: DataFrame, center: list[float], k: int = 500, axis: list[float] | None = None) -> tuple[list[float], list[float], float]:
+    """Axis direction, a point on it and the mean radius from the ``k`` vertices nearest to ``center``; a known ``axis`` stays."""
     d2 = sum(((F.col(a) - c) * (F.col(a) - c) for a, c in zip("yz", center[1:])), (F.col("x") - center[0]) * (F.col("x") - center[0]))
     near = vertices.orderBy(d2, "vertex_id").limit(k)
     m = near.agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"], *[F.covar_pop(a, b).alias(n) for n, a, b in (
         ("xx", "x", "x"), ("xy", "x", "y"), ("xz", "x", "z"), ("yy", "y", "y"), ("yz", "y", "z"), ("zz", "z", "z"))])
     row = C.with_principal_axis(m, {n: n for n in ("xx", "xy", "xz", "yy", "yz", "zz")}).first()
-    axis, mean = [row[f"_u{i}"] for i in range(3)], [row[f"m{a}"] for a in "xyz"]
+    axis, mean = axis or [row[f"_u{i}"] for i in range(3)], [row[f"m{a}"] for a in "xyz"]
     rel = [F.col(a) - c for a, c in zip("xyz", mean)]
     along = rel[0] * axis[0] + rel[1] * axis[1] + rel[2] * axis[2]
     off = C.norm(*[r - along * a for r, a in zip(rel, axis)])
-    return axis, near.agg(F.avg(off)).first()[0]
+    return axis, mean, near.agg(F.avg(off)).first()[0]
 
 
 PROJECTIONS = {
     "tangent_plane": lambda p: tuple(C.rotate([F.col(a) - c for a, c in zip("xyz", p["center"])], p["rotation"])[:2]),
-    "cylindrical_unwrap": lambda p: C.cylinder_uv("x", "y", "z", p["axis"], p["center"], p.get("radius")),
+    # By a camera's rotation the axis is its right, angle 0 faces it and angles grow upwards; else ``toward`` lies at angle 0.
+    "cylindrical_unwrap": lambda p: C.cylinder_uv("x", "y", "z", p["rotation"][0], p["center"], p.get("radius"), zero=[-w for w in p["rotation"][2]], up=p["rotation"][1])
+    if "rotation" in p else C.cylinder_uv("x", "y", "z", p["axis"], p["center"], p.get("radius"), toward=p.get("toward")),
 }
 
 
@@ -319,12 +337,3 @@ def project(df: DataFrame, method: str, parameters: dict, keys: list[str] | None
         raise ValueError(f"unknown projection {method!r}; known: {sorted([*PROJECTIONS, 'slim'])}")
     u, v = PROJECTIONS[method](parameters)
     return df.withColumns({"u": u, "v": v})
-
-
-def tangent_scale(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest and largest coordinate per key, for shared scales."""
-    return df.groupBy(*keys).agg(*[f(a).alias(f"{a}_{n}") for a in ("u", "v") for n, f in (("min", F.min), ("max", F.max))])
-
-
-def first_of_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")

@@ -10,7 +10,6 @@ from haptrace.functions import columns as C
 from haptrace.operators import bins as B
 from haptrace.operators.quantiles import percentiles
 from haptrace.schema import KEYS
-from haptrace.session import cut_lineage
 
 # Response metric names and where they come from.
 RESPONSE_METRICS = {"iff_mean": "Nerve_freq_mean", "iff_max": "Nerve_freq_max", "spike_count_mean": "spike_count"}
@@ -96,7 +95,7 @@ def tuning(df: DataFrame, features: list[str], response: str, n_bins: int, clip:
            min_rows: int = MIN_ROWS) -> DataFrame:
     """All features x sessions x gesture subsets in one grouped pass on pooled windows."""
     named = {}
-    df = cut_lineage(df.select("session_id", "gesture_type", response, *features))  # read by each pass
+    df = df.select("session_id", "gesture_type", response, *features)
     wanted = {f"{f}|{k}": (f, p) for f in features for k, p in (("lo", clip / 100), ("hi", 1 - clip / 100))}
     row = percentiles(df, [], wanted).first()
     for f in features:

@@ -30,9 +30,6 @@ def _(spark, sf):
     return t.select(*ID, code.alias("bin"))
 
 
-_CUT = "least(4, greatest(0, CAST(ceil(({c} - lo) / (hi - lo) * 5) AS INT) - 1))"
-
-
 @query("binning_labels", T + """, e AS (SELECT min(velocity_max) lo, max(velocity_max) hi, (max(velocity_max) - min(velocity_max)) / 5 AS s, min(depth_max) dlo, (max(depth_max) - min(depth_max)) / 5 AS ds FROM touches)
 SELECT session_id, single_touch_id,
  (CASE WHEN velocity_max > lo + s THEN 1 ELSE 0 END + CASE WHEN velocity_max > lo + 2 * s THEN 1 ELSE 0 END + CASE WHEN velocity_max > lo + 3 * s THEN 1 ELSE 0 END + CASE WHEN velocity_max > lo + 4 * s THEN 1 ELSE 0 END) AS cluster_label,

@@ -11,7 +11,6 @@ from haptrace.operators import surface as S
 from haptrace.plans.inputs import ctes, view
 from haptrace.plans.registry import query, r, rounded
 from haptrace.schema import KEYS
-from haptrace.session import cut_lineage
 
 K = ", ".join(KEYS)
 CUT = 5.0
@@ -83,9 +82,7 @@ SELECT session_id, subset, vertex_id, {r("value", "value")}, n_unique, n_touches
   {r("CASE WHEN n_unique < greatest(1, CAST(round_even(0.002 * n_touches, 0) AS BIGINT)) THEN -1.0 ELSE value END", "marked")}
 FROM a JOIN u USING (session_id, subset, vertex_id) JOIN n USING (session_id, subset)""")
 def _(spark, sf):
-    hits = cut_lineage(_hits(spark, sf))
-    rf = S.subset_exploded(S.touch_rf(hits, "iff", [*KEYS, "gesture_type"]))
-    return rounded(S.thresholded_heatmap(rf, S.subset_exploded(hits), ["session_id", "subset"], 0.2))
+    return rounded(S.population_heatmap(_hits(spark, sf), "iff", 0.2))
 
 
 @query("vertex_modes", NEAR + f"""q AS (SELECT * FROM hits) SELECT session_id, vertex_id, {r("avg(iff)", "mean_iff")}, {r("sum(iff)", "cumulative_iff", 4)}, {r("avg(spike)", "spike_density")} FROM q GROUP BY 1, 2""")
@@ -314,11 +311,35 @@ def _(spark, sf):
     return rounded(out.select("vertex_id", "u", "v"))
 
 
-@query("fitted_cylinder_projection")
+# The axis is the main axis of the 500 vertices nearest to the origin: the largest eigenvalue by the cosine form, the axis as a cross product.
+_CYL = ctes("vertices") + """, n AS (SELECT * FROM vertices ORDER BY x * x + y * y + z * z, vertex_id LIMIT 500),
+m AS (SELECT avg(x) mx, avg(y) my, avg(z) mz, var_pop(x) a, var_pop(y) b, var_pop(z) c, covar_pop(x, y) d, covar_pop(x, z) e, covar_pop(y, z) f FROM n),
+q AS (SELECT *, (a + b + c) / 3 AS t, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM m),
+w AS (SELECT *, t + 2 * p * cos(acos(((a - t) * ((b - t) * (c - t) - f * f) - d * (d * (c - t) - f * e) + e * (d * f - (b - t) * e)) / (2 * p * p * p)) / 3) AS l FROM q),
+u AS (SELECT *, d * f - e * (b - l) AS u0, e * d - (a - l) * f AS u1, (a - l) * (b - l) - d * d AS u2 FROM w),
+x AS (SELECT mx, my, mz, u0 / k AS u0, u1 / k AS u1, u2 / k AS u2 FROM (SELECT *, sqrt(u0 * u0 + u1 * u1 + u2 * u2) AS k FROM u)),
+r AS (SELECT avg(sqrt(pow(n.x - mx, 2) + pow(n.y - my, 2) + pow(n.z - mz, 2) - pow((n.x - mx) * u0 + (n.y - my) * u1 + (n.z - mz) * u2, 2))) AS radius FROM n, x),
+z AS (SELECT *, (0 - mx) - ((0 - mx) * u0 + (0 - my) * u1 + (0 - mz) * u2) * u0 AS z0, (0 - my) - ((0 - mx) * u0 + (0 - my) * u1 + (0 - mz) * u2) * u1 AS z1,
+  (0 - mz) - ((0 - mx) * u0 + (0 - my) * u1 + (0 - mz) * u2) * u2 AS z2 FROM x),
+g AS (SELECT vertex_id, (vertices.x - mx) * z0 + (vertices.y - my) * z1 + (vertices.z - mz) * z2 AS c0, sqrt(z0 * z0 + z1 * z1 + z2 * z2) AS zn,
+  (vertices.x - mx) * u0 + (vertices.y - my) * u1 + (vertices.z - mz) * u2 AS v, pow(vertices.x - mx, 2) + pow(vertices.y - my, 2) + pow(vertices.z - mz, 2) AS d2 FROM vertices, z)
+"""
+
+
+@query("fitted_cylinder_projection", _CYL + f"""SELECT vertex_id, {r("radius * acos(greatest(-1, least(1, c0 / zn / sqrt(d2 - v * v))))", "u", 3)}, {r("abs(v)", "v", 3)} FROM g, r""")
 def _(spark, sf):
+    """Angle 0 lies toward the origin; signs are left out, as an axis has two directions."""
     v = view(spark, sf, "vertices")
-    axis, radius = S.cylinder_axis(v, [0.0, 0.0, 0.0])
-    return rounded(S.project(v, "cylindrical_unwrap", {"axis": axis, "center": [0.0, 0.0, 0.0], "radius": radius}).select("vertex_id", "u", "v"), 3)
+    axis, point, radius = S.cylinder_axis(v, [0.0, 0.0, 0.0])
+    out = S.project(v, "cylindrical_unwrap", {"axis": axis, "center": point, "radius": radius, "toward": [0.0, 0.0, 0.0]})
+    return rounded(out.select("vertex_id", F.abs("u").alias("u"), F.abs("v").alias("v")), 3)
+
+
+@query("camera_cylinder_projection", ctes("vertices") + f"""SELECT vertex_id, {r("30 * atan2(x - 1, z - 2)", "u")}, {r("y + 3", "v")} FROM vertices""")
+def _(spark, sf):
+    camera = [[0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, -1.0]]
+    out = S.project(view(spark, sf, "vertices"), "cylindrical_unwrap", {"rotation": camera, "center": [1.0, -3.0, 2.0], "radius": 30.0})
+    return rounded(out.select("vertex_id", "u", "v"))
 
 
 @query("view_rotation", ctes("vertices") + f""", c AS (SELECT vertex_id, x AS px, y AS py, 100 AS pz FROM vertices),

@@ -10,7 +10,6 @@ from haptrace.operators import raster as R
 from haptrace.operators import surface as S
 from haptrace.operators.tuning import _in_windows
 from haptrace.schema import KEYS
-from haptrace.session import cut_lineage
 
 
 def response_fields(rf: DataFrame, contacts: DataFrame, uv: DataFrame, percent: float, rows: int = 150, cols: int = 150,
@@ -23,7 +22,7 @@ def response_fields(rf: DataFrame, contacts: DataFrame, uv: DataFrame, percent:
         a = M.pca_alignment(placed.filter("subset = 'all'"), ["session_id"], "marked")
         u, v = C.align_uv("u", "v", "center_u", "center_v", [[F.col("major_u"), F.col("major_v")], [F.col("minor_u"), F.col("minor_v")]])
         placed = placed.join(a, "session_id").withColumns({"_u": u, "_v": v}).withColumns({"u": F.col("_u"), "v": F.col("_v")})
-    grid = cut_lineage(R.rasterise(placed, by, "marked", rows, cols))
+    grid = R.rasterise(placed, by, "marked", rows, cols)
     return {"heatmap": heat, "raster": grid, "boundary": R.boundaries(grid, by, rows, cols, method, sigma)}
 
 

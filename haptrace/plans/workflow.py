@@ -66,7 +66,8 @@ def run_features(frames: DataFrame, features: dict[str, dict], root: str | None
 
 
 def run_clustering(tables: dict[str, DataFrame], features: list[str], spec: dict[str, list[str]], profiles: dict[str, dict],
-                   reduction: dict | None = None, per_gesture: bool = False, quality: bool = True) -> dict[str, tuple[DataFrame, dict]]:
+                   reduction: dict | None = None, per_gesture: bool = False, quality: bool = True,
+                   stability_rounds: int = 20) -> dict[str, tuple[DataFrame, dict]]:
     """Merge, select, drop incomplete rows, reduce, then label with every clusterer."""
     merged = FT.merge_features([tables[f] for f in features])
     columns, missing = FT.feature_columns(merged.columns, spec)
@@ -84,16 +85,23 @@ def run_clustering(tables: dict[str, DataFrame], features: list[str], spec: dict
             if quality and dict(labelled.dtypes)["cluster_label"] != "string":
                 meta["quality"] = models.centroid_quality(labelled, names)
                 meta["silhouette"] = models.silhouette(labelled, names)
+                if stability_rounds:
+                    meta["bootstrap_ari"] = models.stability(reduced, names, profile["method"], options, stability_rounds)
             out[f"{gname}/{pname}" if per_gesture else pname] = (labelled, meta)
     return out
 
 
 def run_comparing(labelled: DataFrame, methods: list[str], measurement: str, sensor: str = "session_id",
-                  min_instances: int = 5, min_sensors: int = 2, weighting: str = "inverse_dispersion") -> DataFrame:
-    """Every comparator on every covered stratum, then weights across strata."""
+                  min_instances: int = 5, min_sensors: int = 2, weighting: str = "inverse_dispersion",
+                  dispersion: dict[int, float] | None = None) -> DataFrame:
+    """Every comparator on every covered stratum, then weights across strata.
+
+    ``dispersion`` is that of the clusterer's metadata, one number per stratum; strata without one have 0.
+    """
     stratum = ["gesture_type", "cluster_label"] if dict(labelled.dtypes)["cluster_label"] == "string" else ["cluster_label"]
     results = ST.compare(labelled, methods, stratum, sensor, measurement, min_rows=min_instances, min_sensors=min_sensors)
-    results = results.withColumn("stratum_dispersion", F.lit(0.0))
+    known = F.create_map(*[F.lit(x) for k, v in (dispersion or {}).items() for x in (str(k), float(v))]) if dispersion else F.create_map().cast("map<string,double>")
+    results = results.withColumn("stratum_dispersion", F.coalesce(known[F.col("cluster_label").cast("string")], F.lit(0.0)))
     return ST.synthesize(results, "stratum_dispersion" if weighting == "inverse_dispersion" else None)
 
 
