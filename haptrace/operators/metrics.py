@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from haptrace.functions import columns as C
+from haptrace.operators import fits
 from haptrace.operators.ordered import has_large_groups
 from haptrace.operators.quantiles import percentile_aggregates, percentiles, ranked_values
 from haptrace.session import group_limit
@@ -168,11 +169,21 @@ def top_share(df: DataFrame, keys: list[str], weight: str, tie: str, fraction: f
     return df.join(keep, [*keys, tie], "left_semi")
 
 
-def map_metrics(df: DataFrame, keys: list[str], weight: str = "value", tie: str = "vertex_id") -> DataFrame:
-    """All metrics of response maps given as (keys, vertex, u, v, x, y, z, weight) rows."""
+GAUSSIAN = ["converged", "r_squared", "amplitude", "x0", "y0", "theta_deg", "sigma_major", "sigma_minor"]
+
+
+def map_metrics(df: DataFrame, keys: list[str], weight: str = "value", tie: str = "vertex_id", cells: DataFrame | None = None,
+                gaussian: bool = True) -> DataFrame:
+    """All metrics of response maps given as (keys, vertex, u, v, x, y, z, weight) rows.
+
+    ``cells`` (keys) adds a row for every map without a vertex: no vertices, no total, nothing else
+    known. ``gaussian`` adds a turned Gaussian bump fitted to each map, the one iterative part.
+    """
     def hull(rows, name):
         return convex_hulls(rows, keys).select(*keys, *[F.col(f"hull_{c}").alias(f"{name}_{c}") for c in ("area", "perimeter", "corners")])
-    split = has_large_groups(df.select(*keys), keys, group_limit(df))  # counted once for all families
+    # Kept by Spark from the counting job on (and rebuilt from its lineage where lost): every family reads the maps once more.
+    df = df.select(*dict.fromkeys([*keys, tie, weight, "x", "y", "z", "u", "v"])).persist()
+    split = has_large_groups(df.select(*keys), keys, group_limit(df))
     half = above_peak_share(df, keys, weight)
     out = (
         intensity(df, keys, weight, split).join(distribution(df, keys, weight, split), keys)
@@ -183,6 +194,15 @@ def map_metrics(df: DataFrame, keys: list[str], weight: str = "value", tie: str
         .join(half.groupBy(*keys).agg(F.count("*").alias("half_peak_count")), keys)
         .join(hull(top_share(df, keys, weight, tie, split=split), "hotspot").drop("hotspot_perimeter", "hotspot_corners"), keys)
     )
+    total = df.groupBy(*keys).agg(F.sum(weight).alias("total_iff"))
+    out = out.join(total, keys).withColumn("sparsity_index", F.when(F.col("max_iff") > 0, 1 - F.col("mean_iff") / F.col("max_iff")))
+    if gaussian:
+        fit = fits.gaussian_fit(df, keys, "u", "v", weight)
+        out = out.join(fit.select(*keys, *[F.col(c).alias(f"gaussian_{c}") for c in GAUSSIAN]), keys, "left").na.fill(False, ["gaussian_converged"])
+    if cells is not None:
+        out = cells.select(*keys).distinct().join(out, keys, "left").na.fill(0, ["n_vertices", "half_peak_count"]).na.fill(0.0, ["total_iff"])
+        if gaussian:
+            out = out.na.fill(False, ["gaussian_converged"])
     area = F.col("convex_hull_area")
     return out.withColumns({
         "hotspot_fraction": F.when(area > 0, F.col("hotspot_area") / area),

@@ -462,6 +462,10 @@ def compare_pair(b: DataFrame, key: str, subset: str, first: str, second: str, h
     out["centroid_distance"] = C.distance(["centroid_u_a", "centroid_v_a"], ["centroid_u_b", "centroid_v_b"]) * scale
     out["hotspot_distance"] = C.distance(["peak_u_a", "peak_v_a"], ["peak_u_b", "peak_v_b"]) * scale
     out["centroid_hotspot_distance"] = C.distance(["centroid_u_all", "centroid_v_all"], ["peak_u_hot", "peak_v_hot"]) * scale
+    # Shifts split along the arm (u) and across it (v).
+    for kind in ("centroid", "peak"):
+        for part, x in (("along", "u"), ("across", "v")):
+            out[f"{kind}_shift_{part}"] = (F.col(f"{kind}_{x}_a") - F.col(f"{kind}_{x}_b")) * scale
     for m in "ab":
         for x in "uv":
             out[f"offset_{x}_{m}"] = (F.col(f"centroid_{x}_{m}") - F.col(f"centroid_{x}_all")) * scale
@@ -469,12 +473,48 @@ def compare_pair(b: DataFrame, key: str, subset: str, first: str, second: str, h
     return w.select(key, *[c.alias(n) for n, c in out.items()])
 
 
-def tap_stroke(b: DataFrame, key: str = "session_id", subset: str = "subset", scale: float = 1.0) -> DataFrame:
-    return compare_pair(b, key, subset, "tap", "stroke", scale=scale)
-
-
-def proximal_distal(b: DataFrame, key: str = "session_id", subset: str = "subset", scale: float = 1.0) -> DataFrame:
-    return compare_pair(b, key, subset, "stroke_proximal", "stroke_distal", "stroke", "stroke", scale)
+def compare_maps(raster: DataFrame, contours: DataFrame, key: str, subset: str, first: str, second: str, rows: int, cols: int,
+                 scale: float = 1.0) -> DataFrame:
+    """Overlap of two gestures' outlines on the first one's lattice, correlation of their maps, and the
+    shift of their highest levels' centres with the offsets from that of the whole map."""
+    def of(df, name):
+        return df.filter(F.col(subset) == name).drop(subset)
+
+    by = [key]
+    own = of(raster, first)
+    frame = bounds(own, by, rows, cols)
+    lattice = complete(own, by, rows, cols).join(frame, by).select(
+        key, "r", "c", (F.col("u0") + F.col("r") * F.col("du")).alias("u"), (F.col("v0") + F.col("c") * F.col("dv")).alias("v"))
+    masks = [inside_polygon(lattice, of(contours, name), by) for name in (first, second)]
+    both = of(contours, first).select(key).join(of(contours, second).select(key), by).distinct()
+    overlap = mask_overlap(*masks, by).join(both, by, "right").na.fill(0.0, ["iou", "dice"])
+    similar = map_similarity(own, of(raster, second), by).drop("n")
+    centers = [highest_center(of(raster, name), by).select(key, *[F.col(f"center_{x}").alias(f"_{x}{m}") for x in "uv"])
+               for m, name in (("a", first), ("b", second), ("all", "all"))]
+    placed = centers[0].join(centers[1], by).join(centers[2], by, "left")
+    shifts = placed.select(
+        key, *[((F.col(f"_{x}a") - F.col(f"_{x}b")) * scale).alias(f"contour_center_shift_{part}") for part, x in (("along", "u"), ("across", "v"))],
+        *[((F.col(f"_{x}{m}") - F.col(f"_{x}all")) * scale).alias(f"contour_center_offset_{x}_{m}") for m in "ab" for x in "uv"])
+    return overlap.join(similar, by, "full_outer").join(shifts, by, "full_outer")
+
+
+def _with_maps(out: DataFrame, raster: DataFrame | None, b: DataFrame, key: str, subset: str, first: str, second: str, size: tuple[int, int] | None,
+               scale: float) -> DataFrame:
+    if raster is None:
+        return out
+    return out.join(compare_maps(raster, b.select(key, subset, "contour"), key, subset, first, second, *size, scale), key, "left")
+
+
+def tap_stroke(b: DataFrame, key: str = "session_id", subset: str = "subset", scale: float = 1.0, raster: DataFrame | None = None,
+               size: tuple[int, int] | None = None) -> DataFrame:
+    """Tap against stroke; with the rasters (and their size) also overlaps, correlation and contour centres."""
+    return _with_maps(compare_pair(b, key, subset, "tap", "stroke", scale=scale), raster, b, key, subset, "tap", "stroke", size, scale)
+
+
+def proximal_distal(b: DataFrame, key: str = "session_id", subset: str = "subset", scale: float = 1.0, raster: DataFrame | None = None,
+                    size: tuple[int, int] | None = None) -> DataFrame:
+    out = compare_pair(b, key, subset, "stroke_proximal", "stroke_distal", "stroke", "stroke", scale)
+    return _with_maps(out, raster, b, key, subset, "stroke_proximal", "stroke_distal", size, scale)
 
 
 def centroid_shifts(b: DataFrame, key: str, subset: str, axes: list[str]) -> DataFrame:

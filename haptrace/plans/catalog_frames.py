@@ -163,9 +163,23 @@ def _(spark, sf):
     return rounded(S.hand_position(view(spark, sf, "raw")).select(*KEYS, "frame_idx", *S.POSITION))
 
 
-@query("signed_velocity")
+# Main axis of a touch's velocities: the largest eigenvalue by the cosine form, the longest of the cross products as axis, along the mean velocity.
+_AXIS = MOVING_CTES + f""", mo AS (SELECT {K}, {", ".join(f"avg(hand_velocity_{a}) AS m{a}" for a in "xyz")},
+ {", ".join(f"covar_pop(hand_velocity_{a}, hand_velocity_{b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))}, count(*) AS n FROM moving GROUP BY {K}),
+mq AS (SELECT *, (xx + yy + zz) / 3 AS q FROM mo), mp AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM mq),
+ml AS (SELECT *, CASE WHEN p > 0 THEN q + 2 * p * cos(acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3) ELSE q END AS l FROM mp),
+mc AS (SELECT *, unnest([[xy * yz - xz * (yy - l), xz * xy - (xx - l) * yz, (xx - l) * (yy - l) - xy * xy], [xy * (zz - l) - xz * yz, xz * xz - (xx - l) * (zz - l), (xx - l) * yz - xy * xz],
+ [(yy - l) * (zz - l) - yz * yz, yz * xz - xy * (zz - l), xy * yz - (yy - l) * xz]]) AS w FROM ml),
+mx AS (SELECT {K}, max(l * n) AS top, max(struct_pack(s := w[1] * w[1] + w[2] * w[2] + w[3] * w[3], w := w)) AS best, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz FROM mc GROUP BY {K}),
+mu AS (SELECT {K}, top, CASE WHEN best.s > 0 THEN best.w[1] / sqrt(best.s) ELSE 1 END AS u0, CASE WHEN best.s > 0 THEN best.w[2] / sqrt(best.s) ELSE 0 END AS u1, CASE WHEN best.s > 0 THEN best.w[3] / sqrt(best.s) ELSE 0 END AS u2, mx, my, mz FROM mx),
+sg AS (SELECT *, CASE WHEN mx * u0 + my * u1 + mz * u2 < 0 THEN -1 ELSE 1 END AS sg FROM mu)
+"""
+
+
+@query("signed_velocity", _AXIS + f"""SELECT {K}, frame_idx, {r("CASE WHEN top < 1e-24 THEN 0 ELSE sg * (hand_velocity_x * u0 + hand_velocity_y * u1 + hand_velocity_z * u2) / 1000 END", S.SIGNED, 3)} FROM moving JOIN sg USING ({K})""")
 def _(spark, sf):
-    return rounded(S.signed_velocity(S.velocity(view(spark, sf, "frames"))).select(*KEYS, "frame_idx", S.SIGNED), 3)
+    out = S.signed_velocity(S.velocity(view(spark, sf, "frames")))
+    return rounded(out.select(*KEYS, "frame_idx", (F.col(S.SIGNED) / 1000).alias(S.SIGNED)), 3)
 
 
 _MOS = {"mos_strain": "contact_depth / 1.5", "mos_stress_kpa": "contact_depth / 1.5 * 100",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from haptrace.operators import raster as R
 from haptrace.plans import fields
 from haptrace.plans.catalog_surface import _hits
-from haptrace.plans.inputs import ctes, view
+from haptrace.plans.inputs import RASTER, ctes, view
 from haptrace.plans.registry import query, r, rounded
 from haptrace.operators import surface as S
 from haptrace.schema import KEYS
@@ -69,7 +71,13 @@ def _(spark, sf):
     return rounded(R.rasterise(v, ["g"], "val", 20, 20, reach=0).select("g", "r", "c", "z"))
 
 
-@query("filled_raster")
+@query("filled_raster", ctes("vertices") + f""", v AS (SELECT label % 3 AS g, x AS u, y AS v, z + 100 AS val FROM vertices),
+e AS (SELECT g, min(u) - 0.05 * (max(u) - min(u)) u0, max(u) + 0.05 * (max(u) - min(u)) u1, min(v) - 0.05 * (max(v) - min(v)) v0, max(v) + 0.05 * (max(v) - min(v)) v1 FROM v GROUP BY 1),
+k AS (SELECT v.g, CAST(round((u - u0) / (u1 - u0) * 19) AS INT) AS r, CAST(round((v.v - v0) / (v1 - v0) * 19) AS INT) AS c, avg(val) AS z FROM v JOIN e USING (g) GROUP BY 1, 2, 3),
+f AS (SELECT g, CAST(r + i AS INT) AS r, CAST(c + j AS INT) AS c, coalesce(max(z) FILTER (i = 0 AND j = 0), sum(z / (i * i + j * j)) FILTER (i <> 0 OR j <> 0) / sum(1 / (i * i + j * j)) FILTER (i <> 0 OR j <> 0)) AS z
+  FROM k, range(-2, 3) p(i), range(-2, 3) q(j) WHERE r + i BETWEEN 0 AND 19 AND c + j BETWEEN 0 AND 19 GROUP BY 1, 2, 3),
+m AS (SELECT a.g, a.r, a.c, median(b.z) AS z FROM f a JOIN f b ON a.g = b.g AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY 1, 2, 3)
+SELECT m.g, r, c, {r("u0 + r * (u1 - u0) / 19", "u")}, {r("v0 + c * (v1 - v0) / 19", "v")}, {r("greatest(z, 0)", "z")} FROM m JOIN e USING (g)""")
 def _(spark, sf):
     v = view(spark, sf, "vertices").select((F.col("label") % 3).alias("g"), F.col("x").alias("u"), F.col("y").alias("v"), (F.col("z") + 100).alias("val"))
     return rounded(R.rasterise(v, ["g"], "val", 20, 20, reach=2, median=3))
@@ -164,9 +172,24 @@ def _(spark, sf):
     return R.nearest_line(x.join(w, "session_id"), ["session_id"], "v", "center")
 
 
-@query("gradient_ridge_radii")
+# Rays from inner peaks; the gradient (0 where unknown) between four cells, the first largest along a ray.
+_RIDGE = SMOOTH + f""", pk AS (SELECT {B}, r AS peak_r, c AS peak_c FROM (SELECT *, row_number() OVER (PARTITION BY {B} ORDER BY z DESC NULLS LAST, r, c) AS k FROM ras)
+  WHERE k = 1 AND r BETWEEN 2 AND {ROWS - 3} AND c BETWEEN 2 AND {COLS - 3}),
+st AS (SELECT {B}, peak_r, peak_c, CAST(a AS INT) AS angle_index, CAST(d AS INT) AS d, peak_r + d * cos(a * 2 * pi() / 360) AS y, peak_c + d * sin(a * 2 * pi() / 360) AS x
+  FROM pk, range(360) p(a), range(1, {math.ceil(math.hypot(ROWS, COLS))}) q(d)),
+si AS (SELECT *, CAST(floor(y) AS INT) AS r0, CAST(floor(x) AS INT) AS c0 FROM st WHERE y >= 0 AND y < {ROWS - 1} AND x >= 0 AND x < {COLS - 1}),
+gg AS (SELECT {B}, r, c, coalesce(gradient, 0) AS g FROM dv),
+sv AS (SELECT si.*, (1 - (y - r0)) * (1 - (x - c0)) * e.g + (1 - (y - r0)) * (x - c0) * f.g + (y - r0) * (1 - (x - c0)) * h.g + (y - r0) * (x - c0) * i.g AS s FROM si
+  JOIN gg e ON e.session_id = si.session_id AND e.gesture_type = si.gesture_type AND e.r = r0 AND e.c = c0 JOIN gg f ON f.session_id = si.session_id AND f.gesture_type = si.gesture_type AND f.r = r0 AND f.c = c0 + 1
+  JOIN gg h ON h.session_id = si.session_id AND h.gesture_type = si.gesture_type AND h.r = r0 + 1 AND h.c = c0 JOIN gg i ON i.session_id = si.session_id AND i.gesture_type = si.gesture_type AND i.r = r0 + 1 AND i.c = c0 + 1),
+sb AS (SELECT {B}, angle_index, max(round(s, 9)) AS top, arg_max(d, struct_pack(s := round(s, 9), n := -d)) AS d FROM sv GROUP BY 1, 2, 3)
+"""
+
+
+@query("gradient_ridge_radii", _RIDGE + f"""SELECT {B}, peak_r, peak_c, angle_index, {r("angle_index * 2 * pi() / 360", "angle")}, CAST(CASE WHEN top >= 1e-9 THEN coalesce(d, 1) ELSE 1 END AS DOUBLE) AS radius
+FROM (SELECT pk.*, CAST(a AS INT) AS angle_index FROM pk, range(360) p(a)) LEFT JOIN sb USING ({B}, angle_index)""")
 def _(spark, sf):
-    return R.ridge_radii(R.smooth(_ras(spark, sf), BY, ROWS, COLS, 1.0), BY, ROWS, COLS, 72)
+    return rounded(R.ridge_radii(R.smooth(_ras(spark, sf), BY, ROWS, COLS, 1.0), BY, ROWS, COLS))
 
 
 def _boundaries(spark, sf, method="inflection"):
@@ -198,12 +221,38 @@ def _(spark, sf):
 
 @query("tap_stroke_comparison")
 def _(spark, sf):
-    return rounded(R.tap_stroke(_boundaries(spark, sf)[0]), 4)
+    b, x = _boundaries(spark, sf)
+    return rounded(R.tap_stroke(b, raster=x, size=(ROWS, COLS)), 4)
 
 
 @query("proximal_distal_comparison")
 def _(spark, sf):
-    return rounded(R.proximal_distal(_boundaries(spark, sf)[0]), 4)
+    b, x = _boundaries(spark, sf)
+    return rounded(R.proximal_distal(b, raster=x, size=(ROWS, COLS)), 4)
+
+
+# Maps and 24-cornered outlines of two gestures, the outlines in the maps' coordinates; the whole map is the proximal stroke's here.
+_OUT = POLY + f"""raster AS ({RASTER}), ras AS (SELECT * REPLACE (CASE WHEN (r + 2 * c) % 7 <> 3 THEN z / n END AS z) FROM raster),
+lt AS (SELECT session_id, a / 49.0 AS u, b / 10.0 AS v, CAST(a AS INT) AS r, CAST(b AS INT) AS c FROM (SELECT DISTINCT session_id FROM ras), range({ROWS}) x(a), range({COLS}) y(b)),
+oe AS (SELECT session_id, gesture_type, 0.5 + u1 / 130 AS u1, 0.5 + v1 / 130 AS v1, 0.5 + u2 / 130 AS u2, 0.5 + v2 / 130 AS v2 FROM ed),
+ins AS (SELECT lt.session_id, gesture_type, r, c FROM lt JOIN oe USING (session_id) WHERE (v1 > lt.v) <> (v2 > lt.v) GROUP BY ALL HAVING count(*) FILTER (lt.u < u1 + (lt.v - v1) * (u2 - u1) / (v2 - v1)) % 2 = 1),
+ma AS (SELECT * FROM ins WHERE gesture_type = 'tap'), mb AS (SELECT * FROM ins WHERE gesture_type = 'stroke_distal'),
+ov AS (SELECT coalesce(ma.session_id, mb.session_id) AS session_id, count(ma.r) AS na, count(mb.r) AS nb, count(*) AS un, count(ma.r + mb.r) AS it FROM ma FULL JOIN mb ON ma.session_id = mb.session_id AND ma.r = mb.r AND ma.c = mb.c GROUP BY 1),
+co AS (SELECT a.session_id, corr(a.z, b.z) AS pr FROM ras a JOIN ras b ON a.session_id = b.session_id AND a.r = b.r AND a.c = b.c WHERE a.gesture_type = 'tap' AND b.gesture_type = 'stroke_distal' AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY 1),
+lv AS (SELECT {B}, min(z) lo, max(z) hi FROM ras GROUP BY 1, 2), hc AS (SELECT {B}, avg(u) AS u, avg(v) AS v FROM ras JOIN lv USING ({B}) WHERE z >= lo + (hi - lo) * 6 / 7 GROUP BY 1, 2),
+hs AS (SELECT session_id, {", ".join(f"max({x}) FILTER (gesture_type = '{g}') AS {x}{m}" for m, g in (("a", "tap"), ("b", "stroke_distal"), ("w", "stroke_proximal")) for x in "uv")} FROM hc GROUP BY 1)
+"""
+
+
+@query("gesture_map_comparison", _OUT + f"""SELECT session_id, {r("it / un", "iou")}, {r("2 * it / (na + nb)", "dice")}, {r("it / na", "containment_a")}, {r("it / nb", "containment_b")}, {r("pr", "pearson_r")},
+ {r("80 * (ua - ub)", "contour_center_shift_along")}, {r("80 * (va - vb)", "contour_center_shift_across")}, {", ".join(r(f"80 * ({x}{m} - {x}w)", f"contour_center_offset_{x}_{m}") for m in "ab" for x in "uv")}
+FROM ov JOIN co USING (session_id) JOIN hs USING (session_id)""")
+def _(spark, sf):
+    subset = F.when(F.col("gesture_type") == "stroke_proximal", "all").otherwise(F.col("gesture_type"))
+    x = _ras(spark, sf).withColumn("subset", subset)
+    moved = F.transform("contour", lambda p: F.struct((p.u / 130 + 0.5).alias("u"), (p.v / 130 + 0.5).alias("v")))
+    outlines = _poly(spark, sf).withColumn("subset", subset).select("session_id", "subset", moved.alias("contour"))
+    return rounded(R.compare_maps(x.drop("gesture_type"), outlines, "session_id", "subset", "tap", "stroke_distal", ROWS, COLS, 80.0))
 
 
 _PAIRED = ctes("touches") + f""", q AS (SELECT *, CAST(single_touch_id % 5 AS INT) AS k FROM touches),

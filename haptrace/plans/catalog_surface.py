@@ -262,14 +262,66 @@ def _(spark, sf):
     return M.above_peak_share(h, ["session_id"], "value").groupBy("session_id").agg(F.count("*").alias("n"))
 
 
-@query("contact_hulls")
+def hull_sql(name: str, points: str, by: list[str]) -> str:
+    """Table ``name`` (by, area, perimeter, corners): edges of the hull are the pairs with no point to their right nor beyond them on their line."""
+    on = " AND ".join(f"p.{k} = a.{k}" for k in by)
+    keys = ", ".join(by)
+    cross = "((b.u - a.u) * (p.v - a.v) - (b.v - a.v) * (p.u - a.u))"
+    dot = "((b.u - a.u) * (p.u - a.u) + (b.v - a.v) * (p.v - a.v))"
+    return f"""{name}_p AS (SELECT DISTINCT {keys}, u, v FROM {points}),
+{name}_e AS (SELECT a.*, b.u AS u2, b.v AS v2 FROM {name}_p a JOIN {name}_p b USING ({keys}) WHERE (a.u <> b.u OR a.v <> b.v)
+  AND NOT EXISTS (SELECT 1 FROM {name}_p p WHERE {on} AND ({cross} < 0 OR ({cross} = 0 AND ({dot} < 0 OR {dot} > (b.u - a.u) * (b.u - a.u) + (b.v - a.v) * (b.v - a.v)))))),
+{name} AS (SELECT {keys}, coalesce(abs(sum(e.u * e.v2 - e.u2 * e.v)) / 2, 0) AS area, CASE WHEN abs(sum(e.u * e.v2 - e.u2 * e.v)) > 0 THEN sum(sqrt((e.u - e.u2) ** 2 + (e.v - e.v2) ** 2)) END AS perimeter,
+  greatest(count(e.u), 1) AS corners FROM (SELECT DISTINCT {keys} FROM {name}_p) LEFT JOIN {name}_e e USING ({keys}) GROUP BY {keys})"""
+
+
+@query("contact_hulls", ctes("contacts") + ", ends AS (SELECT session_id, gesture_type, x AS u, unnest([min(y), max(y)]) AS v FROM contacts GROUP BY 1, 2, 3), "
+       + hull_sql("h", "ends", ["session_id", "gesture_type"]) + f" SELECT session_id, gesture_type, {r('area', 'hull_area')}, {r('perimeter', 'hull_perimeter')}, corners AS hull_corners FROM h")
 def _(spark, sf):
     return rounded(M.convex_hulls(view(spark, sf, "contacts"), ["session_id", "gesture_type"], "x", "y"))
 
 
-@query("cell_metrics")
+def metrics_sql(points: str, by: str, name: str) -> str:
+    """Table ``name`` with all metrics but the fitted bump of the maps in ``points``."""
+    keys = [k.strip() for k in by.split(",")]
+    hulls = ", ".join(hull_sql(f"{name}_{h}", f"{name}_{src}", keys) for h, src in (("ch", "w"), ("hh", "half"), ("sh", "spot")))
+    return f"""{name}_w AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY value DESC, vertex_id) AS place, row_number() OVER (PARTITION BY {by} ORDER BY value) AS rk, count(*) OVER q AS n, max(value) OVER q AS peak, avg(value) OVER q AS mu, sum(value) OVER q AS tot,
+  sum(value * u) OVER q / sum(value) OVER q AS cu, sum(value * v) OVER q / sum(value) OVER q AS cv FROM {points} WINDOW q AS (PARTITION BY {by})),
+{name}_half AS (SELECT * FROM {name}_w WHERE value >= 0.5 * peak), {name}_spot AS (SELECT * FROM {name}_w WHERE place <= greatest(1, ceil(n * 0.2))), {hulls},
+{name}_a AS (SELECT {by}, max(value) AS max_iff, avg(value) AS mean_iff, stddev_pop(value) AS std_iff, max(value) - min(value) AS iff_range, count(*) AS n_vertices, median(value) AS median_iff,
+  CASE WHEN count(*) >= 2 AND max(value) > min(value) THEN (avg(value) - min(value)) / (max(value) - min(value)) END AS hypsometric_integral, CASE WHEN count(*) >= 2 THEN stddev_pop(value) / avg(value) END AS coefficient_of_variation,
+  CASE WHEN count(*) >= 2 AND max(value) > min(value) THEN avg(pow(value - mu, 3)) / pow(avg(pow(value - mu, 2)), 1.5) END AS iff_skewness, CASE WHEN count(*) >= 2 AND max(value) > min(value) THEN avg(pow(value - mu, 4)) / pow(avg(pow(value - mu, 2)), 2) - 3 END AS iff_kurtosis,
+  CASE WHEN count(*) = 1 THEN 0 ELSE 2 * sum(rk * value) / (count(*) * min(tot)) - (count(*) + 1) / count(*) END AS gini_coefficient, CASE WHEN count(*) = 1 THEN 0 ELSE -sum(value / tot * log2(value / tot)) END AS shannon_entropy,
+  {", ".join(f"sum(value * {c}) / sum(value) AS weighted_centroid_{c}" for c in ("x", "y", "z", "u", "v"))}, sum(value) AS total_iff, 1 - avg(value) / max(value) AS sparsity_index, count(*) FILTER (value >= 0.5 * peak) AS half_peak_count,
+  sum(value * (u - cu) * (u - cu)) / sum(value) AS ea, sum(value * (u - cu) * (v - cv)) / sum(value) AS eb, sum(value * (v - cv) * (v - cv)) / sum(value) AS ed FROM {name}_w GROUP BY {by}),
+{name}_l AS (SELECT *, (ea + ed) / 2 + sqrt((ea - ed) * (ea - ed) / 4 + eb * eb) AS l1, greatest(0, (ea + ed) / 2 - sqrt((ea - ed) * (ea - ed) / 4 + eb * eb)) AS l2 FROM {name}_a),
+{name} AS (SELECT l.* EXCLUDE (ea, eb, ed, l1, l2), CASE WHEN n_vertices >= 2 THEN 2 * sqrt(l1) END AS ellipse_major, CASE WHEN n_vertices >= 2 THEN 2 * sqrt(l2) END AS ellipse_minor,
+  CASE WHEN n_vertices >= 2 THEN degrees(atan2(2 * eb, ea - ed) / 2) END AS orientation_deg, c.area AS convex_hull_area, c.perimeter AS convex_hull_perimeter, c.corners AS convex_hull_corners, h.area AS half_peak_area, s.area AS hotspot_area,
+  CASE WHEN c.area > 0 THEN s.area / c.area END AS hotspot_fraction, sqrt(4 * c.area / pi()) AS equivalent_diameter, CASE WHEN c.area > 0 THEN 4 * pi() * c.area / (c.perimeter * c.perimeter) END AS circularity
+  FROM {name}_l l JOIN {name}_ch c USING ({by}) JOIN {name}_hh h USING ({by}) JOIN {name}_sh s USING ({by}))"""
+
+
+_METRICS = ["max_iff", "mean_iff", "std_iff", "iff_range", "median_iff", "hypsometric_integral", "coefficient_of_variation", "iff_skewness", "iff_kurtosis", "gini_coefficient", "shannon_entropy",
+            *[f"weighted_centroid_{c}" for c in ("x", "y", "z", "u", "v")], "total_iff", "sparsity_index", "ellipse_major", "ellipse_minor", "orientation_deg", "convex_hull_area",
+            "convex_hull_perimeter", "half_peak_area", "hotspot_area", "hotspot_fraction", "equivalent_diameter", "circularity"]
+
+
+@query("cell_metrics", _PLACED + ", " + metrics_sql("placed", _C, "mt") + f", cells AS (SELECT DISTINCT {_C} FROM mem) SELECT {_C}, coalesce(n_vertices, 0) AS n_vertices, coalesce(half_peak_count, 0) AS half_peak_count, convex_hull_corners, "
+       + ", ".join(r("coalesce(total_iff, 0)" if c == "total_iff" else c, c, 3 if c == "orientation_deg" else 4) for c in _METRICS) + f" FROM cells LEFT JOIN mt USING ({_C})")
+def _(spark, sf):
+    out = M.map_metrics(_placed(spark, sf), CELL, cells=_members(spark, sf), gaussian=False)
+    return rounded(out.select(*CELL, "n_vertices", "half_peak_count", "convex_hull_corners", *_METRICS), 4, orientation_deg=3)
+
+
+@query("session_bump_fits", NEAR + """q AS (SELECT session_id, vertex_id FROM rf GROUP BY 1, 2) SELECT session_id, count(*) AS n_vertices, true AS gaussian_converged, 1.0::DOUBLE AS gaussian_r_squared, 5.0::DOUBLE AS gaussian_amplitude,
+ 2.0::DOUBLE AS gaussian_x0, -1.0::DOUBLE AS gaussian_y0, 14.0::DOUBLE AS gaussian_sigma_major, 9.0::DOUBLE AS gaussian_sigma_minor FROM q GROUP BY 1""")
 def _(spark, sf):
-    return rounded(M.map_metrics(_placed(spark, sf), CELL), 5)
+    """The bump of the metric bundle, on maps whose values are an exact bump over the vertices reached."""
+    u, v = F.col("u") - 2, F.col("v") + 1
+    where = view(spark, sf, "vertices").select("vertex_id", "x", "y", "z", F.col("x").alias("u"), F.col("y").alias("v"))
+    maps = S.heatmap(_rf(spark, sf), ["session_id"]).drop("value").join(where, "vertex_id").withColumn("value", F.exp(-(u * u / 196 + v * v / 81) / 2) * 5 + 1)
+    out = M.map_metrics(maps, ["session_id"])
+    return rounded(out.select("session_id", "n_vertices", *[f"gaussian_{c}" for c in M.GAUSSIAN if c != "theta_deg"]), 2)
 
 
 @query("cell_baseline_overlap", _CELLMAP + f""", base AS (SELECT session_id, vertex_id FROM rf GROUP BY 1, 2), nb AS (SELECT session_id, count(*) AS nb FROM base GROUP BY 1),
@@ -279,12 +331,16 @@ def _(spark, sf):
     return rounded(M.vertex_overlap(_cellmap(spark, sf), _rf(spark, sf), CELL, ["session_id"]))
 
 
-@query("cell_baseline_deviation")
+@query("cell_baseline_deviation", _PLACED + ", " + metrics_sql("placed", _C, "mt") + """, hb AS (SELECT session_id, vertex_id, avg(rf_mean) AS value FROM rf GROUP BY 1, 2), pb AS (SELECT hb.*, x, y, z, x AS u, y AS v FROM hb JOIN vertices USING (vertex_id)), """
+       + metrics_sql("pb", "session_id", "bs") + f""", dev AS (SELECT m.*, {", ".join(f"b.{c} AS b_{c}" for c in ("convex_hull_area", "hotspot_area", "mean_iff", "max_iff", "equivalent_diameter"))},
+ sqrt({" + ".join(f"(m.weighted_centroid_{a} - b.weighted_centroid_{a}) ** 2" for a in "xyz")}) AS sh FROM mt m JOIN bs b USING (session_id))
+SELECT {_C}, {r("CASE WHEN b_convex_hull_area <> 0 THEN convex_hull_area / b_convex_hull_area END", "deviation_area_ratio", 5)}, {r("CASE WHEN b_hotspot_area <> 0 THEN hotspot_area / b_hotspot_area END", "deviation_hotspot_area_ratio", 5)},
+ {r("sh", "deviation_centroid_shift_mm", 5)}, {r("CASE WHEN b_equivalent_diameter <> 0 THEN sh / b_equivalent_diameter END", "deviation_centroid_shift_normalized", 5)}, {r("mean_iff / b_mean_iff", "deviation_mean_iff_ratio", 5)}, {r("max_iff / b_max_iff", "deviation_peak_iff_ratio", 5)} FROM dev""")
 def _(spark, sf):
-    cells = M.map_metrics(_placed(spark, sf), CELL)
+    cells = M.map_metrics(_placed(spark, sf), CELL, gaussian=False)
     v = view(spark, sf, "vertices").select("vertex_id", "x", "y", "z", F.col("x").alias("u"), F.col("y").alias("v"))
     base = S.heatmap(_rf(spark, sf), ["session_id"]).join(v, "vertex_id")
-    out = M.baseline_deviation(cells, M.map_metrics(base, ["session_id"]), ["session_id"])
+    out = M.baseline_deviation(cells, M.map_metrics(base, ["session_id"], gaussian=False), ["session_id"])
     return rounded(out.select(*CELL, *[c for c in out.columns if c.startswith("deviation_")]), 5)
 
 
