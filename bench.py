@@ -19,6 +19,7 @@ HEADLINE = [
     "cartesian_labels", "outlier_bounds", "response_tuning", "tuning_bins", "nearest_vertex", "touch_response_maps", "population_heatmap",
     "grid_response_maps", "cell_intensity", "bias_test", "precision_test", "distribution_test", "kruskal_wallis",
     "raster_derivatives", "centroid_quality", "quadratic_fit", "line_fit",
+    "cell_metrics", "spatial_tuning", "dbscan_clusters", "kmeans_clusters", "mann_whitney",
 ]
 
 

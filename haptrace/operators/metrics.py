@@ -21,6 +21,7 @@ def intensity(df: DataFrame, keys: list[str], value: str = "value", split: bool
     v = F.col(value)
     df = df.select(*keys, value)
     if split is None:
+        df = df.persist()  # counted here, summed by the result
         split = has_large_groups(df.select(*keys), keys, group_limit(df))
     median = {"median_iff": (value, 0.5)}
     two = df.groupBy(*keys).agg(
@@ -41,6 +42,9 @@ def distribution(df: DataFrame, keys: list[str], value: str = "value", split: bo
     """Biased skewness, excess kurtosis, Gini coefficient and entropy in bits."""
     v = F.col(value)
     df = df.select(*keys, value)
+    if split is None:
+        df = df.persist()  # counted here, summed and ranked by the result
+        split = has_large_groups(df.select(*keys), keys, group_limit(df))
     base = df.groupBy(*keys).agg(
         F.count(v).alias("_n"), F.sum(v).alias("_total"), F.skewness(v).alias("_skew"), F.kurtosis(v).alias("_kurt"),
         F.sum(F.when(v > 0, v * F.log2(v)).otherwise(0.0)).alias("_vlog"))

@@ -91,6 +91,8 @@ def ks_pairs(df: DataFrame, stratum: list[str], sensor: str, value: str) -> Data
         "_cb": F.when(F.col(sensor) == F.col("b"), F.col("_w")).otherwise(0)})
     gap = F.abs((F.col("_ca_before") + F.col("_ca")) / F.col("na") - (F.col("_cb_before") + F.col("_cb")) / F.col("nb"))
     best = ranks.join(pairs, by).groupBy(*by, "na", "nb").agg(F.max(gap).alias("ks_statistic"))
+    # One row per pair of sensors, but the exact law takes a while for each: spread over the cores.
+    best = best.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
     return best.withColumn("p_value", P.p_value(P.ks_p, "ks_statistic", "na", "nb"))
 
 
