@@ -440,11 +440,14 @@ q AS (SELECT t.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS
  JOIN mv a ON a.session_id = t.session_id AND a.vertex_id = r0 * 100 + c0 JOIN mv b ON b.session_id = t.session_id AND b.vertex_id = r0 * 100 + c0 + 1
  JOIN mv c ON c.session_id = t.session_id AND c.vertex_id = r0 * 100 + c0 + 100 JOIN mv d ON d.session_id = t.session_id AND d.vertex_id = r0 * 100 + c0 + 101)
 SELECT session_id, {r("u", "u")}, {r("v", "v")}, {r("CASE WHEN fu + fv <= 1 THEN ax + fu * (cx - ax) + fv * (bx - ax) ELSE dx + (1 - fu) * (bx - dx) + (1 - fv) * (cx - dx) END", "x")},
- {r("CASE WHEN fu + fv <= 1 THEN az + fu * (cz - az) + fv * (bz - az) ELSE dz + (1 - fu) * (bz - dz) + (1 - fv) * (cz - dz) END", "z")} FROM q""")
+ {r("CASE WHEN fu + fv <= 1 THEN az + fu * (cz - az) + fv * (bz - az) ELSE dz + (1 - fu) * (bz - dz) + (1 - fv) * (cz - dz) END", "z")}, true AS inside FROM q
+UNION ALL SELECT session_id, {r("w.u", "u")}, {r("w.v", "v")}, {r("w.b.x", "x")}, {r("w.b.z", "z")}, false FROM (
+ SELECT o.session_id, o.u, o.v, min(struct_pack(d := (o.u - mv.u) * (o.u - mv.u) + (o.v - mv.v) * (o.v - mv.v), i := mv.vertex_id, x := mv.x, z := mv.z)) AS b
+ FROM (SELECT session_id, u, v FROM p EXCEPT SELECT session_id, u, v FROM q) o JOIN mv USING (session_id) GROUP BY 1, 2, 3) w""")
 def _(spark, sf):
     v, f = _mesh(spark, sf)
     p = view(spark, sf, "lineitem").selectExpr("concat('s', CAST(l_suppkey % 4 AS STRING)) AS session_id", "l_quantity * 0.97D AS u", "round(l_tax * 100) * 1.1D + 0.05D AS v")
-    return rounded(S.uv_to_xyz(p, f, v, ["session_id"], 1.0).filter("inside").select("session_id", "u", "v", "x", "z"))
+    return rounded(S.uv_to_xyz(p, f, v, ["session_id"], 1.0).select("session_id", "u", "v", "x", "z", "inside"))
 
 
 @query("stroke_report", ctes("raw") + f"""SELECT {K}, {r("last(contact_location_x ORDER BY frame_idx) FILTER (contact_location_x IS NOT NULL) - first(contact_location_x ORDER BY frame_idx) FILTER (contact_location_x IS NOT NULL)", "delta_x")},
