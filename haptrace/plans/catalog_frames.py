@@ -233,6 +233,12 @@ def _(spark, sf):
     return rounded(FT.extract_feature("mean_before_iff", view(spark, sf, "frames"), columns=_STAT, window=4), 4)
 
 
+@query("mean_before_activity_default", _ACT + f""", o AS (SELECT *, min(CASE WHEN act THEN i END) OVER (PARTITION BY {K}) AS f0 FROM a)
+SELECT {K}, {_SHARED}, {", ".join(r(f"avg(CASE WHEN i >= f0 - 250 AND i < f0 THEN {c} END)", f"{c}_mean_before_iff", 4) for c in _STAT)} FROM o GROUP BY {K}""")
+def _(spark, sf):
+    return rounded(FT.extract_feature("mean_before_iff", view(spark, sf, "frames"), columns=_STAT), 4)
+
+
 @query("spike_counts", ctes("frames") + f"SELECT {K}, {_SHARED}, CAST(sum(Nerve_spike) AS BIGINT) AS spike_count FROM frames GROUP BY {K}")
 def _(spark, sf):
     return rounded(FT.extract_feature("spike_count", view(spark, sf, "frames")), 4)
