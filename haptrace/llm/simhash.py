@@ -55,12 +55,13 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     n = int(first.sum())
     if not n:
         return 0
-    # One space between words: a space stays if a word follows it directly and another came before.
+    # One gap between words: white space stays, as a space, if a word follows it directly and another came before.
     kept = ~space
     kept[:-1] |= first[1:]
     kept[: int(np.argmax(~space))] = False
     flat = raw[kept]
-    gaps = np.flatnonzero(flat == 32)
+    gaps = np.flatnonzero(space[kept])
+    flat[gaps] = 32
     flat = flat.tobytes()
     starts = np.concatenate([[0], gaps + 1])
     ends = np.concatenate([gaps, [len(flat)]])

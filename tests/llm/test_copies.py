@@ -140,3 +140,28 @@ def test_components_of_paths_and_stars(spark):
     assert {n: found.get(n, n) for n in nodes} == expected
     import numpy as np
     assert merged(3, np.array([0, 1]), np.array([1, 2]), np.array([9, 8, 7])).tolist() == [7, 7, 7]
+
+
+def test_any_white_space_between_words_counts_the_same():
+    rng = random.Random(3)
+    for n in (1, 2, 3, 4, 300):
+        words = [rng.choice(WORDS) for _ in range(n)]
+        plain = _plain_print(" ".join(words))
+        for space in "\t\n\v\f\r ":
+            assert simhash.fingerprint(space.join(words)) == plain
+        for _ in range(20):
+            mixed = "".join(w + "".join(rng.choices("\t\n\v\f\r ", k=rng.randint(1, 3))) for w in words)
+            assert simhash.fingerprint(rng.choice(["", "\n", " \t"]) + mixed) == plain
+
+
+def test_given_documents_match_the_plain_print(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert simhash.fingerprint(r["text"]) == _plain_print(r["text"])
+
+
+def test_line_breaks_do_not_hide_near_copies(spark):
+    rng = random.Random(4)
+    words = [rng.choice(WORDS) for _ in range(50)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "\n".join(words)), (3, "\r\n\t".join(words))], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_copies(docs).collect()} == {1}
+    assert [r["doc_id"] for r in simhash.keep_one(docs).collect()] == [1]
