@@ -6,7 +6,8 @@ most. A document is then kept when a hash of its id, as a number in [0, 1), is b
 weight, so the expected tokens of the kept documents meet every margin.
 
 The total is ``keep`` of all tokens, or less where a named class has too few tokens for its
-share. Values that a margin doesn't name (and nulls) are one class, ``OTHER``; so there are at most
+share. Values that a margin doesn't name (and nulls) are one class, ``OTHER``, whose share is its
+target or, if it holds less, its share of all tokens, so it never lowers the total. There are at most
 (sources + 1) x (languages + 1) x (topics + 1) cells, whatever the data, and only their sums are
 fitted on the driver and broadcast. ``MAX_CELLS`` bounds what a set of targets may ask for.
 
@@ -65,10 +66,11 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def rake(cells: np.ndarray, tokens: np.ndarray, margins: list[np.ndarray], keep: float = KEEP) -> tuple[np.ndarray, float]:
+def rake(cells: np.ndarray, tokens: np.ndarray, margins: list[np.ndarray], keep: float = KEEP, other: bool = False) -> tuple[np.ndarray, float]:
     """Weights of cells in [0, 1], and the largest relative miss of a margin.
 
-    ``cells`` has a row per cell with its class number in each margin, ``margins`` the classes' shares.
+    ``cells`` has a row per cell with its class number in each margin, ``margins`` the classes' shares;
+    with ``other`` the last class of each is ``OTHER``.
     """
     wanted, total = [], tokens.sum()
     if total <= 0:
@@ -78,6 +80,9 @@ def rake(cells: np.ndarray, tokens: np.ndarray, margins: list[np.ndarray], keep:
     for have, shares in zip(held, margins):
         share = np.where(have > 0, shares, 0.0)
         share = share / share.sum() if share.sum() else have / have.sum()
+        if other and share[-1] > have[-1] / total and share[:-1].any():
+            share[:-1] *= (1 - have[-1] / total) / share[:-1].sum()
+            share[-1] = have[-1] / total
         wanted.append(share)
         most = min(most, (have[share > 0] / share[share > 0]).min())
     weight = np.full(len(tokens), most / total)
@@ -115,7 +120,7 @@ def mix(docs: DataFrame, targets: Targets, keep: float = KEEP, seed: int = 0, id
     numbers = [{c: i for i, c in enumerate(m)} for m in margins]
     cells = np.array([[numbers[m][r[m]] for m in range(3)] for r in sums], dtype=np.int64).reshape(len(sums), 3)
     shares = [np.array(list(m.values()), dtype=float) for m in margins]
-    weights, miss = rake(cells, np.array([float(r["n"]) for r in sums]), shares, keep)
+    weights, miss = rake(cells, np.array([float(r["n"]) for r in sums]), shares, keep, other=True)
     fitted = spark.createDataFrame(
         [(*[r[k] for k in keys], float(w), miss) for r, w in zip(sums, weights)],
         "__source string, __lang string, __topic string, probability double, margin_error double")

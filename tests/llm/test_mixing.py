@@ -79,3 +79,25 @@ def test_odd_rows(spark):
     assert mixing.keep_mixed(docs, catalog.TARGETS).schema == docs.schema
     assert mixing.mix(docs.limit(0), catalog.TARGETS).collect() == []
     assert mixing.keep_mixed(docs.limit(0), catalog.TARGETS).collect() == []
+
+
+def test_a_few_odd_rows_do_not_shrink_the_whole(spark):
+    targets = mixing.Targets(source={"a": 0.5, "b": 0.5}, lang={"en": 0.6, "fr": 0.4}, topic={"prose": 1.0})
+    text = "some plain words " * 20
+    rows = [(i, text, "ab"[i % 2], "en" if i % 10 < 6 else "fr") for i in range(1000)]
+    docs = spark.createDataFrame([*rows, (1000, text, "a", None), (1001, text, None, "en"), (1002, text, "z", "fr")],
+                                 "doc_id long, text string, source string, lang string")
+    found = mixing.mix(docs, targets).collect()
+    kept = sum(r["n_tokens"] * r["probability"] for r in found) / sum(r["n_tokens"] for r in found)
+    assert kept == pytest.approx(mixing.KEEP, abs=1e-6)
+    assert found[0]["margin_error"] < 1e-6
+
+
+def test_a_large_other_class_gets_its_target():
+    cells = np.array([(0, 0), (1, 0), (0, 1), (1, 1)])
+    tokens = np.array([30.0, 30.0, 25.0, 15.0])
+    margins = [np.array([0.9, 0.1]), np.array([0.8, 0.2])]
+    weights, miss = mixing.rake(cells, tokens, margins, 0.3, other=True)
+    assert miss < 1e-8
+    for m, shares in enumerate(margins):
+        assert np.allclose(np.bincount(cells[:, m], tokens * weights), shares * 30)
