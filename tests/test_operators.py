@@ -17,6 +17,7 @@ from haptrace.operators import metrics as M
 from haptrace.operators import models as MO
 from haptrace.operators import prepare as PR
 from haptrace.operators import raster as R
+from haptrace.operators import starts as SS
 from haptrace.operators import stats as ST
 from haptrace.operators import surface as S
 from haptrace.operators import tuning as U
@@ -272,6 +273,25 @@ def test_kmeans_respects_minimum_size(three_blobs):
     assert meta["k"] == 1
 
 
+def test_starts_of_a_large_table_with_few_different_rows(spark):
+    values = F.col("id") % 4
+    df = spark.range(400_000).select((values % 2 * 10).cast("double").alias("a"), F.floor(values / 2).cast("double").alias("b"))
+    rows, weights, count = SS.seed_rows(df, ["a", "b"], 400_000)
+    assert rows.tolist() == [[0, 0], [0, 1], [10, 0], [10, 1]] and weights.tolist() == [100_000] * 4 and count == 4
+    _, meta = cluster("kmeans", df, ["a", "b"], {"min_touches_per_cluster": 100_000, "n_init": 2})
+    assert meta["k"] == 4 and meta["sizes"] == [100_000] * 4
+    fits = MO.fit_gmms(df, ["a", "b"], [(2, 42)])
+    assert sorted(round(m[0]) for m in fits[0][0][1]) == [0, 10]
+
+
+def test_seeds_are_different_rows_and_grow_with_k(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") < 20_000, 0.5).otherwise(F.col("id")).cast("double").alias("a"))
+    rows, weights, count = SS.seed_rows(df, ["a"], 60_000)
+    assert count == 40_001 and 3500 < len(rows) <= 8000 and len(np.unique(rows)) == len(rows)
+    assert weights[rows[:, 0] == 0.5].tolist() == [20_000] and weights.sum() == pytest.approx(60_000, rel=0.1)
+    assert len(SS.seed_rows(df, ["a"], 60_000, 5000)[0]) > 5000
+
+
 # --- fits ------------------------------------------------------------------------------
 
 
