@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from haptrace.llm import bpe, exact_dedup, html_tree, langid, mixing, pivots, secrets, simhash, toxicity, warc
+from haptrace.llm import bpe, exact_dedup, html_tree, langid, mixing, phrases, pivots, repair, secrets, simhash, toxicity, voronoi, warc
 
 # The mixture that the query and the pipeline aim at.
 TARGETS = mixing.Targets(
@@ -141,3 +141,61 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     model = html_tree.fit(html_tree.sample(pages, "page_id", "html"))
     return html_tree.extract(pages.select("page_id", "url", "html"), model)
+
+
+@query("op11_voronoi", """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.z, c.z) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row <> c.row AND len(q.z) = len(c.z) WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op11_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op12_repair")
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_phrases", r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d
+), g AS (
+  SELECT lang, 1 AS m, unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:i], ' '))) AS phrase FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM p
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM p
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, m, phrase, f AS a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM f WHERE m >= 2 AND f >= 10
+  UNION ALL SELECT lang, m, phrase, f, 2, array_to_string(w[1:2], ' '), w[3] FROM f WHERE m = 3 AND f >= 10
+), s AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, h.f AS l, r.f AS r, CAST(1000000::HUGEINT * c.a * c.a // (h.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN f h ON c.lang = h.lang AND c.head = h.phrase JOIN f r ON c.lang = r.lang AND c.rest = r.phrase
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM s
+), cover AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, f AS a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM f WHERE m = 3 AND f >= 10
+  ) GROUP BY ALL
+), ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, encode(b.phrase)) AS rank, b.phrase, b.a, b.l, b.r, b.score
+  FROM best b LEFT JOIN cover c ON b.lang = c.lang AND b.phrase = c.phrase
+  WHERE b.place = 1 AND (c.a IS NULL OR 100 * c.a < 50 * b.a)
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON ranked.lang = n.lang WHERE rank <= 2000
+""")
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
