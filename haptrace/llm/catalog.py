@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,18 +58,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str = BPE_FILE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Encode, decode and digest a batch at a time, so that ids and texts need not leave the task."""
+        """Encode, decode and digest a slice at a time, so that ids and texts need not leave the task."""
         vocab = bpe.vocabulary(path)
+        pool = bpe.Pool(vocab)
         decimals = [str(i) for i in range(max(vocab.texts) + 1)]
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+        def digests(ids: np.ndarray) -> tuple[str, str]:
+            told, read = hashlib.sha256(), hashlib.sha256()
+            for at in range(0, len(ids), bpe.SLICE_WORDS):
+                part = ",".join(map(decimals.__getitem__, ids[at:at + bpe.SLICE_WORDS].tolist()))
+                told.update(("," if at else "").encode() + part.encode())
+            for text in bpe.decoded_parts(ids, vocab):
+                read.update(text.encode())
+            return told.hexdigest(), read.hexdigest()
+
         for batch in batches:
             for piece in bpe.bounded(batch, 1):
-                found = bpe.encode_texts(piece.column(1).to_pylist(), vocab)
-                yield pa.RecordBatch.from_arrays([
-                    piece.column(0), pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([sha(",".join(map(decimals.__getitem__, x.tolist()))) for x in found], pa.string()),
-                    pa.array([sha(bpe.decode_ids(x, vocab)) for x in found], pa.string()),
-                ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                found = bpe.encode_texts(piece.column(1).to_pylist(), vocab, pool)
+                told, read = zip(*map(digests, found))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(told, pa.string()), pa.array(read, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

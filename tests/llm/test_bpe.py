@@ -1,6 +1,10 @@
 """Ids and texts against the tokenizers library."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -40,7 +44,8 @@ def test_encode_and_decode_match_the_library(spark, library):
 def test_batches_do_not_change_ids(library, monkeypatch):
     vocab = bpe.vocabulary(PATH)
     texts = [t or "" for t in TEXTS] + _random_texts()
-    monkeypatch.setattr(bpe, "BATCH_CHARS", 300)
+    for name, small in (("SLICE_CHARS", 300), ("SLICE_WORDS", 7), ("MERGE_BYTES", 40), ("POOL_WORDS", 50)):
+        monkeypatch.setattr(bpe, name, small)
     for text, ids in zip(texts, bpe.encode_texts(texts, vocab), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
 
@@ -53,3 +58,39 @@ def test_broken_bytes_and_empty_tables(spark, library):
     assert bpe.decode(bpe.encode(empty, PATH), PATH).collect() == []
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert bpe.decode(nothing, PATH).first()["decoded"] == ""
+
+
+def test_memory_is_bounded(library):
+    """All-different words in short texts, and one text of 50 MB: a worker's peak is its pool, or a few times the ids."""
+    script = """
+import random, resource, sys
+from haptrace.llm import bpe
+vocab = bpe.vocabulary(sys.argv[1])
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+rng = random.Random(5)
+many = lambda n: "".join(f" {rng.getrandbits(64):x}" for _ in range(n))
+texts = [many(200) for _ in range(2500)]
+before = peak()
+pool = bpe.Pool(vocab)
+ids = bpe.encode_texts(texts, vocab, pool)
+short = peak() - before
+assert all(bpe.restores(t, x, vocab) for t, x in zip(texts, ids))
+text = many(100_000) * 30
+before = peak()
+ids = bpe.encode_texts([text], vocab, pool)[0]
+assert bpe.restores(text, ids, vocab)
+print(short, peak() - before, len(text) >> 20, len(ids) * 4 >> 20)
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    found = subprocess.run([sys.executable, "-c", script, PATH], capture_output=True, text=True, cwd=root, check=True, env={**os.environ, "PYTHONPATH": root})
+    short, long, chars, ids = map(int, found.stdout.split())
+    assert short < 250 and chars > 45 and long < 6 * ids
+
+
+def test_a_long_word_is_cut_where_no_token_reaches(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MERGE_BYTES", 64)
+    vocab = bpe.vocabulary(PATH)
+    rng = random.Random(6)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "qzxjkvw", "z"):
+        text = "".join(rng.choice(letters) for _ in range(4000))
+        assert bpe.encode_texts([text], vocab)[0].tolist() == library.encode(text, add_special_tokens=False).ids
