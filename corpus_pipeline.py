@@ -35,10 +35,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and whether these decode to the text."""
-    coded = bpe.decode(bpe.encode(docs, BPE_FILE, ids_col="token_ids"), BPE_FILE, ids_col="token_ids", out_col="__decoded")
-    same = F.col("__decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return coded.select(*[F.col(f"`{c}`") for c in docs.columns if c != "token_ids"], "token_ids",
-                        F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    coded = bpe.encode(docs, BPE_FILE, ids_col="token_ids", restored_col="round_trip")
+    return coded.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("token_ids", "round_trip")], "token_ids",
+                        F.size("token_ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [
