@@ -1,22 +1,25 @@
 """Near copies of vectors by a pivot-permutation index.
 
-A vector is described by its ``order`` nearest reference points, sorted by nearness and kept as a set.
-The inverted lists go by choices of ``shared`` pivots: a vector stands in the list of every
-``shared``-subset of its description, so two vectors meet exactly when they share that many pivots.
-Pairs are counted in the list of their smallest common pivots alone, and verified by the cosine in
+A vector is described by its ``order`` nearest reference points in the order of their nearness. It stands in
+the inverted lists of all its pivots; vectors are to share ``shared`` of them, so the lists are kept by
+``shared``-subsets (three single lists already intersected), and a pair is met in the list of its
+smallest common pivots alone. There the shared pivots are counted by their places: a pivot at places r
+and s counts ``order`` - max(r, s), which is the footrule distance of the two permutations turned
+around. Pairs below ``MIN_AGREEMENT`` are discarded, the others verified by the cosine in
 double precision. Long lists are cut into blocks that meet pairwise in different tasks; a task gives
-back sums and one link per vector, no pairs. Equal vectors are one class with a count.
+back sums and one link per vector, no pairs. Equal vectors of a label are one class with a count and a number of its own.
 
 References are ``pivot_count(rows)`` vectors out of a bounded sample of about ``SAMPLE_PIVOTS`` times as
-many rows, drawn by a hash of the id; one within ``SPACING`` of an earlier one is passed over, so a
+many rows, drawn by a hash of the vector; one within ``SPACING`` of an earlier one is passed over, so a
 crowd of near copies gives one reference and not an unstable order of many. Random directions
 fill up a dimension that has too few. Every row is indexed.
 
 Defined results
 * A null, empty or zero vector, one with a null or non-finite component, and one with a null label link with nothing.
 * Vectors of different lengths never link.
-* Links count rows: equal rows link with each other. A null id takes part under a hash of its
-  vector, and its component's name is null if no id reaches it. The smallest id names a component.
+* Links count rows: equal rows link with each other. Rows that repeat an id are rows of their own, with
+  the links of their own vector and label.
+* The smallest id names a component; its name is null if no id reaches it. A null id is kept only there.
 * An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -39,7 +42,8 @@ SHARED = 3
 MIN_PIVOTS, MAX_PIVOTS = 128, 1024
 SAMPLE_PIVOTS = 4
 SPACING = 0.6
-NO_ID = 1 << 62
+# Least agreement of two permutations, of at most order * (order + 1) / 2.
+MIN_AGREEMENT = 6
 
 
 def pivot_count(rows: int) -> int:
@@ -55,7 +59,7 @@ def usable(vector: Column) -> Column:
 
 def references(classes: DataFrame, count: int, rows: int) -> dict[int, np.ndarray]:
     """Unit reference vectors by dimension, at most ``count`` of each, spaced out."""
-    chance = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("vector", F.lit("pivot")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = classes.filter(chance < min(1.0, SAMPLE_PIVOTS * count / max(1, rows))).select("vector", chance.alias("c")).collect()
     found: dict[int, list[list[float]]] = {}
     for row in sorted(drawn, key=lambda r: (r["c"], r["vector"])):
@@ -84,7 +88,7 @@ def _filled(sampled: dict[int, np.ndarray], size: int, count: int) -> np.ndarray
 
 
 def describe(classes: DataFrame, sampled: dict[int, np.ndarray], count: int, order: int = ORDER) -> DataFrame:
-    """(label, rep, n, size, pivots, vector): the ``order`` nearest pivots, ascending by number."""
+    """(label, cls, n, size, pivots, vector): the ``order`` nearest pivots, the nearest first."""
     kind = classes.schema["label"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,14 +101,22 @@ def describe(classes: DataFrame, sampled: dict[int, np.ndarray], count: int, ord
                 unit = _unit(np.array(part["vector"].tolist(), dtype=np.float64))
                 near = np.argsort(-(unit @ whole[size].T), axis=1, kind="stable")[:, :order]
                 yield pd.DataFrame({
-                    "label": part["label"].to_numpy(), "rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "size": np.int32(size),
-                    "pivots": list(np.sort(near, axis=1).astype(np.int32)), "vector": [v.tobytes() for v in unit]})
+                    "label": part["label"].to_numpy(), "cls": part["cls"].to_numpy(), "n": part["n"].to_numpy(), "size": np.int32(size),
+                    "pivots": list(near.astype(np.int32)), "vector": [v.tobytes() for v in unit]})
 
-    schema = f"label {kind}, rep bigint, n bigint, size int, pivots array<int>, vector binary"
-    return classes.select("label", "rep", "n", "vector").mapInPandas(run, schema)
+    schema = f"label {kind}, cls bigint, n bigint, size int, pivots array<int>, vector binary"
+    return classes.select("label", "cls", "n", "vector").mapInPandas(run, schema)
 
 
-def _count_links(min_cosine: float, count: int):
+def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum over the pivots that two descriptions share of order - max(place, place), row by row."""
+    order = left.shape[1]
+    places = np.arange(order)
+    weight = order - np.maximum(places[:, None], places[None, :])
+    return ((left[:, :, None] == right[:, None, :]) * weight).sum(axis=(1, 2))
+
+
+def _count_links(min_cosine: float, count: int, least: int = MIN_AGREEMENT):
     keys = ["label", "size", "code", "lo", "hi"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +125,7 @@ def _count_links(min_cosine: float, count: int):
             last = frame["code"].to_numpy() % count
             # Pivots below the largest of the list's choice; those a pair shares must be the choice's own.
             low = np.where(pivots < last[:, None], pivots, -1)
-            n, reps = frame["n"].to_numpy(), frame["rep"].to_numpy()
+            n, names = frame["n"].to_numpy(), frame["cls"].to_numpy()
             sizes = frame["size"].to_numpy()
             links = np.zeros(len(frame), dtype=np.int64)
             left, right = [], []
@@ -125,6 +137,8 @@ def _count_links(min_cosine: float, count: int):
                 both = ((low[i][:, :, None] == low[j][:, None, :]) & (low[i][:, :, None] >= 0)).sum(axis=(1, 2))
                 own = both == SHARED - 1
                 i, j = i[own], j[own]
+                alike = agreement(pivots[i], pivots[j]) >= least
+                i, j = i[alike], j[alike]
                 for s in np.unique(sizes[i]):
                     same = sizes[i] == s
                     a, b = i[same], j[same]
@@ -135,43 +149,46 @@ def _count_links(min_cosine: float, count: int):
                     left.append(a)
                     right.append(b)
             if left:
-                reached = merged(len(reps), np.concatenate(left), np.concatenate(right), reps)
+                reached = merged(len(names), np.concatenate(left), np.concatenate(right), names)
                 hit = links > 0
-                out = pd.DataFrame({"rep": reps[hit], "n_links": links[hit], "to": reached[hit]})
-                yield out.groupby(["rep", "to"], as_index=False)["n_links"].sum()[["rep", "n_links", "to"]]
+                out = pd.DataFrame({"cls": names[hit], "n_links": links[hit], "to": reached[hit]})
+                yield out.groupby(["cls", "to"], as_index=False)["n_links"].sum()[["cls", "n_links", "to"]]
 
     return run
 
 
 def class_links(described: DataFrame, count: int, min_cosine: float = MIN_COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(rep, n_links, to): partial sums of linked rows, and the smallest class reached in a block."""
+    """(cls, n_links, to): partial sums of linked rows, and the smallest class reached in a block."""
     choices = list(combinations(range(ORDER), SHARED))
-    code = [sum((F.col("pivots")[p].cast("long") * count ** (SHARED - 1 - k) for k, p in enumerate(c)), F.lit(0).cast("long")) for c in choices]
-    listed = described.select("label", "size", "rep", F.explode(F.array(*code)).alias("code"))
-    cells = paired_blocks(listed, ["label", "size", "code"], "rep", block_rows)
-    rows = cells.join(described.select("rep", "n", "pivots", "vector"), "rep")
+    ascending = F.array_sort("pivots")
+    code = [sum((ascending[p].cast("long") * count ** (SHARED - 1 - k) for k, p in enumerate(c)), F.lit(0).cast("long")) for c in choices]
+    listed = described.select("label", "size", "cls", F.explode(F.array(*code)).alias("code"))
+    cells = paired_blocks(listed, ["label", "size", "code"], "cls", block_rows)
+    rows = cells.join(described.select("cls", "n", "pivots", "vector"), "cls")
     keys = ["label", "size", "code", "lo", "hi"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(_count_links(min_cosine, count), "rep bigint, n_links bigint, to bigint")
+    return dealt.mapInPandas(_count_links(min_cosine, count), "cls bigint, n_links bigint, to bigint")
 
 
 def near_copies(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                min_cosine: float = MIN_COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                min_cosine: float = MIN_COSINE, block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     rows = rows.withColumn("ok", usable(F.col("vector")) & F.col("label").isNotNull())
-    meant = rows.filter("ok").select(F.coalesce("id", F.lit(NO_ID) + F.pmod(F.xxhash64("vector"), F.lit(NO_ID >> 1))).alias("key"), "label", "vector")
-    classes = cut_lineage(meant.groupBy("label", "vector").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")))
+    meant = rows.filter("ok").select("id", "label", "vector")
+    classes = meant.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # The number is fixed by the checkpoint, and no other class has it.
+    classes = cut_lineage(classes.withColumn("cls", F.monotonically_increasing_id()))
     n = classes.count()
-    count = pivot_count(n)
+    count = pivots or pivot_count(n)
     described = cut_lineage(describe(classes, references(classes, count, n), count))
     found = cut_lineage(class_links(described, count, min_cosine, block_rows))
-    sums = found.groupBy("rep").agg(F.sum("n_links").alias("links"))
-    joined = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "rep")
-    known = classes.join(sums, "rep", "left").join(joined, "rep", "left").select(
-        "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    linked = meant.join(known, ["label", "vector"]).select("key", "n_links", "component")
-    named = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    linked = linked.select(named("key").alias(id_col), "n_links", named("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    sums = found.groupBy("cls").agg(F.sum("n_links").alias("links"))
+    joined = components(found.select(F.col("cls").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "cls")
+    told = classes.join(sums, "cls", "left").join(joined, "cls", "left").select(
+        "label", "vector", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"))
+    named = told.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = meant.join(told.join(named, "component").select("label", "vector", "n_links", "component_id"), ["label", "vector"])
+    linked = linked.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     alone = rows.filter(~F.col("ok")).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.union(alone)
