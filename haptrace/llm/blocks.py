@@ -48,8 +48,11 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd
         yield pd.concat(held, ignore_index=True)
 
 
-def run_pairs(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of rows to be compared, by growing distance inside the runs of equal ``keys``."""
+def run_pairs(frame: pd.DataFrame, keys: list[str], near: np.ndarray | None = None, reach: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of rows to be compared, by growing distance inside the runs of equal ``keys``.
+
+    If the runs are sorted by ``near``, only pairs within ``reach`` of each other there are met.
+    """
     n = len(frame)
     new = np.ones(n + 1, dtype=bool)
     values = [frame[k].to_numpy() for k in keys]
@@ -61,6 +64,8 @@ def run_pairs(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray
     step = 1
     while True:
         left = left[left + step < ends[left]]
+        if near is not None:
+            left = left[near[left + step] - near[left] <= reach]
         if not len(left):
             return
         right = left + step

@@ -4,12 +4,13 @@ Fingerprint: words of ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z, shingles of t
 space (repeats count), XXH64 with seed 42 of each; a bit is 1 if it is set in over half the hashes.
 
 Two fingerprints link when they differ in at most ``max_bits`` bits. Equal fingerprints are one
-class, so copies are never paired. Classes meet in buckets of equal bits: the 64 bits are cut into
-2 * max_bits blocks, and classes within max_bits agree in at least half of the blocks whole, so
-some choice of max_bits blocks puts them into one bucket (no link is lost). Inside a bucket the pivot
-table decides: the Hamming distances of every class to the reference fingerprints are computed
-once; by the triangle inequality a pair whose distances to any reference differ by more than
-max_bits cannot link and is discarded, and the survivors are verified on the fingerprints.
+class, so copies are never paired. Next to its fingerprint a class has its row of the pivot table: the
+Hamming distances to the reference fingerprints, computed once and carried along. By the
+triangle inequality two classes that differ by more than max_bits in any coordinate cannot link.
+Classes meet in buckets of equal bits: the 64 bits are cut into 2 * max_bits blocks, and classes
+within max_bits agree in at least half of the blocks whole, so some choice of max_bits blocks puts them
+into one bucket (no link is lost). A bucket is sorted by the first coordinate, and a class meets only those within max_bits
+of it there; the other coordinates discard further pairs, and the survivors are verified on the fingerprints.
 A large bucket is cut into blocks of rows that meet pairwise in different tasks. A task returns
 one link per class to the smallest class it reaches, not its pairs.
 
@@ -19,7 +20,8 @@ Defined results
 * Repeated rows and equal fingerprints are one class; the smallest id names a component. Rows with
   a null id take part under a hash of their text; a component of such rows alone has a null name.
 * An empty table gives an empty result; further columns are ignored by ``near_copies`` and kept by ``keep_one``.
-* Ids are whole numbers below 2^62. Rows that repeat an id stay or go together in ``keep_one``.
+* Ids are whole numbers below 2^62. ``keep_one`` keeps one row of a component: of the smallest id, then of the
+  smallest hash of the text, then of the smallest hash of the whole row; rows that agree in all columns are one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from haptrace.llm.blocks import BLOCK_ROWS, merged, paired_blocks, run_pairs, whole_groups
 from haptrace.llm.components import components
@@ -80,15 +82,18 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
-        found = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+        found = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a signed long; a null id is replaced as ``row_key`` says."""
-    picked = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(_fingerprint_batches, "id bigint, fp bigint")
+    """(id, mark, fp): the fingerprint as a signed long, with a hash of the text; a null id is replaced as ``row_key`` says."""
+    picked = docs.select(row_key(id_col, text_col).alias("id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(_fingerprint_batches, "id bigint, mark bigint, fp bigint")
+
+
+def text_mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -121,64 +126,90 @@ def reference_fingerprints(count: int = REFERENCES) -> np.ndarray:
 
 
 def distance_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Rows: references, columns: fingerprints; Hamming distances."""
-    return np.bitwise_count(references[:, None] ^ fps[None, :]).astype(np.int8)
+    """Rows: fingerprints, columns: references; Hamming distances."""
+    return np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.uint8)
+
+
+def with_distances(classes: DataFrame, references: np.ndarray) -> DataFrame:
+    """Adds the row of the pivot table (``table``, a byte a reference) and its first coordinate (``first``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = distance_table(np.array(batch.column("fp")).view(np.uint64), references)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in found], pa.binary()), pa.array(found[:, 0].astype(np.int32))],
+                                             names=[*batch.schema.names, "table", "first"])
+
+    return classes.select("fp", "rep", "least").mapInArrow(run, "fp bigint, rep bigint, least bigint, table binary, first int")
+
+
+def surviving_pairs(frame: pd.DataFrame, keys: list[str], max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket that no coordinate of the pivot table discards; the bucket is sorted by ``first``."""
+    table = np.frombuffer(b"".join(frame["table"]), dtype=np.uint8).reshape(len(frame), -1).T.astype(np.int8)
+    for i, j in run_pairs(frame, keys, frame["first"].to_numpy(), max_bits):
+        for coordinates in table[1:]:
+            near = np.abs(coordinates[i] - coordinates[j]) <= max_bits
+            i, j = i[near], j[near]
+            if not len(i):
+                break
+        if len(i):
+            yield i, j
+
 
+def _links(max_bits: int):
+    keys = ["key", "lo", "hi"]
 
-def _links(max_bits: int, references: np.ndarray):
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = ["key", "lo", "hi"]
         for frame in whole_groups(frames, keys):
-            fps = frame["fp"].to_numpy().view(np.uint64)
-            ids = frame["rep"].to_numpy()
-            table = distance_table(fps, references)
+            names, fps = frame["rep"].to_numpy(), frame["fp"].to_numpy().view(np.uint64)
             left, right = [], []
-            for i, j in run_pairs(frame, keys):
-                for coordinates in table:
-                    near = np.abs(coordinates[i] - coordinates[j]) <= max_bits
-                    i, j = i[near], j[near]
-                    if not len(i):
-                        break
+            for i, j in surviving_pairs(frame, keys, max_bits):
                 same = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
                 left.append(i[same])
                 right.append(j[same])
             if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                low = merged(len(ids), a, b, ids)
-                hung = low != ids
-                yield pd.DataFrame({"a": ids[hung], "b": low[hung]}).drop_duplicates()
+                low = merged(len(names), np.concatenate(left), np.concatenate(right), names)
+                hung = low != names
+                yield pd.DataFrame({"a": names[hung], "b": low[hung]}).drop_duplicates()
 
     return link
 
 
-def class_links(classes: DataFrame, max_bits: int = MAX_BITS, references: int = REFERENCES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) links that join all classes (fp, rep) within max_bits."""
-    spread = classes.select("fp", "rep", F.explode(bucket_keys(F.col("fp"), max_bits)).alias("key"))
+def class_links(classes: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b) links that join all classes (fp, rep) within max_bits, by their names ``rep``."""
+    if "table" not in classes.columns:
+        classes = with_distances(classes.withColumn("least", F.col("rep")), reference_fingerprints())
+    spread = classes.select("fp", "rep", "table", "first", F.explode(bucket_keys(F.col("fp"), max_bits)).alias("key"))
     cells = paired_blocks(spread, ["key"], "fp", block_rows)
-    dealt = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInPandas(_links(max_bits, reference_fingerprints(references)), "a bigint, b bigint")
+    dealt = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "first")
+    return dealt.mapInPandas(_links(max_bits), "a bigint, b bigint")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, max_bits: int, block_rows: int) -> DataFrame:
-    """(id, fp, component) with row keys for ids."""
+def _components(docs: DataFrame, id_col: str, text_col: str, max_bits: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, fp) of every row, with row keys for ids, and (fp, least, component) of every class; a class is named by its fingerprint, as ids may repeat."""
     marked = cut_lineage(fingerprints(docs, id_col, text_col))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    joined = components(class_links(classes, max_bits, block_rows=block_rows))
-    found = classes.join(joined, classes["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return marked.join(found, "fp")
+    classes = cut_lineage(with_distances(marked.groupBy("fp").agg(F.min("id").alias("least")).withColumn("rep", F.col("fp")), reference_fingerprints()))
+    joined = components(class_links(classes, max_bits, block_rows))
+    return marked, classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id."""
     named = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return _components(docs, id_col, text_col, max_bits, block_rows).select(
-        named("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named("component").alias("component_id"))
+    marked, classes = _components(docs, id_col, text_col, max_bits, block_rows)
+    names = classes.groupBy("component").agg(F.min("least").alias("name"))
+    return marked.join(classes.join(names, "component").select("fp", "name"), "fp").select(
+        named("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named("name").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that hold the smallest id of their group."""
-    groups = _components(docs, id_col, text_col, max_bits, BLOCK_ROWS)
-    heads = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    return keyed.join(heads, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of ``docs`` for each component."""
+    marked, classes = _components(docs, id_col, text_col, max_bits, BLOCK_ROWS)
+    per_class = marked.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("head"))
+    heads = per_class.join(classes, "fp").groupBy("component").agg(F.min("head").alias("head")).select(
+        F.col("head.id").alias("__key"), F.col("head.mark").alias("__mark"))
+    keyed = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__mark", text_mark(text_col))
+    kept = keyed.join(heads, ["__key", "__mark"], "left_semi")
+    plain = [F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]
+    rows = W.partitionBy("__key", "__mark").orderBy(F.xxhash64(*plain))
+    return kept.withColumn("__place", F.row_number().over(rows)).filter("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -165,3 +167,32 @@ def test_line_breaks_do_not_hide_near_copies(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "\n".join(words)), (3, "\r\n\t".join(words))], "doc_id long, text string")
     assert {r["component_id"] for r in simhash.near_copies(docs).collect()} == {1}
     assert [r["doc_id"] for r in simhash.keep_one(docs).collect()] == [1]
+
+
+def test_one_row_stays_of_each_component(spark):
+    """Ids that repeat with near or far texts, null ids, and rows that agree in all columns."""
+    base = [f"w{n}" for n in range(400)]
+    near = " ".join([*base[:-1], "other"])
+    far = " ".join(f"v{n}" for n in range(60))
+    assert (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(near)).bit_count() <= 3
+    rows = [(1, " ".join(base), "a"), (1, near, "b"), (1, near, "b"), (None, far, "c"), (None, far, "c"), (None, far, "d"), (1, "quite another text", "e"), (2, near, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert len(kept) == 3 and len(set(kept)) == 3 and {r[1] for r in kept if r[0] is None} == {far}
+    assert (1, "quite another text", "e") in kept
+    found = simhash.near_copies(docs).collect()
+    assert len(found) == len(rows) and {r["component_id"] for r in found} == {1, None}
+
+
+def test_the_pivot_table_discards_pairs():
+    """In one bucket of unrelated fingerprints nearly all pairs go before the fingerprints are compared, and no link does."""
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 1 << 63, size=600, dtype=np.uint64)
+    fps[300:] = fps[:300] ^ np.uint64(5)
+    table = simhash.distance_table(fps, simhash.reference_fingerprints())
+    order = np.argsort(table[:, 0], kind="stable")
+    frame = pd.DataFrame({"key": 1, "lo": 0, "hi": 0, "side": 0, "fp": fps[order].view(np.int64), "first": table[order, 0].astype(np.int32),
+                          "table": [r.tobytes() for r in table[order]]})
+    met = [(i, j) for a, b in simhash.surviving_pairs(frame, ["key", "lo", "hi"], 3) for i, j in zip(a.tolist(), b.tolist())]
+    linked = {(i, j) for i, j in met if int(fps[order][i] ^ fps[order][j]).bit_count() <= 3}
+    assert len(linked) == 300 and len(met) < 0.01 * 600 * 599 / 2
