@@ -34,8 +34,8 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
 # A chunk ends with the slice that reaches one of these.
-CHUNK_TOKENS = 3_000_000
-CHUNK_WORDS = 400_000
+CHUNK_TOKENS = 2_000_000
+CHUNK_WORDS = 300_000
 SLICE_BYTES = 1 << 20
 TILE = 512
 FILTER_BITS = 1 << 26
