@@ -97,6 +97,24 @@ def _large_percentiles(df, keys, columns, wanted, limit):
     return ranked.groupBy(*keys).agg(*aggs)
 
 
+def in_value_buckets(counted: DataFrame, keys: list[str], value: str, limit: int) -> DataFrame:
+    """Adds ``_bucket``, the place of a value among the cuts of its group, and ``_split``, whether the group has more than ``limit`` rows and so cuts."""
+    # The sample depends on the values alone, so a recomputed task draws the same one.
+    cuts = (
+        counted.join(_large(counted, keys, limit), keys)
+        .filter(F.pmod(F.xxhash64(value), F.lit(1 << 20)) < F.greatest(F.lit(1), F.lit(4096 << 20) / F.col("_n")))
+        .groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_cuts"))
+    )
+    # Binary search of the value among the sorted cuts, kept as one expression.
+    steps = F.array(*[F.lit(1 << i) for i in range(13, -1, -1)])
+    bucket = F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col(value), at + step).otherwise(at),
+    )
+    placed = counted.join(cuts, keys, "left").withColumn("_bucket", bucket)
+    return placed.withColumn("_split", F.col("_cuts").isNotNull()).drop("_cuts")
+
+
 def ranked_values(
     df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None, limit: int | None = None,
     split: bool | None = None,
@@ -121,20 +139,7 @@ def ranked_values(
         out = counted.withColumns({
             ("before" if t == "cnt" else f"{t}_before"): F.coalesce(F.sum(t).over(window), F.lit(0)) for t in tallies})
         return out if given else out.drop("_all")
-    # The sample depends on the values alone, so a recomputed task draws the same one.
-    cuts = (
-        counted.join(_large(counted, keys, limit), keys)
-        .filter(F.pmod(F.xxhash64(value), F.lit(1 << 20)) < F.greatest(F.lit(1), F.lit(4096 << 20) / F.col("_n")))
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_cuts"))
-    )
-    # Binary search of the value among the sorted cuts, kept as one expression.
-    steps = F.array(*[F.lit(1 << i) for i in range(13, -1, -1)])
-    bucket = F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col(value), at + step).otherwise(at),
-    )
-    placed = counted.join(cuts, keys, "left").withColumn("_bucket", bucket)
-    placed = placed.withColumn("_split", F.col("_cuts").isNotNull()).drop("_cuts")
+    placed = in_value_buckets(counted, keys, value, limit)
     upto = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     totals = (

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from haptrace.functions import special as P
+from haptrace.operators.pairs import pair_statistics
 from haptrace.operators.quantiles import average_ranks, percentiles, ranked_values
 
 
@@ -68,31 +69,11 @@ def precision(df: DataFrame, stratum: list[str], sensor: str, value: str) -> Dat
         F.when((F.col("n_sensors") >= 2) & (F.col("_k") >= 2), F.col("_ratio")).alias("effect_size"))
 
 
-def _pair_rows(df: DataFrame, stratum: list[str], sensor: str, value: str) -> tuple[DataFrame, DataFrame]:
-    """Value counts of each sensor, sent to each pair the sensor is part of, and the pairs.
-
-    Values are counted before they are sent, and a row meets the sensors, never other rows.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*stratum, sensor, value).agg(F.count("*").alias("_w"))
-    sizes = counts.groupBy(*stratum, sensor).agg(F.sum("_w").alias("n"))
-    a = sizes.select(*stratum, F.col(sensor).alias("a"), F.col("n").alias("na"))
-    b = sizes.select(*stratum, F.col(sensor).alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, stratum).filter("a < b")
-    sides = pairs.select(*stratum, "a", "b", F.explode(F.array("a", "b")).alias(sensor))
-    return counts.join(sides, [*stratum, sensor]), pairs
-
-
 def ks_pairs(df: DataFrame, stratum: list[str], sensor: str, value: str) -> DataFrame:
     """Largest gap between the distribution functions of every pair of sensors."""
-    rows, pairs = _pair_rows(df, stratum, sensor, value)
-    by = [*stratum, "a", "b"]
-    ranks = ranked_values(rows, by, value, {
-        "_ca": F.when(F.col(sensor) == F.col("a"), F.col("_w")).otherwise(0),
-        "_cb": F.when(F.col(sensor) == F.col("b"), F.col("_w")).otherwise(0)})
-    gap = F.abs((F.col("_ca_before") + F.col("_ca")) / F.col("na") - (F.col("_cb_before") + F.col("_cb")) / F.col("nb"))
-    best = ranks.join(pairs, by).groupBy(*by, "na", "nb").agg(F.max(gap).alias("ks_statistic"))
+    best = pair_statistics(df, stratum, sensor, value).select(*stratum, "a", "b", "na", "nb", F.col("gap").alias("ks_statistic"))
     # One row per pair of sensors, but the exact law takes a while for each: spread over the cores.
-    best = best.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
+    best = best.repartition(df.sparkSession.sparkContext.defaultParallelism, *stratum, "a", "b")
     return best.withColumn("p_value", P.p_value(P.ks_p, "ks_statistic", "na", "nb"))
 
 
@@ -163,15 +144,9 @@ def kruskal(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame
 def mann_whitney_pairs(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """U of the first group and p-value for every pair of groups of two rows or more of every key."""
     df = _sized_groups(df, keys, group, value)
-    rows, pairs = _pair_rows(df, keys, group, value)
-    by = [*keys, "a", "b"]
-    ranks = ranked_values(rows, by, value, {
-        "_ca": F.when(F.col(group) == F.col("a"), F.col("_w")).otherwise(0), "_c": F.col("_w")})
-    rank = F.col("_c_before") + (F.col("_c") + 1) / 2
-    sums = ranks.groupBy(*by).agg(F.sum(F.col("_ca") * rank).alias("_ra"), F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("_ties"))
-    out = sums.join(pairs, by).withColumn("u", F.col("_ra") - F.col("na") * (F.col("na") + 1) / 2)
-    out = out.withColumn("p_value", P.p_value(P.mann_whitney_p, "u", "na", "nb", "_ties"))
-    return out.select(*by, "na", "nb", "u", "p_value", significance("p_value").alias("stars"))
+    out = pair_statistics(df, keys, group, value).withColumn("u", F.col("rank_sum") - F.col("na") * (F.col("na") + 1) / 2)
+    out = out.withColumn("p_value", P.p_value(P.mann_whitney_p, "u", "na", "nb", "ties"))
+    return out.select(*keys, "a", "b", "na", "nb", "u", "p_value", significance("p_value").alias("stars"))
 
 
 def significance(p) -> Column:
