@@ -363,14 +363,31 @@ def boundaries(raster: DataFrame, keys: list[str], rows: int, cols: int, method:
 # --- profiles and comparisons ----------------------------------------------------------
 
 
-def crossings(contours: DataFrame, lines: DataFrame, keys: list[str], along: str = "u") -> DataFrame:
-    """Sorted intercepts of closed contours with scan lines of constant v (or u)."""
+def _below(sorted_values: Column, value: Column) -> Column:
+    """How many entries of a sorted array lie below ``value``, by halving; arrays of up to 2^20 entries."""
+    steps = F.array(*[F.lit(1 << i) for i in range(20, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(sorted_values, at + step - 1) < value, at + step).otherwise(at))
+
+
+def line_crossings(contours: DataFrame, lines: DataFrame, keys: list[str], along: str = "u") -> DataFrame:
+    """(keys, line, at): where each edge of the contours meets the scan lines that it spans.
+
+    The lines of a key are those of a raster, as many as its resolution has; an edge looks up
+    its first and last one and is exploded onto those between, the upper end left out.
+    """
     other = "v" if along == "u" else "u"
-    e = contour_edges(contours, keys).withColumns({"_lo": F.least(f"{other}1", f"{other}2"), "_hi": F.greatest(f"{other}1", f"{other}2")})
-    # A raster has as many lines as columns and an edge spans few of them.
-    hit = lines.join(e, keys).filter((F.col("line") >= F.col("_lo")) & (F.col("line") < F.col("_hi")))
+    held = lines.groupBy(*keys).agg(F.array_sort(F.collect_set("line")).alias("_lines"))
+    lo, hi = F.least(f"{other}1", f"{other}2"), F.greatest(f"{other}1", f"{other}2")
+    e = contour_edges(contours, keys).join(held, keys)
+    e = e.withColumns({"_from": _below(F.col("_lines"), lo), "_to": _below(F.col("_lines"), hi)}).filter("_to > _from")
+    e = e.withColumn("line", F.explode(F.slice("_lines", F.col("_from") + 1, F.col("_to") - F.col("_from"))))
     at = F.col(f"{along}1") + (F.col("line") - F.col(f"{other}1")) * (F.col(f"{along}2") - F.col(f"{along}1")) / (F.col(f"{other}2") - F.col(f"{other}1"))
-    return hit.groupBy(*keys, "line").agg(F.array_sort(F.collect_list(at)).alias("crossings"))
+    return e.select(*keys, "line", at.alias("at"))
+
+
+def crossings(contours: DataFrame, lines: DataFrame, keys: list[str], along: str = "u") -> DataFrame:
+    """Sorted intercepts of closed contours with scan lines of constant v (or u)."""
+    return line_crossings(contours, lines, keys, along).groupBy(*keys, "line").agg(F.array_sort(F.collect_list("at")).alias("crossings"))
 
 
 def profiles(raster: DataFrame, contours: DataFrame, keys: list[str]) -> DataFrame:
@@ -391,12 +408,18 @@ def nearest_line(raster: DataFrame, keys: list[str], axis: str, center: str) ->
 
 
 def inside_polygon(cells: DataFrame, contours: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells inside the contour of their key, by counting edge crossings of a ray."""
-    e = contour_edges(contours, keys)
-    straddle = (F.col("v1") > F.col("v")) != (F.col("v2") > F.col("v"))
-    right = F.col("u") < F.col("u1") + (F.col("v") - F.col("v1")) * (F.col("u2") - F.col("u1")) / (F.col("v2") - F.col("v1"))
-    hits = cells.join(e, keys).filter(straddle).groupBy(*cells.columns).agg(F.count_if(right).alias("_n"))
-    return hits.filter("_n % 2 = 1").drop("_n")
+    """Cells inside the contour of their key, by scan-line parity.
+
+    Cells and crossings of a line are put in one order; a cell is inside if the running count of
+    the crossings to its right is odd. Cells meet crossings of their own line alone, never edges.
+    """
+    at = line_crossings(contours, cells.select(*keys, F.col("v").alias("line")), keys)
+    marks = at.select(*keys, F.col("line").alias("v"), F.col("at").alias("u"), F.lit(1).alias("_crossing"))
+    both = cells.withColumn("_crossing", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    # A crossing at the cell itself doesn't lie to its right, so cells come first among equals.
+    right = W.partitionBy(*keys, "v").orderBy(F.desc("u"), "_crossing").rowsBetween(W.unboundedPreceding, 0)
+    counted = both.withColumn("_n", F.sum("_crossing").over(right))
+    return counted.filter("_crossing = 0 AND _n % 2 = 1").select(*cells.columns)
 
 
 def mask_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
