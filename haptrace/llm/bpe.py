@@ -40,14 +40,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 # Characters of text that are split and encoded together, also inside a longer text.
-SLICE_CHARS = 500_000
+SLICE_CHARS = 2_000_000
 # Words of a longer text that are split at once.
-SLICE_WORDS = 100_000
+SLICE_WORDS = 400_000
 # Bytes of different words that are merged together, if no single word is longer.
-MERGE_BYTES = 500_000
+MERGE_BYTES = 1_000_000
 # Words whose ids are kept for the next slices.
-POOL_WORDS = 150_000
-POOL_CHARS = 4_000_000
+POOL_WORDS = 250_000
+POOL_CHARS = 6_000_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -381,7 +381,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "de
     return coded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def bounded(batch: pa.RecordBatch, text_at: int, chars: int = 2 * SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, text_at: int, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``chars`` bytes at most, if no single text is longer."""
     sizes = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_at)), 0)))
     start = 0
