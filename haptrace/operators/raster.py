@@ -8,6 +8,7 @@ Only the tracing of a contour sees a raster as a whole, which its resolution bou
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,32 +80,59 @@ def complete(df: DataFrame, keys: list[str], rows: int, cols: int) -> DataFrame:
     return lattice.join(df.select(*keys, "r", "c", "z"), [*keys, "r", "c"], "left")
 
 
-def _kernel_table(spark, n: int, sigma: float) -> DataFrame:
-    """Weight with which position ``src`` enters position ``dst`` under reflected edges."""
+def _kernel_matrix(n: int, sigma: float) -> np.ndarray:
+    """Weight with which position ``i`` enters position ``j`` under reflected edges."""
     kernel = gaussian_kernel(sigma)
     radius = len(kernel) // 2
-    weights: dict[tuple[int, int], float] = {}
-    for dst in range(n):
+    out = np.zeros((n, n))
+    for j in range(n):
         for k, w in enumerate(kernel):
-            p = (dst + k - radius) % (2 * n)
-            src = 2 * n - 1 - p if p >= n else p
-            weights[src, dst] = weights.get((src, dst), 0.0) + w
-    return spark.createDataFrame([(s, d, w) for (s, d), w in weights.items()], "src int, dst int, w double")
+            p = (j + k - radius) % (2 * n)
+            out[2 * n - 1 - p if p >= n else p, j] += w
+    return out
 
 
 def smooth(df: DataFrame, keys: list[str], rows: int, cols: int, sigma: float = 4.0) -> DataFrame:
-    """Gaussian mean of the known cells around every cell (two one-dimensional passes)."""
-    spark = df.sparkSession
-    # The kernel tables hold resolution x kernel width numbers, whatever the data size.
-    down = F.broadcast(_kernel_table(spark, rows, sigma))
-    across = F.broadcast(_kernel_table(spark, cols, sigma))
-    known = df.filter(F.col("z").isNotNull()).select(*keys, "r", "c", "z")
-    one = known.join(down, F.col("r") == F.col("src")).groupBy(*keys, F.col("dst").alias("r"), "c").agg(
-        F.sum(F.col("z") * F.col("w")).alias("_s"), F.sum("w").alias("_k"))
-    two = one.join(across, F.col("c") == F.col("src")).groupBy(*keys, "r", F.col("dst").alias("c")).agg(
-        F.sum(F.col("_s") * F.col("w")).alias("_s"), F.sum(F.col("_k") * F.col("w")).alias("_k"))
-    out = complete(df, keys, rows, cols).join(two, [*keys, "r", "c"], "left")
-    return out.withColumn("smooth", F.when(F.col("_k") > 0, F.col("_s") / F.col("_k"))).drop("_s", "_k")
+    """All cells with the Gaussian mean of the known ones around.
+
+    The two one-dimensional passes are products with the kernel's band matrices, one raster at a time, which its
+    resolution bounds; a known cell is shuffled once, whatever the kernel's width.
+    """
+    down, across = _kernel_matrix(rows, sigma), _kernel_matrix(cols, sigma)
+    r, c = (x.ravel().astype(np.int32) for x in np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij"))
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        z = np.full((rows, cols), np.nan)
+        known = g[g["z"].notna()]
+        z[known["r"].to_numpy(), known["c"].to_numpy()] = known["z"].to_numpy()
+        held = ~np.isnan(z)
+        weight = down.T @ held @ across
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.where(weight > 0, down.T @ np.where(held, z, 0.0) @ across / weight, np.nan)
+        out = pd.DataFrame({k: [g[k].iloc[0]] * len(r) for k in keys})
+        out["r"], out["c"] = r, c
+        for name, cells in (("z", z), ("smooth", mean)):
+            out[name] = pd.array(cells.ravel(), dtype="Float64")
+            out.loc[np.isnan(cells.ravel()), name] = pd.NA
+        return out
+
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    cells = df.select(*keys, "r", "c", F.col("z").cast("double").alias("z"))
+    return cells.groupBy(*keys).applyInPandas(whole, f"{kinds}r int, c int, z double, smooth double")
+
+
+def _stencil(df: DataFrame, keys: list[str], values: dict[str, Column], made) -> DataFrame:
+    """Adds the columns that ``made(line, above, below, i)`` gives for each cell of a whole raster, a line at a time.
+
+    ``values`` are columns that the stencil reads beside those of ``df``; lines know their neighbours by one window over lines.
+    """
+    kept = [c for c in df.columns if c not in (*keys, "r", "c")]
+    entry = F.struct("c", *kept, *[v.alias(n) for n, v in values.items()])
+    lines = df.groupBy(*keys, "r").agg(F.array_sort(F.collect_list(entry)).alias("_l"))  # a line has as many cells as the raster is wide
+    order = W.partitionBy(*keys).orderBy("r")
+    lines = lines.withColumns({"_up": F.lag("_l").over(order), "_down": F.lead("_l").over(order)})
+    cells = F.transform("_l", lambda x, i: F.struct(x["c"].alias("c"), *[x[k].alias(k) for k in kept], *made(F.col("_l"), F.col("_up"), F.col("_down"), i)))
+    return lines.select(*keys, "r", F.inline(cells))
 
 
 def _beside(keys: list[str], column: Column, axis: str, step: int) -> Column:
@@ -113,21 +141,28 @@ def _beside(keys: list[str], column: Column, axis: str, step: int) -> Column:
 
 
 def laplacian(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Five-point Laplacian of ``smooth`` at the known cells, edges repeated."""
-    s = F.col("smooth")
-    around = [F.coalesce(_beside(keys, s, a, d), s) for a in ("r", "c") for d in (-1, 1)]
-    return df.withColumn("laplacian", F.when(F.col("z").isNotNull(), sum(around[1:], around[0]) - s * 4))
+    """Five-point Laplacian of ``smooth`` at the known cells of a whole raster, edges repeated."""
+    def made(line, up, down, i):
+        s = F.get(line, i)["smooth"]
+        around = [F.coalesce(F.get(a, n)["smooth"], s) for a, n in ((up, i), (down, i), (line, i - 1), (line, i + 1))]
+        return [F.when(F.get(line, i)["z"].isNotNull(), sum(around[1:], around[0]) - s * 4).alias("laplacian")]
+
+    return _stencil(df, keys, {}, made)
 
 
 def gradient(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Gradient magnitude of ``smooth`` with unknown cells taken as 0; one-sided at the edges."""
-    df = df.withColumn("_s", F.when(F.col("z").isNotNull(), F.col("smooth")).otherwise(0.0))
-    s = F.col("_s")
-    def slope(axis):
-        lo, hi = _beside(keys, s, axis, -1), _beside(keys, s, axis, 1)
-        return F.when(lo.isNull(), hi - s).when(hi.isNull(), s - lo).otherwise((hi - lo) / 2)
-    df = df.withColumns({"_gr": slope("r"), "_gc": slope("c")})
-    return df.withColumn("gradient", F.when(F.col("z").isNotNull(), C.norm("_gr", "_gc"))).drop("_s", "_gr", "_gc")
+    """Gradient magnitude of ``smooth`` over a whole raster with unknown cells taken as 0; one-sided at the edges."""
+    def made(line, up, down, i):
+        s = F.get(line, i)["_s"]
+
+        def slope(before, after):
+            lo, hi = before["_s"], after["_s"]
+            return F.when(lo.isNull(), hi - s).when(hi.isNull(), s - lo).otherwise((hi - lo) / 2)
+
+        parts = [slope(F.get(up, i), F.get(down, i)), slope(F.get(line, i - 1), F.get(line, i + 1))]
+        return [F.when(F.get(line, i)["z"].isNotNull(), F.sqrt(parts[0] * parts[0] + parts[1] * parts[1])).alias("gradient")]
+
+    return _stencil(df, keys, {"_s": F.when(F.col("z").isNotNull(), F.col("smooth")).otherwise(0.0)}, made)
 
 
 def peaks(df: DataFrame, keys: list[str], value: str = "z") -> DataFrame:
@@ -198,24 +233,30 @@ def inflection_contours(df: DataFrame, keys: list[str], rows: int, cols: int, si
     no row.  Each group is one raster of rows x cols cells.
     """
     lap = laplacian(smooth(df, keys, rows, cols, sigma), keys)
-    spread = lap.groupBy(*keys).agg((F.max("laplacian") - F.min("laplacian")).alias("_ptp")).filter("_ptp >= 1e-12")
-    fit = lap.join(inner_peaks(df, keys, rows, cols), keys).join(spread.select(*keys), keys)
-    # Only the cells that can be part of a basin travel to Python.
-    cells = fit.filter("laplacian < 0").select(*keys, "r", "c", "peak_r", "peak_c")
+    # One pass over the derivative: its range, and only the cells that can be part of a basin.
+    held = lap.groupBy(*keys).agg((F.max("laplacian") - F.min("laplacian")).alias("_ptp"),
+                                  F.collect_list(F.when(F.col("laplacian") < 0, F.struct("r", "c"))).alias("_cells"))
+    fit = held.filter(F.col("_ptp") >= 1e-12).join(inner_peaks(df, keys, rows, cols), keys).select(*keys, "_cells", "peak_r", "peak_c")
     point = T.ArrayType(T.StructType([T.StructField("r", T.DoubleType()), T.StructField("c", T.DoubleType())]))
-    schema = T.StructType([*[f for f in cells.schema.fields if f.name in keys], T.StructField("contour", point),
+    schema = T.StructType([*[f for f in fit.schema.fields if f.name in keys], T.StructField("contour", point),
                            T.StructField("basin_cells", T.LongType())])
 
-    def outline(g: pd.DataFrame) -> pd.DataFrame:
-        negative = np.zeros((rows, cols), dtype=bool)
-        negative[g["r"], g["c"]] = True
-        basin = basin_of_peak(negative, (int(g["peak_r"].iloc[0]), int(g["peak_c"].iloc[0])))
-        path = trace_outline(basin) if basin.any() else np.empty((0, 2))
-        row = pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "contour": [[{"r": r, "c": c} for r, c in path.tolist()]],
-                            "basin_cells": [int(basin.sum())]})
-        return row if len(path) >= 4 else row.iloc[:0].astype({"contour": object})
-
-    return cells.groupBy(*keys).applyInPandas(outline, schema)
+    def outlines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for i in range(len(frame)):
+                negative = np.zeros((rows, cols), dtype=bool)
+                cells = frame["_cells"].iloc[i]
+                negative[[x["r"] for x in cells], [x["c"] for x in cells]] = True
+                basin = basin_of_peak(negative, (int(frame["peak_r"].iloc[i]), int(frame["peak_c"].iloc[i])))
+                path = trace_outline(basin) if basin.any() else np.empty((0, 2))
+                if len(path) >= 4:
+                    found.append((i, [{"r": r, "c": c} for r, c in path.tolist()], int(basin.sum())))
+            out = frame[keys].iloc[[i for i, _, _ in found]].copy()
+            out["contour"], out["basin_cells"] = pd.Series([p for _, p, _ in found], index=out.index, dtype=object), [n for _, _, n in found]
+            yield out
+
+    return fit.mapInPandas(outlines, schema)
 
 
 def bounds(df: DataFrame, keys: list[str], rows: int, cols: int) -> DataFrame:
