@@ -26,6 +26,7 @@ import html as html_lib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,11 +40,13 @@ COMPOSED_PAGES = 1000
 EPOCHS = 100
 BATCH_CHARS = 3_000_000
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.S)
+TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements whose content is no text of the page. Without an end tag the first ones take the rest of the page, the others only their tag.
+TO_THE_END = frozenset(("script", "style", "textarea", "title", "template"))
 RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select")}
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -97,9 +100,15 @@ def parse(page: str | None) -> Tree:
     tree = Tree()
     node = tree.add(-1, "(page)", ["t:(page)"])
     open_tags: list[tuple[str, int]] = [("(page)", node)]  # with the block node that is current inside
+    opened: Counter[str] = Counter()  # how often each tag stands in ``open_tags``
+    endless: set[str] = set()  # raw elements that no later end tag closes
     words: list[str] = []
     linked = links = 0
     page = page or ""
+    # No tag ends beyond the last ">"; what follows is text, or a comment that never ends.
+    last = page.rfind(">") + 1
+    open_comment = re.compile("<[!?]").search(page, last)
+    page = page[:open_comment.start()] if open_comment else page
 
     def flush() -> None:
         nonlocal words, linked
@@ -116,10 +125,14 @@ def parse(page: str | None) -> Tree:
         nonlocal links
         if any(t not in INLINE for t, _ in open_tags[at:]):
             flush()
-        links -= sum(t == "a" for t, _ in open_tags[at:])
+        for t, _ in open_tags[at:]:
+            links -= t == "a"
+            opened[t] -= 1
         del open_tags[at:]
 
     def last_open(tags: tuple[str, ...], bounds: frozenset) -> int:
+        if not any(opened[t] > 0 for t in tags):
+            return 0
         for at in range(len(open_tags) - 1, 0, -1):
             if open_tags[at][0] in tags:
                 return at
@@ -129,7 +142,7 @@ def parse(page: str | None) -> Tree:
 
     at = 0
     while True:
-        mark = TAG.search(page, at)
+        mark = TAG.search(page, at, last)
         text = page[at: mark.start()] if mark else page[at:]
         if text:
             text = html_lib.unescape(text) if "&" in text else text
@@ -141,18 +154,26 @@ def parse(page: str | None) -> Tree:
         at = mark.end()
         tag = mark[2]
         if tag is None:
+            if mark[0].startswith("<!--") and not mark[0].endswith("-->"):
+                break
             continue
         tag = tag.lower()
         if mark[1]:
             if tag == "p" and not last_open(("p",), frozenset(("table", "td", "th"))):
                 flush()
                 continue
-            place = next((i for i in range(len(open_tags) - 1, 0, -1) if open_tags[i][0] == tag), 0)
+            place = next((i for i in range(len(open_tags) - 1, 0, -1) if open_tags[i][0] == tag), 0) if opened[tag] > 0 else 0
             if place:
                 close(place)
             continue
         if tag in RAW:
-            end = RAW[tag].search(page, at)
+            if tag == "svg" and mark[3].endswith("/"):
+                continue
+            end = None if tag in endless else RAW[tag].search(page, at)
+            if end is None:
+                endless.add(tag)
+                if tag not in TO_THE_END:
+                    continue
             at = TAG.search(page, end.start()).end() if end and TAG.match(page, end.start()) else (end.end() if end else len(page))
             continue
         if tag == "br":
@@ -161,6 +182,7 @@ def parse(page: str | None) -> Tree:
         if tag in INLINE:
             if tag not in VOID:
                 open_tags.append((tag, open_tags[-1][1]))
+                opened[tag] += 1
                 links += tag == "a"
             continue
         if tag == "head":
@@ -179,6 +201,7 @@ def parse(page: str | None) -> Tree:
         block = tree.add(open_tags[-1][1], tag, [f"t:{tag}", *words_of_class])
         if not mark[3].endswith("/"):
             open_tags.append((tag, block))
+            opened[tag] += 1
     flush()
     _finish(tree)
     return tree

@@ -5,6 +5,8 @@ import itertools
 import re
 
 import numpy as np
+import time
+
 import pytest
 
 from haptrace.llm import catalog, html_tree
@@ -90,3 +92,31 @@ def test_odd_rows(spark, model):
     assert found[None]["text"] == found["u"]["text"] == "" and found["v"]["text"] == "Some words stand here. Some words stand here."
     assert html_tree.extract(pages.limit(0), model).collect() == []
     assert html_tree.sample(pages.limit(0), "page_id", "html") == []
+
+
+def leaves(page):
+    return [t for t in html_tree.parse(page).leaf_text if t]
+
+
+def test_broken_markup_loses_no_text():
+    assert leaves("<p>one</p><p title=it's>two</p><p>don't</p><p>three</p>") == ["one", "two", "don't", "three"]
+    assert leaves('<p><a href="x"">link</a> and more</p>') == ["link and more"]
+    assert leaves('<p title = "a > b" class=c=d/e>text</p>') == ["text"]
+    assert leaves("<p>a</p><svg/><p>b</p><svg><text>no</text></svg><p>c</p>") == ["a", "b", "c"]
+    for tag in ("noscript", "select", "iframe", "svg"):
+        assert leaves(f"<p>a</p><{tag}><p>b</p>") == ["a", "b"]
+    for tag in ("script", "style", "template"):
+        assert leaves(f"<p>a</p><{tag}>x <p>b</p>") == ["a"]
+    assert leaves("<p>a</p> 1 < 2 and <b") == ["a", "1 < 2 and <b"]
+    for comment in ("<!-- never ends <b", "<!-- a > b", "<!doctype x", "<!-- a --> <!-- b"):
+        assert leaves(f"<p>a</p> rest {comment}") == ["a", "rest"]
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<div>" * 100_000 + "x", "</span>" * 150_000 + "x", "<select>" * 100_000 + "x", '<p title="' * 100_000, "<p>word</p>" * 90_000,
+    "<b>" * 100_000 + "x", "<li>item" * 100_000,
+])
+def test_long_pages_take_linear_time(page):
+    start = time.process_time()
+    html_tree.parse(page)
+    assert time.process_time() - start < 6
