@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from haptrace.session import cut_lineage
 
 WIDE_OWNERS = 3
+# Values in so many repositories are copied examples too, if all of one owner.
+WIDE_REPOSITORIES = 50
 MIN_ENTROPY = 2.5
 BASE = ("assign", "access", "hex")
 ADDED = ("bearer", "jwt", "pem", "opaque")
@@ -42,7 +44,8 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 BEARER = re.compile(r"Bearer\x20+([A-Za-z0-9._~+/-]{16,}=*)")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----")
+# Headers of encrypted keys hold hyphens, so the body runs to the END line, but never into another key.
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN ).)+?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----", re.DOTALL)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your|test|xxxx|0000|1234|abcd|password", re.IGNORECASE)
 
@@ -74,7 +77,7 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
         found += [(3, *m.span(), m[1]) for m in BEARER.finditer(text)]
     if "eyJ" in text:
         found += [(4, *m.span(), m[0]) for m in JWT.finditer(text)]
-    if "PRIVATE KEY-----" in text:
+    if "PRIVATE KEY" in text:
         found += [(5, *m.span(), m[0]) for m in PEM.finditer(text)]
     return sorted(found, key=lambda f: (f[1], f[0]))
 
@@ -104,15 +107,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories) of all candidates."""
-    seen = found.select(F.explode("spans.hash").alias("hash"), F.coalesce("owner", F.lit("(none)")).alias("owner"),
-                        F.coalesce("repository", F.lit("(none)")).alias("repository")).distinct()
+    """(hash, owners, repositories) of all candidates; null is an owner, and a repository, of its own."""
+    seen = found.select(F.explode("spans.hash").alias("hash"), "owner", "repository").distinct()
     by_owner = seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None,
-                 wide_owners: int = WIDE_OWNERS) -> DataFrame:
+                 wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
     """(id, findings): structs of kind, start, end, owners, repositories, live, ascending by start and kind.
 
     Base kinds are all listed; further kinds only where they look live.
@@ -120,7 +122,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = cut_lineage(scan(docs, id_col, text_col, owner_col, repository_col).withColumn("row", F.monotonically_increasing_id()))
     counts = cut_lineage(ownership(found))
     spans = found.select("row", F.explode("spans").alias("s")).select("row", "s.*").join(counts, "hash")
-    live = F.col("plausible") & (F.col("owners") < wide_owners)
+    live = F.col("plausible") & (F.col("owners") < wide_owners) & (F.col("repositories") < wide_repositories)
     judged = spans.withColumn("live", live).filter(F.col("live") | (F.col("kind") < len(BASE)))
     listed = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories", "live"))).alias("f"))
     name = F.array(*[F.lit(k) for k in KINDS])

@@ -60,3 +60,20 @@ def test_ownership_and_odd_rows(spark):
     assert {(f["owners"], f["repositories"], f["live"]) for i in range(4) for f in rows[10 + i]} == {(4, 4, False)}
     assert [f["kind"] for f in rows[20]] == ["bearer"] and rows[4] == rows[5] == []
     assert secrets.find_secrets(docs.limit(0)).collect() == []
+
+
+def test_keys_with_headers_and_blocks():
+    body = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\nMIIE+q/x9Zk-\n"
+    for kind in ("RSA PRIVATE KEY", "PRIVATE KEY", "PGP PRIVATE KEY BLOCK"):
+        key = f"-----BEGIN {kind}-----\n{body}-----END {kind}-----"
+        found = [f for f in secrets.candidates(f"a {key} b -----BEGIN {kind}----- {key}") if f[0] == 5]
+        assert [f[3] for f in found] == [key, key]
+
+
+def test_many_repositories_of_one_owner_are_no_live_secret(spark):
+    value = "Bearer q8Zr2LmX0vTn5KpW7yBc"
+    docs = spark.createDataFrame([(i, f"x {value} y", "src") for i in range(60)] + [(100, "x Bearer h3Jd9SaQ1wEz6RtY4uIo y", None), (101, "x Bearer h3Jd9SaQ1wEz6RtY4uIo y", "(none)")],
+                                 "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["findings"] for r in secrets.find_secrets(docs).collect()}
+    assert not any(f["live"] for i in range(60) for f in found[i])
+    assert all(f["live"] and f["owners"] == 2 for i in (100, 101) for f in found[i] if f["kind"] == "bearer") and found[100]
