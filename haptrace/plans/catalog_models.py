@@ -264,7 +264,7 @@ def _(spark, sf):
     fits = []
     for name, p in _CURVES.items():
         spec = J.MODELS[name]
-        fit = J.model_fit(d.withColumn("y", spec.value([F.col("x")], [F.lit(v) for v in p])), ["gesture_type"], "x", "y", name)
+        fit = J.model_fit(d.withColumn("y", spec.value([F.col("x")], [F.lit(v) for v in p], F)), ["gesture_type"], "x", "y", name)
         values = [F.col(c) for c in spec.parameters] + [F.lit(0.0)] * (4 - len(p))
         fits.append(fit.select(F.lit(name).alias("model"), "gesture_type", "n_rows", *[v.alias(f"p{i}") for i, v in enumerate(values)], "r_squared", "converged"))
     return rounded(reduce(DataFrame.unionByName, fits), 3)
