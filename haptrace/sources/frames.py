@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections import Counter
-from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -24,19 +25,54 @@ def session_files(spark: SparkSession, root: str | list[str], pattern: str | Non
     return listed.groupBy("folder").agg(F.min("path").alias("path")).select(C.session_id("path").alias("session_id"), "path")
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of a file; a repeated name gets the suffix .1, .2 and so on. Only the first line is fetched."""
-    first = spark.read.text(path).first()
-    names = next(csv.reader([first["value"].lstrip("\ufeff")])) if first else []
+# Larger than any file: every file becomes one task that stops after its first line.
+WHOLE_FILE = 1 << 40
+LONG_FILE = 1000  # lines of a first batch
+
+
+def _names(line: str) -> tuple[str, ...]:
+    """Column names of a header line; a repeated name gets the suffix .1, .2 and so on."""
     seen: Counter = Counter()
     out = []
-    for n, name in enumerate(names):
+    for n, name in enumerate(next(csv.reader([line.lstrip("\ufeff")]), [])):
         name = name or f"Unnamed: {n}"
         out.append(f"{name}.{seen[name]}" if seen[name] else name)
         seen[name] += 1
     return tuple(out)
 
 
+def _same_path(path: str) -> str:
+    """A listed path and the one a scan reports differ in the slashes after the scheme."""
+    return re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", path)
+
+
+def headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their column names, in the order given; one job for all files. Files without a line are left out."""
+    if not files:
+        return {}
+
+    def first_line(batches):
+        """A short file is read to its end, as a worker that stops before it is not used again."""
+        first = True
+        for batch in batches:
+            if batch.num_rows and first:
+                yield batch.slice(0, 1)
+                first = False
+            if batch.num_rows >= LONG_FILE:
+                return
+
+    own = spark.newSession()  # the split size holds for this scan alone
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(WHOLE_FILE))
+    own.conf.set("spark.sql.files.openCostInBytes", str(WHOLE_FILE))
+    lines = own.read.text(files).select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(first_line, "path string, value string")
+    found = {_same_path(unquote(r["path"])): r["value"] for r in lines.collect()}  # one line a file
+    out: dict[tuple[str, ...], list[str]] = {}
+    for path in files:
+        if _same_path(path) in found:
+            out.setdefault(_names(found[_same_path(path)]), []).append(path)
+    return out
+
+
 def _with_numbers(df: DataFrame, extra: list[str]) -> DataFrame:
     """Columns outside the schema as doubles where every value is a number, else as strings."""
     if not extra:
@@ -52,22 +88,17 @@ def read_sessions(spark: SparkSession, paths: str | list[str], columns: list[str
 
     Columns are matched by header name: those of ``schema`` get its types and are null where a file
     lacks them, others are kept, as doubles if all their values are numbers. Files with equal
-    headers are one scan, so there are as many scans as headers.
+    headers are one scan, so there are as many scans as headers; all headers are found in one job.
 
     ``frame_idx`` grows with the row position in the file.  A file is read in byte blocks:
     a row's place is the start of its block plus its place in the task, and a block holds
     fewer rows than bytes, so later blocks always come out larger.
     """
     files = [r["path"] for r in session_files(spark, paths, pattern).orderBy("path").collect()]  # names only
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    if files:
-        with ThreadPool(min(16, len(files))) as pool:
-            for path, header in zip(files, pool.map(lambda f: _header(spark, f), files)):
-                by_header.setdefault(header, []).append(path)
     known = {f.name: f for f in schema.fields}
     place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     out = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("session_id", T.StringType()), T.StructField("frame_idx", T.LongType())]))
-    for header, group in by_header.items():
+    for header, group in headers(spark, files).items():
         own = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in header])
         df = spark.read.schema(own).option("header", "true").option("nullValue", "").csv(group)
         df = df.select("*", C.session_id(F.col("_metadata.file_path")).alias("session_id"), place.alias("frame_idx"))

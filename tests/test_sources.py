@@ -84,6 +84,36 @@ def test_headers_decide_the_columns(spark):
     assert SRC.read_sessions(spark, str(root), ["time", "frame_index", "absent"]).columns == ["session_id", "frame_idx", "time", "frame_index"]
 
 
+def test_headers_of_many_files_take_one_scan(spark):
+    root = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    name = "_semicontrolled_aggregated_session.csv"
+    for i in range(500):
+        folder = root / f"day 1%20b_ST{10 + i}-01"
+        folder.mkdir()
+        (folder / f"a{name}").write_text("" if i == 7 else f"{'time,contact_depth' if i % 2 else 'contact_depth,extra,extra'}\n" + f"{i},{i}.5,0\n" * 3)
+    files = [str(next(f.glob("*.csv"))) for f in sorted(root.iterdir())]
+    context = spark.sparkContext
+    context.setJobGroup("headers of many files", "")
+    try:
+        got = SRC.headers(spark, [f"file:{f}" for f in files])
+        # Listing the files and reading their first lines.
+        assert len(context.statusTracker().getJobIdsForGroup("headers of many files")) <= 2
+    finally:
+        context._jsc.clearJobGroup()
+    assert {k: len(v) for k, v in got.items()} == {("time", "contact_depth"): 249, ("contact_depth", "extra", "extra.1"): 250}
+    df = SRC.read_sessions(spark, str(root))
+    assert df.count() == 499 * 3 and df.filter("contact_depth IS NULL").count() == 0
+    assert SRC.headers(spark, []) == {}
+
+
+def test_first_line_of_a_long_file(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    Path(root, "a.csv").write_text("time,x\n" + "1.0,2.0\n" * 200_000)
+    Path(root, "b.csv").write_text("y\r\n1\r\n")
+    assert SRC.headers(spark, [f"file:{root}/{n}.csv" for n in "ab"]) == {
+        ("time", "x"): [f"file:{root}/a.csv"], ("y",): [f"file:{root}/b.csv"]}
+
+
 def test_stages_end_to_end(spark, recordings):
     out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     prepared, counts = WF.run_preparation(spark, str(recordings), out)
