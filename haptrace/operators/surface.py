@@ -249,15 +249,6 @@ def cell_members(touches: DataFrame, axes: dict[str, tuple[float, float, float,
     return out
 
 
-def grid_rf(members: DataFrame, rf: DataFrame, cell: list[str], ratio: float, keys: list[str] = KEYS, value: str = "rf_mean") -> DataFrame:
-    """Mean map of the touches in each cell, without vertices that too few of them reach."""
-    sizes = members.groupBy(*cell).agg(F.count("*").alias("n_touches"))
-    maps = members.select(*cell, *keys).join(rf.select(*keys, "vertex_id", value), keys).groupBy(*cell, "vertex_id").agg(
-        F.avg(value).alias("value"), F.count_distinct(*keys).alias("n_unique"))
-    least = F.greatest(F.lit(1), F.bround(F.col("n_touches") * ratio).cast("long"))
-    return maps.join(sizes, cell).filter(F.col("n_unique") >= least)
-
-
 # --- mesh ------------------------------------------------------------------------------
 
 

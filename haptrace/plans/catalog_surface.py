@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haptrace.functions import columns as C
+from haptrace.operators import grid as G
 from haptrace.operators import metrics as M
 from haptrace.operators import reports as R
 from haptrace.operators import surface as S
@@ -155,10 +156,13 @@ mem AS (SELECT {K}, i_depth_max, i_velocity_max FROM feat, d, e WHERE depth_max
 """.replace("{K}", K)
 
 
-def _members(spark, sf):
+def _peaks(spark, sf):
     c = view(spark, sf, "contacts")
-    feat = c.groupBy(*KEYS).agg((F.max("x") + 25).alias("depth_max"), F.max("iff").alias("velocity_max"))
-    return S.cell_members(feat, AXES)
+    return c.groupBy(*KEYS).agg((F.max("x") + 25).alias("depth_max"), F.max("iff").alias("velocity_max"))
+
+
+def _members(spark, sf):
+    return S.cell_members(_peaks(spark, sf), AXES)
 
 
 CELL = ["session_id", "i_depth_max", "i_velocity_max"]
@@ -186,7 +190,7 @@ cellmap AS (SELECT maps.*, n_touches FROM maps JOIN n USING (session_id, i_depth
 
 
 def _cellmap(spark, sf):
-    return S.grid_rf(_members(spark, sf), _rf(spark, sf, KEYS), CELL, 0.003)
+    return G.grid_maps(_peaks(spark, sf), _rf(spark, sf, KEYS), AXES, 0.003)
 
 
 @query("grid_response_maps", _CELLMAP + f"SELECT session_id, i_depth_max, i_velocity_max, vertex_id, {r('value', 'value')}, n_unique, n_touches FROM cellmap")
