@@ -222,25 +222,6 @@ def correlation_distance(df: DataFrame, row: str, column: str, value: str) -> Da
     return every.join(c.select("a", "b", d.alias("distance")), ["a", "b"], "left").na.fill(1.0, ["distance"])
 
 
-def row_order(distances: DataFrame, last: list[str]) -> list[str]:
-    """Leaf order of average linkage over the rows of a distance table, ``last`` at the end.
-
-    The table has one row per pair of sessions, tens of them; the tree is built on it.
-    """
-    pairs = {(r["a"], r["b"]): r["distance"] for r in distances.collect()}
-    names = sorted({n for p in pairs for n in p} - set(last))
-    groups = [[n] for n in names]
-
-    def gap(g, h):
-        return float(np.mean([pairs.get((x, y), pairs.get((y, x))) for x in g for y in h]))
-
-    while len(groups) > 1:
-        _, i, j = min((gap(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
-        merged = groups[i] + groups[j]
-        groups = [g for n, g in enumerate(groups) if n not in (i, j)] + [merged]
-    return [*(groups[0] if groups else []), *sorted(last)]
-
-
 def adjusted_rand(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """Adjusted Rand index of two labellings from their contingency counts."""
     keys = keys or []

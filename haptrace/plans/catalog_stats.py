@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from haptrace.operators import linkage as L
 from haptrace.operators import stats as S
 from haptrace.operators import tuning as U
 from haptrace.plans.inputs import ctes, view
@@ -208,11 +209,23 @@ def _(spark, sf):
     return rounded(S.correlation_distance(m, "session_id", "cluster_label", "v"))
 
 
-@query("session_row_order")
+# Leaf order by merging the least mean distance, one merge a step; a row without values comes last.
+_ORDER = X.replace("WITH ", "WITH RECURSIVE ", 1) + """, m AS (SELECT session_id, cluster_label, avg(val) AS v FROM x WHERE session_id <> 's5' GROUP BY 1, 2),
+p AS (SELECT a.session_id AS a, b.session_id AS b, count(a.v + b.v) AS n, corr(a.v, b.v) AS c FROM m a JOIN m b ON a.cluster_label = b.cluster_label AND a.session_id < b.session_id GROUP BY 1, 2),
+dm AS (SELECT map(list(a || ' ' || b), list(CASE WHEN n < 2 OR c IS NULL THEN 1.0 ELSE least(greatest(1 - c, 0), 2) END)) AS dm FROM p),
+t AS (SELECT (SELECT list([s] ORDER BY s) FROM (SELECT DISTINCT session_id AS s FROM m)) AS g, dm FROM dm
+ UNION ALL SELECT list_append(list_filter(g, lambda k, i: i <> best.i AND i <> best.j), list_concat(g[best.i], g[best.j])), dm FROM (
+  SELECT g, dm, list_min(flatten(list_transform(range(1, len(g)), lambda i: list_transform(range(i + 1, len(g) + 1), lambda j: struct_pack(
+   d := list_avg(flatten(list_transform(g[i], lambda e: list_transform(g[j], lambda f: dm[least(e, f) || ' ' || greatest(e, f)])))), i := i, j := j))))) AS best
+  FROM t WHERE len(g) > 1))
+SELECT place - 1 AS place, names[place] AS session_id FROM (SELECT names, unnest(range(1, len(names) + 1)) AS place FROM (SELECT list_append(g[1], 's5') AS names FROM t WHERE len(g) = 1))"""
+
+
+@query("session_row_order", _ORDER)
 def _(spark, sf):
     m = _x(spark, sf).groupBy("session_id", "cluster_label").agg(F.avg("val").alias("v"))
-    order = S.row_order(S.correlation_distance(m, "session_id", "cluster_label", "v"), [])
-    return spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in order])).alias("place", "session_id"))
+    m = m.withColumn("v", F.when(F.col("session_id") != "s5", F.col("v")))
+    return L.row_order(m, "session_id", "cluster_label", "v").select("place", "session_id")
 
 
 @query("adjusted_rand", X + f""", c AS (SELECT session_id, cluster_label AS a, gesture_type AS b, count(*) AS n FROM x GROUP BY 1, 2, 3),
