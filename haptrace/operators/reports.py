@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from haptrace.operators.prepare import touch_rows
 from haptrace.operators.quantiles import percentiles
@@ -49,3 +49,14 @@ def distance_report(df: DataFrame, keys: list[str], distance: str, cut: float =
     share = df.groupBy(*keys).agg(F.count(distance).alias("n"), (F.avg((F.col(distance) > cut).cast("double")) * 100).alias("percent_beyond"))
     stats = percentiles(df, keys, wanted)
     return stats.join(share, keys) if keys else stats.join(F.broadcast(share))
+
+
+def worst_rows(points: DataFrame, keys: list[str], row: list[str], distance: str, axes: list[str], n: int = 10) -> DataFrame:
+    """The ``n`` rows of each key with the farthest point: its distance, number of points and centroid.
+
+    Points without a distance don't count. Ties go to the smallest row; ranks are cut before the shuffle.
+    """
+    per = points.filter(F.col(distance).isNotNull()).groupBy(*keys, *row).agg(
+        F.max(distance).alias("max_distance"), F.count("*").alias("n_points"), *[F.avg(a).alias(f"centroid_{a}") for a in axes])
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("max_distance"), *row))
+    return per.withColumn("rank", place).filter(F.col("rank") <= n)

@@ -298,6 +298,41 @@ def uv_to_xyz(points: DataFrame, faces: DataFrame, vertices: DataFrame, keys: li
     return on.unionByName(snapped.select(*keys, "u", "v", "x", "y", "z", F.lit(False).alias("inside")))
 
 
+def xyz_to_uv(points: DataFrame, faces: DataFrame, vertices: DataFrame, keys: list[str]) -> DataFrame:
+    """UV of 3-D points: barycentric weights of the foot of each point on the face with the nearest centroid.
+
+    The foot may lie outside that face, then the weights go on linearly.  A face without area gives the UV of
+    its centroid; of equally near centroids the one with the smallest (i, j, k) counts.  Points with a null
+    coordinate drop out; a key without faces gives no rows.
+    """
+    tri = faces.select(*keys, "i", "j", "k").distinct()
+    for s in ("i", "j", "k"):
+        corner = vertices.select(*keys, F.col("vertex_id").alias(s), F.array("x", "y", "z").alias(f"_p{s}"), F.col("u").alias(f"_u{s}"), F.col("v").alias(f"_v{s}"))
+        tri = tri.join(corner, [*keys, s])
+    middle = [((F.col("_pi")[n] + F.col("_pj")[n] + F.col("_pk")[n]) / 3).alias(a) for n, a in enumerate("xyz")]
+    centers = tri.select(*keys, *middle, F.struct("i", "j", "k").alias("face"))
+    placed = points.join(centers.select(*keys).distinct(), keys, "left_semi") if keys else points
+    near = nearest(placed, centers, keys, None, vertex="face").select(*keys, "x", "y", "z", *[F.col(f"face.{s}").alias(s) for s in "ijk"])
+    at = near.join(tri, [*keys, "i", "j", "k"])
+
+    def minus(a, b):
+        return F.zip_with(a, b, lambda p, q: p - q)
+
+    def dot(a, b):
+        return sum((F.col(a)[n] * F.col(b)[n] for n in (1, 2)), F.col(a)[0] * F.col(b)[0])
+
+    # The part of a point across the face has no share in these products, so its foot needs no computing.
+    at = at.withColumns({"_0": minus("_pj", "_pi"), "_1": minus("_pk", "_pi"), "_2": minus(F.array("x", "y", "z"), "_pi")})
+    at = at.withColumns({f"_d{a}{b}": dot(f"_{a}", f"_{b}") for a, b in ("00", "01", "11", "20", "21")})
+    det = F.col("_d00") * F.col("_d11") - F.col("_d01") * F.col("_d01")
+    third = F.lit(1 / 3)
+    wj = F.when(det >= 1e-20, (F.col("_d11") * F.col("_d20") - F.col("_d01") * F.col("_d21")) / det).otherwise(third)
+    wk = F.when(det >= 1e-20, (F.col("_d00") * F.col("_d21") - F.col("_d01") * F.col("_d20")) / det).otherwise(third)
+    at = at.withColumns({"_wj": wj, "_wk": wk}).withColumn("_wi", 1 - F.col("_wj") - F.col("_wk"))
+    return at.select(*keys, "x", "y", "z", *[
+        sum((F.col(f"_w{s}") * F.col(f"_{a}{s}") for s in "jk"), F.col("_wi") * F.col(f"_{a}i")).alias(a) for a in "uv"])
+
+
 def cylinder_axis(vertices: DataFrame, center: list[float], k: int = 500, axis: list[float] | None = None) -> tuple[list[float], list[float], float]:
     """Axis direction, a point on it and the mean radius from the ``k`` vertices nearest to ``center``; a known ``axis`` stays."""
     d2 = sum(((F.col(a) - c) * (F.col(a) - c) for a, c in zip("yz", center[1:])), (F.col("x") - center[0]) * (F.col("x") - center[0]))

@@ -157,6 +157,21 @@ def axis_limits(df: DataFrame, keys: list[str], column: str, top: float = 1.0, p
     return stats.withColumns({"axis_low": F.col("low") - room, "axis_high": F.col("high") + room})
 
 
+def bin_limits(df: DataFrame, features: list[str], response: str, windows: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """Upper limits that all sessions, gesture subsets and features share on axes of sums and counts.
+
+    ``sum_high`` is the largest sum of responses in a bin (0 at least), ``count_high`` the largest number of
+    rows with a response in a bin; axes start at 0.  Null where no bin has a row.
+    """
+    def placed(f):
+        return F.transform(_in_windows(f, windows[f]), lambda i: F.struct(F.lit(f).alias("feature"), i.alias("bin")))
+
+    long = df.filter(F.col(response).isNotNull()).withColumn("subset", F.explode(C.subset_members("gesture_type"))).select(
+        "session_id", "subset", response, F.inline(F.flatten(F.array(*[placed(f) for f in features]))))
+    per = long.groupBy("session_id", "subset", "feature", "bin").agg(F.sum(response).alias("_s"), F.count("*").alias("_n"))
+    return per.agg(F.greatest(F.max("_s"), F.when(F.max("_n").isNotNull(), F.lit(0.0))).alias("sum_high"), F.max("_n").alias("count_high"))
+
+
 def normalised(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Min-max scaled columns, per key or pooled (no keys)."""
     ends = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from haptrace.functions import columns as C
 from haptrace.operators import bins as B
+from haptrace.operators import selection as E
 from haptrace.operators import tuning as U
 from haptrace.operators.clusters import cluster
 from haptrace.operators.reports import feature_ranges
@@ -208,6 +209,16 @@ def _(spark, sf):
     return rounded(U.axis_limits(_touches(spark, sf), ["session_id"], "velocity_max", 0.95), 4)
 
 
+@query("axis_limits_of_bins", T + """, s AS (SELECT *, unnest(CASE WHEN gesture_type = 'tap' THEN ['all', 'tap'] ELSE ['all', 'stroke', gesture_type] END) AS subset FROM touches),
+l AS (SELECT session_id, subset, 'v' AS f, least(floor(velocity_max / 20), 4) AS bin, iff_max FROM s WHERE velocity_max BETWEEN 0 AND 100
+ UNION ALL SELECT session_id, subset, 'd', least(floor(depth_max / 10), 4), iff_max FROM s WHERE depth_max BETWEEN 0 AND 50),
+b AS (SELECT sum(iff_max) AS s, count(*) AS n FROM l WHERE iff_max IS NOT NULL GROUP BY session_id, subset, f, bin)
+""" + f"""SELECT {r("max(s)", "sum_high", 4)}, max(n) AS count_high FROM b""")
+def _(spark, sf):
+    windows = {"velocity_max": B.value_windows(0.0, 100.0, 5), "depth_max": B.value_windows(0.0, 50.0, 5)}
+    return rounded(U.bin_limits(_touches(spark, sf), ["velocity_max", "depth_max"], "iff_max", windows), 4)
+
+
 @query("normalised_quartiles", T + f""", n AS (SELECT gesture_type, session_id, (velocity_max - min(velocity_max) OVER w) / (max(velocity_max) OVER w - min(velocity_max) OVER w) AS v FROM touches WINDOW w AS (PARTITION BY session_id))
 SELECT session_id, gesture_type, {r("quantile_cont(v, 0.25)", "velocity_max_norm_q25")}, {r("median(v)", "velocity_max_norm_median")}, {r("quantile_cont(v, 0.75)", "velocity_max_norm_q75")}, count(*) AS n FROM n GROUP BY 1, 2""")
 def _(spark, sf):
@@ -231,7 +242,7 @@ def _(spark, sf):
 @query("feature_box_filter", T + f"""SELECT gesture_type, count(*) AS n, {r("avg(iff_max)", "iff_mean")} FROM touches
 WHERE depth_max BETWEEN 20 AND 45 AND velocity_max BETWEEN 30 AND 80 AND gesture_type IN ('tap', 'stroke_distal') GROUP BY 1""")
 def _(spark, sf):
-    t = _touches(spark, sf).filter(F.col("depth_max").between(20, 45) & F.col("velocity_max").between(30, 80) & F.col("gesture_type").isin("tap", "stroke_distal"))
+    t = E.feature_box(_touches(spark, sf), {"depth_max": (20, 45), "velocity_max": (30, 80)}, ["tap", "stroke_distal"])
     return rounded(t.groupBy("gesture_type").agg(F.count("*").alias("n"), F.avg("iff_max").alias("iff_mean")))
 
 

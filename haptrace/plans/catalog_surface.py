@@ -8,6 +8,7 @@ from haptrace.functions import columns as C
 from haptrace.operators import grid as G
 from haptrace.operators import metrics as M
 from haptrace.operators import reports as R
+from haptrace.operators import selection as E
 from haptrace.operators import surface as S
 from haptrace.plans.inputs import ctes, view
 from haptrace.plans.registry import query, r, rounded
@@ -473,3 +474,55 @@ def _(spark, sf):
 SELECT {r("greatest(least(x1, p1) - greatest(x0, p0), 0) / (x1 - x0) * 100", "x_overlap")}, {r("greatest(least(y1, q1) - greatest(y0, q0), 0) / (y1 - y0) * 100", "y_overlap")}, {r("greatest(least(z1, s1) - greatest(z0, s0), 0) / (z1 - z0) * 100", "z_overlap")} FROM a, b""")
 def _(spark, sf):
     return rounded(R.overlap_percent(view(spark, sf, "contacts"), view(spark, sf, "vertices"), [], ["x", "y", "z"]))
+
+
+@query("worst_contact_rows", NEAR + f"""p AS (SELECT {K}, max(distance) AS d, count(*) AS n_points, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM contacts JOIN near USING (x, y, z) GROUP BY {K}),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY d DESC, block_order_id, trial_id, single_touch_id) AS rk FROM p)
+SELECT {K}, CAST(rk AS INT) AS rank, {r("d", "max_distance", 5)}, n_points, {r("cx", "centroid_x", 5)}, {r("cy", "centroid_y", 5)}, {r("cz", "centroid_z", 5)} FROM k WHERE rk <= 10""")
+def _(spark, sf):
+    near = S.contacts_on_surface(view(spark, sf, "contacts"), view(spark, sf, "vertices"), [], None)
+    return rounded(R.worst_rows(near, ["session_id"], [k for k in KEYS if k != "session_id"], "distance", ["x", "y", "z"]), 5)
+
+
+_BOX = f"""f AS (SELECT {K}, max(x) + 25 AS depth_max, max(iff) AS velocity_max FROM contacts GROUP BY {K}),
+"""
+
+
+@query("feature_box_heatmap", NEAR + _BOX + f"""w AS (SELECT {K} FROM f WHERE depth_max BETWEEN 10 AND 40 AND velocity_max BETWEEN 20 AND 70),
+s AS (SELECT *, {SUB} FROM rf SEMI JOIN w USING ({K})), h AS (SELECT *, {SUB} FROM hits SEMI JOIN w USING ({K})),
+n AS (SELECT session_id, subset, count(DISTINCT ({K})) AS n_touches FROM s GROUP BY 1, 2),
+u AS (SELECT session_id, subset, vertex_id, count(DISTINCT ({K})) AS n_unique FROM h GROUP BY 1, 2, 3),
+a AS (SELECT session_id, subset, vertex_id, avg(rf_mean) AS value FROM s GROUP BY 1, 2, 3)
+SELECT session_id, subset, vertex_id, {r("value", "value")}, n_unique, n_touches FROM a JOIN u USING (session_id, subset, vertex_id) JOIN n USING (session_id, subset)""")
+def _(spark, sf):
+    out = E.box_heatmap(_peaks(spark, sf), _hits(spark, sf), {"depth_max": (10, 40), "velocity_max": (20, 70)}, "iff", 0.2)
+    return rounded(out.select("session_id", "subset", "vertex_id", "value", "n_unique", "n_touches"))
+
+
+@query("grouped_contacts", ctes("contacts") + f""", f AS (SELECT {K}, max(x) + 25 AS depth_max, max(iff) AS velocity_max, min(gesture_type) AS kind FROM contacts GROUP BY {K}),
+q AS (SELECT quantile_cont(velocity_max, [1/3, 2/3]) AS v, quantile_cont(depth_max, 0.5) AS d FROM f),
+l AS (SELECT {K}, concat_ws('_', CASE WHEN velocity_max <= v[1] THEN '0' WHEN velocity_max <= v[2] THEN '1' ELSE '2' END, CASE WHEN depth_max <= d THEN '0' ELSE '1' END, kind) AS group_label FROM f, q)
+SELECT group_label, session_id, count(*) AS n_rows, CAST(sum(spike) AS BIGINT) AS n_spikes, {r("avg(iff)", "iff_mean")} FROM contacts JOIN l USING ({K}) GROUP BY 1, 2""")
+def _(spark, sf):
+    c = view(spark, sf, "contacts")
+    t = c.groupBy(*KEYS).agg((F.max("x") + 25).alias("depth_max"), F.max("iff").alias("velocity_max"), F.min("gesture_type").alias("kind"))
+    labels = E.group_labels(t, {"velocity_max": 3, "depth_max": 2}, ["kind"])
+    return rounded(E.with_group_labels(c, labels).groupBy("group_label", "session_id").agg(
+        F.count("*").alias("n_rows"), F.sum("spike").cast("long").alias("n_spikes"), F.avg("iff").alias("iff_mean")))
+
+
+# Vertices lifted off the mesh; the nearest centroid by brute force, weights from the normal equations of the face.
+@query("surface_unfolding", MESH + f""", p AS (SELECT DISTINCT session_id, x + 0.25 AS x, y + 0.5 AS y, z + 0.125 AS z FROM mv),
+t AS (SELECT mf.session_id, mf.i, mf.j, mf.k, a.x AS ax, a.y AS ay, a.z AS az, a.u AS au, a.v AS av, b.x - a.x AS bx, b.y - a.y AS by_, b.z - a.z AS bz, b.u - a.u AS bu, b.v - a.v AS bv,
+ c.x - a.x AS cx, c.y - a.y AS cy, c.z - a.z AS cz, c.u - a.u AS cu, c.v - a.v AS cv, (a.x + b.x + c.x) / 3 AS mx, (a.y + b.y + c.y) / 3 AS my, (a.z + b.z + c.z) / 3 AS mz
+ FROM mf JOIN mv a ON a.session_id = mf.session_id AND a.vertex_id = mf.i JOIN mv b ON b.session_id = mf.session_id AND b.vertex_id = mf.j JOIN mv c ON c.session_id = mf.session_id AND c.vertex_id = mf.k),
+n AS (SELECT p.session_id, p.x, p.y, p.z, min(struct_pack(d := (x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz), i := i, j := j, k := k)) AS f FROM p JOIN t USING (session_id) GROUP BY 1, 2, 3, 4),
+w AS (SELECT n.session_id, x, y, z, au, av, bu, bv, cu, cv, bx * bx + by_ * by_ + bz * bz AS d00, bx * cx + by_ * cy + bz * cz AS d01, cx * cx + cy * cy + cz * cz AS d11,
+ (x - ax) * bx + (y - ay) * by_ + (z - az) * bz AS d20, (x - ax) * cx + (y - ay) * cy + (z - az) * cz AS d21
+ FROM n JOIN t ON t.session_id = n.session_id AND t.i = n.f.i AND t.j = n.f.j AND t.k = n.f.k)
+SELECT session_id, {r("x", "x")}, {r("y", "y")}, {r("au + ((d11 * d20 - d01 * d21) * bu + (d00 * d21 - d01 * d20) * cu) / (d00 * d11 - d01 * d01)", "u")},
+ {r("av + ((d11 * d20 - d01 * d21) * bv + (d00 * d21 - d01 * d20) * cv) / (d00 * d11 - d01 * d01)", "v")} FROM w""")
+def _(spark, sf):
+    v, f = _mesh(spark, sf)
+    p = v.select("session_id", (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y"), (F.col("z") + 0.125).alias("z"))
+    return rounded(S.xyz_to_uv(p, f, v, ["session_id"]).select("session_id", "x", "y", "u", "v"))
