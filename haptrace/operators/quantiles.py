@@ -47,6 +47,9 @@ def percentiles(
     large = _large(df.select(*keys), keys, limit).select(*keys)
     small = df.join(large, keys, "left_anti").groupBy(*keys).agg(*percentile_aggregates(wanted))
     out = small.unionByName(_large_percentiles(df.join(large, keys, "left_semi"), keys, columns, wanted, limit))
+    # Spark takes a union of parts that are hashed alike as hashed too and joins it without a shuffle, while adaptive execution
+    # gives the parts partitions of their own; the rows, one a group, are dealt anew.
+    out = out.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return out if given else out.drop("_all")
 
 
