@@ -17,16 +17,18 @@ def _cell(axes: list[str], size: float, prefix: str = "") -> list[Column]:
     return [F.floor(F.col(f"{prefix}{a}") / size).alias(f"_c{i}") for i, a in enumerate(axes)]
 
 
-def _neighbourhood(vertices: DataFrame, axes: list[str], size: float) -> DataFrame:
-    """Each vertex in its own and all adjacent cells."""
-    out = vertices.select("*", *_cell(axes, size))
+def _neighbourhood(rows: DataFrame, axes: list[str], size: float) -> DataFrame:
+    """Each row in its own and all adjacent cells."""
+    out = rows.select("*", *_cell(axes, size))
     for i in range(len(axes)):
         out = out.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + d for d in (-1, 0, 1)])))
     return out
 
 
-def _d2(axes: list[str]) -> Column:
-    parts = [(F.col(a) - F.col(f"_v_{a}")) * (F.col(a) - F.col(f"_v_{a}")) for a in axes]
+def _d2(axes: list[str], site: Column | None = None) -> Column:
+    def place(a):
+        return F.col(f"_v_{a}") if site is None else site[f"_v_{a}"]
+    parts = [(F.col(a) - place(a)) * (F.col(a) - place(a)) for a in axes]
     return sum(parts[1:], parts[0])
 
 
@@ -38,6 +40,9 @@ def nearest(points: DataFrame, vertices: DataFrame, keys: list[str], max_distanc
     point lie in the adjacent cells, so a hit closer than the cell size is final.  Cells
     start small where vertices are dense and double until the cut-off is reached; without
     a cut-off they double until every point has a vertex.  Ties go to the lowest id.
+
+    A cell's vertices are one list, so a point meets at most one row per adjacent cell and
+    no pair of a point and a vertex is sorted or shuffled.
     """
     points = points.select(*keys, *axes).na.drop(subset=axes).distinct()
     # Copies of a vertex position count once, under their lowest id.
@@ -60,17 +65,21 @@ def nearest(points: DataFrame, vertices: DataFrame, keys: list[str], max_distanc
     while size > smallest and load(size) > CELL_LOAD:
         size /= 2
 
+    cells = [f"_c{i}" for i in range(len(axes))]
+    # A number of one's own: small inputs would be put into one task, which then does all comparisons.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, left = None, points
     while True:
         last = max_distance is not None and size >= max_distance
         if found is None and not last:
             # The rounds tell points by their coordinates, which must not be worked out anew: sums may differ in the last bit.
             left = cut_lineage(left)
-        cells = [f"_c{i}" for i in range(len(axes))]
-        pairs = left.select("*", *_cell(axes, size)).join(_neighbourhood(named, vaxes, size), [*keys, *cells])
+        listed = named.groupBy(*keys, *_cell(vaxes, size)).agg(F.collect_list(F.struct(*vaxes, vertex)).alias("_sites"))
+        around = _neighbourhood(left, axes, size).repartition(tasks, *keys, *cells)
+        nearest_of = F.array_min(F.transform("_sites", lambda s: F.struct(_d2(axes, s).alias("_d2"), s[vertex].alias(vertex))))
         best = (
-            pairs.withColumn("_d2", _d2(axes)).groupBy(*keys, *axes)
-            .agg(F.min(F.struct("_d2", vertex)).alias("_b"))
+            around.join(listed, [*keys, *cells]).select(*keys, *axes, nearest_of.alias("_b"))
+            .groupBy(*keys, *axes).agg(F.min("_b").alias("_b"))
             .select(*keys, *axes, F.col(f"_b.{vertex}").alias(vertex), F.sqrt("_b._d2").alias("distance"))
             .filter(F.col("distance") <= (max_distance if last else size))
         )
