@@ -28,7 +28,8 @@ def pair_statistics(df: DataFrame, stratum: list[str], sensor: str, value: str,
     """
     limit = limit or group_limit(df)
     known = df.dropna(subset=[*stratum, sensor, value]).select(*stratum, F.col(sensor).alias("_s"), F.col(value).cast("double").alias("_v"))
-    counts = known.groupBy(*stratum, "_s", "_v").agg(F.count("*").alias("_w"))
+    # Kept by Spark: cuts, totals and buckets all read the counts, else each of them counts anew in the same task.
+    counts = known.groupBy(*stratum, "_s", "_v").agg(F.count("*").alias("_w")).persist()
     if has_large_groups(known.select(*stratum), stratum, limit):
         placed = in_value_buckets(counts, stratum, "_v", limit).drop("_split")
     else:

@@ -101,7 +101,8 @@ def compare(df: DataFrame, methods: list[str], stratum: list[str], sensor: str,
     if unknown:
         raise ValueError(f"unknown comparators {sorted(unknown)}; known: {sorted(COMPARATORS)}")
     df = df.filter(F.col(label) >= 0)
-    df = df.select(*dict.fromkeys([*stratum, sensor, value]))
+    # Kept by Spark: coverage and every comparator read the rows again, and a task would work them out once per reader.
+    df = df.select(*dict.fromkeys([*stratum, sensor, value])).persist()
     df = df.join(coverage(df, stratum, sensor, min_rows, min_sensors).select(*stratum), stratum, "left_semi")
     out = None
     for m in methods:
