@@ -32,6 +32,8 @@ def type_stratified(df: DataFrame, columns: list[str], options: dict) -> tuple[D
     if base == "type_stratified":
         raise ValueError("the base of a stratified clusterer cannot be stratified itself")
     inner = {k: v for k, v in options.items() if k != "base"}
+    # Kept by Spark: every gesture reads all rows, and the parts of a union that are hashed alike meet in the same tasks.
+    df = df.persist()
     if not df.filter(~F.col("gesture_type").isin(GESTURES) | F.col("gesture_type").isNull()).isEmpty():
         raise ValueError(f"gesture_type must be one of {GESTURES}")
     parts, meta = None, {}

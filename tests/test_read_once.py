@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from haptrace.operators import stats as ST
+from haptrace.operators.clusters import cluster
 
 
 def _counted(spark, df, column):
@@ -16,6 +17,14 @@ def _counted(spark, df, column):
     return df.withColumn(column, F.udf(count, "double").asNondeterministic()(column)), seen
 
 
+def test_gestures_share_the_rows(spark):
+    kind = F.element_at(F.array(F.lit("tap"), F.lit("stroke_proximal"), F.lit("stroke_distal")), (F.col("id") % 3 + 1).cast("int"))
+    df, seen = _counted(spark, spark.range(90).select("id", kind.alias("gesture_type"), (F.col("id") * 1.0).alias("x")), "x")
+    out, _ = cluster("type_stratified", df, ["x"], {"base": "binning", "n_bins": 3})
+    assert out.select("id", "cluster_label").distinct().count() == 90
+    assert seen.value == 90
+
+
 def test_comparators_share_the_rows(spark):
     df = spark.range(120).select((F.col("id") % 2).cast("int").alias("cluster_label"), (F.col("id") % 3).cast("string").alias("s"), (F.col("id") % 17 * 1.0).alias("v"))
     df, seen = _counted(spark, df, "v")
