@@ -1,7 +1,8 @@
-"""Rows that several parts of an operator read are worked out once."""
+"""Rows that several parts of an operator read are worked out once; labels don't pass through the driver."""
 
 from pyspark.sql import functions as F
 
+from haptrace.operators import models as M
 from haptrace.operators import stats as ST
 from haptrace.operators.clusters import cluster
 
@@ -32,3 +33,16 @@ def test_comparators_share_the_rows(spark):
     assert sorted((r.cluster_label, r.strategy, r.n_observations) for r in out) == [
         (0, "bias", 60), (0, "distribution", 60), (1, "bias", 60), (1, "distribution", 60)]
     assert seen.value == 120
+
+
+def test_rounds_are_compared_without_a_broadcast(spark, monkeypatch):
+    plans, own = [], ST.adjusted_rand
+
+    def held(df, *args):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString().split("InMemoryTableScan")[0])
+        return own(df, *args)
+
+    monkeypatch.setattr(M.ST, "adjusted_rand", held)
+    df = spark.range(60).select("id", (F.floor(F.col("id") / 20) * 10.0 + F.col("id") % 2).alias("x"))
+    assert M.stability(df, ["x"], "cartesian_binning", {"n_bins": 3}, rounds=3, keys=["id"]) == 1.0
+    assert [p for p in plans if "SortMergeJoin" in p] == plans and len(plans) == 2
