@@ -44,7 +44,8 @@ def percentiles(
         return df.groupBy(*keys).agg(*percentile_aggregates(wanted))
     given, (df, keys) = keys, _keyed(df, keys)
     df = df.select(*keys, *columns)
-    large = _large(df.select(*keys), keys, limit).select(*keys)
+    # Few by nature, one row for more than ``limit`` rows: broadcast, as a shuffle by the keys would bring each large group into one task.
+    large = F.broadcast(_large(df.select(*keys), keys, limit).select(*keys))
     small = df.join(large, keys, "left_anti").groupBy(*keys).agg(*percentile_aggregates(wanted))
     out = small.unionByName(_large_percentiles(df.join(large, keys, "left_semi"), keys, columns, wanted, limit))
     # Spark takes a union of parts that are hashed alike as hashed too and joins it without a shuffle, while adaptive execution
@@ -77,7 +78,7 @@ def _large_percentiles(df, keys, columns, wanted, limit):
     # Values between two brackets only count: they are moved onto the bracket end below.
     below = F.coalesce(F.array_max(F.array(*[F.when(h < F.col("_v"), h) for h in high])), F.lit(float("-inf")))
     counted = (
-        long.join(sketch, by)
+        long.join(F.broadcast(sketch), by)
         .withColumn("_w", F.when(inside, F.col("_v")).otherwise(below))
         .groupBy(*by, "_w").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
     )
