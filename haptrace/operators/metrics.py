@@ -166,6 +166,9 @@ def above_peak_share(df: DataFrame, keys: list[str], weight: str, fraction: floa
 
 def top_share(df: DataFrame, keys: list[str], weight: str, tie: str, fraction: float = 0.2, split: bool | None = None) -> DataFrame:
     """The top ``ceil(fraction * n)`` rows of each group by weight, lowest ``tie`` first among equals."""
+    if split is None:
+        df = df.persist()  # counted here, ranked and kept by the result
+        split = has_large_groups(df.select(*keys), keys, group_limit(df))
     n = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(fraction))).alias("_take"))
     order = F.struct((-F.col(weight)).alias("w"), F.col(tie).alias("t"))
     ranks = ranked_values(df.withColumn("_order", order), keys, "_order", split=split).select(*keys, "_order", "before")
