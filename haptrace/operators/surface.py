@@ -127,9 +127,21 @@ def contact_rows(frames: DataFrame) -> DataFrame:
     return frames.join(parsed, "contact_points")
 
 
+def touches_together(contacts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Rows dealt by touch, before anything is summed by touch.
+
+    Nearly every touch and vertex is a group of its own, so sums taken where the rows are read save nothing and hold
+    all rows of a task's input, which grows with the files. Dealt rows need no other shuffle to be grouped by touch and any
+    further column. Trials are left out: a constant one is no grouping key to Spark, which then wouldn't know the rows as dealt.
+    """
+    # A number of one's own: adaptive execution would join the parts by their bytes, but it is groups that take memory.
+    tasks = int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contacts.repartition(tasks, *[k for k in keys if k in KEYS and k != "trial_id"] or keys)
+
+
 def touch_rf(contacts: DataFrame, value: str, keys: list[str] = KEYS) -> DataFrame:
     """Mean and maximum response of each vertex in each touch; a missing value drops the vertex."""
-    return contacts.groupBy(*keys, "vertex_id").agg(
+    return touches_together(contacts, keys).groupBy(*keys, "vertex_id").agg(
         F.avg(value).alias("rf_mean"), F.max(value).alias("rf_max"), F.count_if(F.col(value).isNull()).alias("_gap")
     ).filter("_gap = 0").drop("_gap")
 
@@ -155,10 +167,11 @@ def population_heatmap(hits: DataFrame, value: str, percent: float, keys: list[s
     several gestures counts once per subset as a visitor, and with each gesture's mean as a value.
     """
     by = ["session_id", "subset"]
-    touch = hits.groupBy(*keys, "gesture_type", "vertex_id").agg(F.avg(value).alias("_m"), F.count_if(F.col(value).isNull()).alias("_gap"))
+    touch = touches_together(hits, keys).groupBy(*keys, "gesture_type", "vertex_id").agg(F.avg(value).alias("_m"), F.count_if(F.col(value).isNull()).alias("_gap"))
     mean = F.when(F.col("_gap") == 0, F.col("_m"))
     each = subset_exploded(touch).groupBy(*dict.fromkeys([*by, *keys]), "vertex_id").agg(F.sum(mean).alias("_s"), F.count(mean).alias("_k"))
-    n = each.filter("_k > 0").select(*dict.fromkeys([*by, *keys])).distinct().groupBy(*by).agg(F.count("*").alias("n_touches"))
+    known = touch.filter("_gap = 0").select(*keys, "gesture_type").distinct()
+    n = subset_exploded(known).select(*dict.fromkeys([*by, *keys])).distinct().groupBy(*by).agg(F.count("*").alias("n_touches"))
     maps = each.groupBy(*by, "vertex_id").agg((F.sum("_s") / F.sum("_k")).alias("value"), F.count("*").alias("n_unique"), F.sum("_k").alias("_k"))
     out = maps.filter("_k > 0").drop("_k").join(n, by)
     return out.withColumn("threshold", C.count_threshold(percent, "n_touches")).withColumn("marked", C.mark_below("value", "n_unique", "threshold"))

@@ -288,7 +288,7 @@ def _uv(spark, sf):
 
 @query("response_fields")
 def _(spark, sf):
-    hits = _hits(spark, sf)
+    hits = S.touches_together(_hits(spark, sf))
     rf = S.touch_rf(hits, "iff", [*KEYS, "gesture_type"])
     out = fields.response_fields(rf, hits, _uv(spark, sf), 0.2)
     return rounded(out["boundary"].drop("contour"), 4)
@@ -296,7 +296,7 @@ def _(spark, sf):
 
 @query("spatial_tuning")
 def _(spark, sf):
-    hits = _hits(spark, sf)
+    hits = S.touches_together(_hits(spark, sf))
     rf = S.touch_rf(hits, "iff")
     feat = hits.groupBy(*KEYS).agg(F.max("iff").alias("iff_max"), F.min("gesture_type").alias("gesture_type"))
     return rounded(fields.spatial_tuning(rf, feat, _uv(spark, sf), "iff_max", [(0.0, 40.0), (40.0, 70.0), (70.0, 110.0)], 0.2), 4)

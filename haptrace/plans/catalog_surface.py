@@ -158,7 +158,7 @@ mem AS (SELECT {K}, i_depth_max, i_velocity_max FROM feat, d, e WHERE depth_max
 
 
 def _peaks(spark, sf):
-    c = view(spark, sf, "contacts")
+    c = S.touches_together(view(spark, sf, "contacts"))
     return c.groupBy(*KEYS).agg((F.max("x") + 25).alias("depth_max"), F.max("iff").alias("velocity_max"))
 
 
