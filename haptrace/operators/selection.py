@@ -18,10 +18,10 @@ def feature_box(touches: DataFrame, box: dict[str, tuple[float, float]], gesture
 
 
 def box_heatmap(touches: DataFrame, hits: DataFrame, box: dict[str, tuple[float, float]], value: str, percent: float,
-                gestures: list[str] | None = None, keys: list[str] = KEYS) -> DataFrame:
+                gestures: list[str] | None = None, keys: list[str] = KEYS, rows: int | None = None) -> DataFrame:
     """Population heat maps made again from the touches in the box alone."""
     chosen = feature_box(touches, box, gestures).select(*keys).distinct()
-    return S.population_heatmap(hits.join(chosen, keys, "left_semi"), value, percent, keys)
+    return S.population_heatmap(hits.join(chosen, keys, "left_semi"), value, percent, keys, rows)
 
 
 def group_labels(touches: DataFrame, continuous: dict[str, int], categorical: list[str], keys: list[str] = KEYS) -> DataFrame:

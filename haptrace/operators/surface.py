@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from haptrace.functions import columns as C
 from haptrace.schema import KEYS
-from haptrace.session import cut_lineage
+from haptrace.session import cut_lineage, group_limit
 
 CUTOFF_MM = 15.0
 # Vertices per grid cell above which the cells are made smaller.
@@ -127,21 +127,24 @@ def contact_rows(frames: DataFrame) -> DataFrame:
     return frames.join(parsed, "contact_points")
 
 
-def touches_together(contacts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def touches_together(contacts: DataFrame, keys: list[str] = KEYS, rows: int | None = None) -> DataFrame:
     """Rows dealt by touch, before anything is summed by touch.
 
+    ``rows``, if known, is a number that the rows don't exceed: tasks are then so many that none holds much more than the row
+    limit of a task, whatever the session's partitions.
+
     Nearly every touch and vertex is a group of its own, so sums taken where the rows are read save nothing and hold
     all rows of a task's input, which grows with the files. Dealt rows need no other shuffle to be grouped by touch and any
     further column. Trials are left out: a constant one is no grouping key to Spark, which then wouldn't know the rows as dealt.
     """
     # A number of one's own: adaptive execution would join the parts by their bytes, but it is groups that take memory.
-    tasks = int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // group_limit(contacts)))
     return contacts.repartition(tasks, *[k for k in keys if k in KEYS and k != "trial_id"] or keys)
 
 
-def touch_rf(contacts: DataFrame, value: str, keys: list[str] = KEYS) -> DataFrame:
+def touch_rf(contacts: DataFrame, value: str, keys: list[str] = KEYS, rows: int | None = None) -> DataFrame:
     """Mean and maximum response of each vertex in each touch; a missing value drops the vertex."""
-    return touches_together(contacts, keys).groupBy(*keys, "vertex_id").agg(
+    return touches_together(contacts, keys, rows).groupBy(*keys, "vertex_id").agg(
         F.avg(value).alias("rf_mean"), F.max(value).alias("rf_max"), F.count_if(F.col(value).isNull()).alias("_gap")
     ).filter("_gap = 0").drop("_gap")
 
@@ -160,14 +163,14 @@ def unique_touches(contacts: DataFrame, by: list[str], keys: list[str] = KEYS) -
     return pairs.groupBy(*by, "vertex_id").agg(F.count("*").alias("n_unique"))
 
 
-def population_heatmap(hits: DataFrame, value: str, percent: float, keys: list[str] = KEYS) -> DataFrame:
+def population_heatmap(hits: DataFrame, value: str, percent: float, keys: list[str] = KEYS, rows: int | None = None) -> DataFrame:
     """The heat map of every session and gesture subset from the hits, as one chain of aggregates.
 
     One row per touch and vertex carries the mean and whether a value is missing; a touch that has
     several gestures counts once per subset as a visitor, and with each gesture's mean as a value.
     """
     by = ["session_id", "subset"]
-    touch = touches_together(hits, keys).groupBy(*keys, "gesture_type", "vertex_id").agg(F.avg(value).alias("_m"), F.count_if(F.col(value).isNull()).alias("_gap"))
+    touch = touches_together(hits, keys, rows).groupBy(*keys, "gesture_type", "vertex_id").agg(F.avg(value).alias("_m"), F.count_if(F.col(value).isNull()).alias("_gap"))
     mean = F.when(F.col("_gap") == 0, F.col("_m"))
     each = subset_exploded(touch).groupBy(*dict.fromkeys([*by, *keys]), "vertex_id").agg(F.sum(mean).alias("_s"), F.count(mean).alias("_k"))
     known = touch.filter("_gap = 0").select(*keys, "gesture_type").distinct()

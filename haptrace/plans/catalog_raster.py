@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from haptrace.operators import raster as R
 from haptrace.plans import fields
-from haptrace.plans.catalog_surface import _hits
+from haptrace.plans.catalog_surface import _hits, _rows
 from haptrace.plans.inputs import RASTER, ctes, view
 from haptrace.plans.registry import query, r, rounded
 from haptrace.operators import surface as S
@@ -288,15 +288,17 @@ def _uv(spark, sf):
 
 @query("response_fields")
 def _(spark, sf):
-    hits = S.touches_together(_hits(spark, sf))
-    rf = S.touch_rf(hits, "iff", [*KEYS, "gesture_type"])
+    rows = _rows(spark, sf)
+    hits = S.touches_together(_hits(spark, sf), rows=rows)
+    rf = S.touch_rf(hits, "iff", [*KEYS, "gesture_type"], rows)
     out = fields.response_fields(rf, hits, _uv(spark, sf), 0.2)
     return rounded(out["boundary"].drop("contour"), 4)
 
 
 @query("spatial_tuning")
 def _(spark, sf):
-    hits = S.touches_together(_hits(spark, sf))
-    rf = S.touch_rf(hits, "iff")
+    rows = _rows(spark, sf)
+    hits = S.touches_together(_hits(spark, sf), rows=rows)
+    rf = S.touch_rf(hits, "iff", rows=rows)
     feat = hits.groupBy(*KEYS).agg(F.max("iff").alias("iff_max"), F.min("gesture_type").alias("gesture_type"))
     return rounded(fields.spatial_tuning(rf, feat, _uv(spark, sf), "iff_max", [(0.0, 40.0), (40.0, 70.0), (70.0, 110.0)], 0.2), 4)

@@ -31,8 +31,13 @@ def _hits(spark, sf):
     return S.contacts_on_surface(view(spark, sf, "contacts"), view(spark, sf, "vertices"), [], CUT)
 
 
+def _rows(spark, sf):
+    """Contact rows, which are never fewer than the hits; counted from the files alone."""
+    return view(spark, sf, "contacts").count()
+
+
 def _rf(spark, sf, keys=(*KEYS, "gesture_type")):
-    return S.touch_rf(_hits(spark, sf), "iff", list(keys))
+    return S.touch_rf(_hits(spark, sf), "iff", list(keys), _rows(spark, sf))
 
 
 @query("nearest_vertex", NEAR + f"q AS (SELECT * FROM near) SELECT x, y, z, vertex_id, {r('distance', 'distance')} FROM q WHERE distance <= {CUT}")
@@ -84,7 +89,7 @@ SELECT session_id, subset, vertex_id, {r("value", "value")}, n_unique, n_touches
   {r("CASE WHEN n_unique < greatest(1, CAST(round_even(0.002 * n_touches, 0) AS BIGINT)) THEN -1.0 ELSE value END", "marked")}
 FROM a JOIN u USING (session_id, subset, vertex_id) JOIN n USING (session_id, subset)""")
 def _(spark, sf):
-    return rounded(S.population_heatmap(_hits(spark, sf), "iff", 0.2))
+    return rounded(S.population_heatmap(_hits(spark, sf), "iff", 0.2, rows=_rows(spark, sf)))
 
 
 @query("vertex_modes", NEAR + f"""q AS (SELECT * FROM hits) SELECT session_id, vertex_id, {r("avg(iff)", "mean_iff")}, {r("sum(iff)", "cumulative_iff", 4)}, {r("avg(spike)", "spike_density")} FROM q GROUP BY 1, 2""")
@@ -158,7 +163,7 @@ mem AS (SELECT {K}, i_depth_max, i_velocity_max FROM feat, d, e WHERE depth_max
 
 
 def _peaks(spark, sf):
-    c = S.touches_together(view(spark, sf, "contacts"))
+    c = S.touches_together(view(spark, sf, "contacts"), rows=_rows(spark, sf))
     return c.groupBy(*KEYS).agg((F.max("x") + 25).alias("depth_max"), F.max("iff").alias("velocity_max"))
 
 
@@ -495,7 +500,7 @@ u AS (SELECT session_id, subset, vertex_id, count(DISTINCT ({K})) AS n_unique FR
 a AS (SELECT session_id, subset, vertex_id, avg(rf_mean) AS value FROM s GROUP BY 1, 2, 3)
 SELECT session_id, subset, vertex_id, {r("value", "value")}, n_unique, n_touches FROM a JOIN u USING (session_id, subset, vertex_id) JOIN n USING (session_id, subset)""")
 def _(spark, sf):
-    out = E.box_heatmap(_peaks(spark, sf), _hits(spark, sf), {"depth_max": (10, 40), "velocity_max": (20, 70)}, "iff", 0.2)
+    out = E.box_heatmap(_peaks(spark, sf), _hits(spark, sf), {"depth_max": (10, 40), "velocity_max": (20, 70)}, "iff", 0.2, rows=_rows(spark, sf))
     return rounded(out.select("session_id", "subset", "vertex_id", "value", "n_unique", "n_touches"))
 
 
