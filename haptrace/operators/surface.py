@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haptrace.functions import columns as C
-from haptrace.schema import KEYS
+from haptrace.schema import KEYS, SUBSETS
 from haptrace.session import cut_lineage, group_limit
 
 CUTOFF_MM = 15.0
@@ -168,13 +168,23 @@ def population_heatmap(hits: DataFrame, value: str, percent: float, keys: list[s
 
     One row per touch and vertex carries the mean and whether a value is missing; a touch that has
     several gestures counts once per subset as a visitor, and with each gesture's mean as a value.
+    Subsets are columns as long as rows are as many as touches, so no task holds a touch once per subset.
     """
     by = ["session_id", "subset"]
     touch = touches_together(hits, keys, rows).groupBy(*keys, "gesture_type", "vertex_id").agg(F.avg(value).alias("_m"), F.count_if(F.col(value).isNull()).alias("_gap"))
-    mean = F.when(F.col("_gap") == 0, F.col("_m"))
-    each = subset_exploded(touch).groupBy(*dict.fromkeys([*by, *keys]), "vertex_id").agg(F.sum(mean).alias("_s"), F.count(mean).alias("_k"))
-    known = touch.filter("_gap = 0").select(*keys, "gesture_type").distinct()
-    n = subset_exploded(known).select(*dict.fromkeys([*by, *keys])).distinct().groupBy(*by).agg(F.count("*").alias("n_touches"))
+    touch = touch.withColumn("_m", F.when(F.col("_gap") == 0, F.col("_m"))).withColumn("_in", C.subset_members("gesture_type"))
+    inside = {s: F.array_contains("_in", s) for s in SUBSETS}
+    sums = {"_s": lambda s: F.sum(F.when(inside[s], F.col("_m"))), "_k": lambda s: F.count(F.when(inside[s], F.col("_m"))), "_any": lambda s: F.max(inside[s])}
+
+    def per_subset(df: DataFrame, group: list[str], kept: list[str], names: list[str]) -> DataFrame:
+        """One row per group and subset that has rows in it."""
+        wide = df.groupBy(*dict.fromkeys(["session_id", *group])).agg(*[sums[n](s).alias(f"{n}_{s}") for s in SUBSETS for n in names])
+        rows_ = F.array(*[F.struct(F.lit(s).alias("subset"), *[F.col(f"{n}_{s}").alias(n) for n in names]) for s in SUBSETS])
+        return wide.select(*kept, F.inline(rows_)).filter("_any")
+
+    known = per_subset(touch.filter("_m is not null"), keys, ["session_id"], ["_any"])
+    n = known.groupBy(*by).agg(F.count("*").alias("n_touches"))
+    each = per_subset(touch, [*keys, "vertex_id"], ["session_id", "vertex_id"], ["_s", "_k", "_any"])
     maps = each.groupBy(*by, "vertex_id").agg((F.sum("_s") / F.sum("_k")).alias("value"), F.count("*").alias("n_unique"), F.sum("_k").alias("_k"))
     out = maps.filter("_k > 0").drop("_k").join(n, by)
     return out.withColumn("threshold", C.count_threshold(percent, "n_touches")).withColumn("marked", C.mark_below("value", "n_unique", "threshold"))
