@@ -10,6 +10,7 @@ from haptrace.operators import raster as R
 from haptrace.operators import surface as S
 from haptrace.operators.tuning import _in_windows
 from haptrace.schema import KEYS
+from haptrace.session import cut_lineage
 
 
 def response_fields(rf: DataFrame, contacts: DataFrame, uv: DataFrame, percent: float, rows: int = 150, cols: int = 150,
@@ -45,7 +46,8 @@ def spatial_tuning(rf: DataFrame, touches: DataFrame, uv: DataFrame, feature: st
         return R.with_derived(R.boundaries(grid, keys, rows, cols, method, sigma))
 
     heat = maps.groupBy(*by, "vertex_id").agg(F.avg("rf_mean").alias("value"), F.count("*").alias("n_unique")).join(n, by)
-    heat = heat.filter(F.col("n_unique") >= C.count_threshold(percent, "n_touches")).select(*by, "vertex_id", "value")
+    # Held, as rasters read it several times: each reader would sum all touches anew, and sums may differ in the last bit.
+    heat = cut_lineage(heat.filter(F.col("n_unique") >= C.count_threshold(percent, "n_touches")).select(*by, "vertex_id", "value"))
     wanted = ["area", "circularity", "aspect_ratio", "pca_orientation_deg"]
     out = n.join(measured(heat, by).select(*by, *wanted), by, "left")
     if per_touch:
